@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, fst, langid, media
+from tracemill.llm import bpe, fst, langid, media, toxicity
 from tracemill.llm.common import held_out
 
 
@@ -13,6 +13,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = toxicity.fit(docs.where(~held_out("doc_id", 3, 1)), labels.where(~held_out("doc_id", 3, 1)))
+    found = toxicity.score_toxicity(docs, net)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
@@ -37,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op7_language_id, op8_byte_bpe, op9_matroska, op10_token_counts)}
+    found = {f.__name__: f for f in (op4_toxicity, op7_language_id, op8_byte_bpe, op9_matroska, op10_token_counts)}
     return found
 
 
