@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, fst, hamming, langid, lines, media, packing, toxicity
+from tracemill.llm import bpe, fst, hamming, langid, lines, lm, media, packing, toxicity
 from tracemill.llm.common import held_out
 
 
@@ -17,6 +17,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_report(documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir).withColumn("held", held_out("doc_id", 7, 2)), "held")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = toxicity.fit(docs.where(~held_out("doc_id", 3, 1)), labels.where(~held_out("doc_id", 3, 1)))
@@ -57,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op2_line_dedup, op4_toxicity, op5_best_fit_packing, op6_hamming_top_k, op7_language_id, op8_byte_bpe, op9_matroska, op10_token_counts)}
+    found = {f.__name__: f for f in (op2_line_dedup, op3_lm_scoring, op4_toxicity, op5_best_fit_packing, op6_hamming_top_k, op7_language_id, op8_byte_bpe, op9_matroska, op10_token_counts)}
     return found
 
 
