@@ -111,3 +111,17 @@ def py_crc32(value: int | None) -> int | None:
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """True where crc32(id) mod ``modulus`` is ``remainder``; null ids are not held out."""
     return F.coalesce(crc32_of(doc_id) % F.lit(modulus) == F.lit(remainder), F.lit(False))
+
+
+def keep_rows(docs: DataFrame, text: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text the mask function keeps."""
+    position = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = None
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[position]):
+                mask = mask or make()
+                yield part.filter(pa.array(mask(part.column(position).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import map_texts
+from tracemill.llm.common import keep_rows, map_texts
 
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 96 * 1024
@@ -103,6 +103,20 @@ class Classifier:
         return self.names[best], (second - sizes[best]) / second
 
 
+def rejects(lang: str, score: float, margin: float = MARGIN) -> bool:
+    return lang == UNKNOWN or score < margin
+
+
+def drop_unknown(docs: DataFrame, model: LanguageModel, margin: float = MARGIN, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose language is not rejected."""
+
+    def make():
+        classifier = Classifier(model)
+        return lambda texts: [not rejects(*classifier.predict(t), margin) for t in texts]
+
+    return keep_rows(docs, text, make)
+
+
 def predict_language(docs: DataFrame, model: LanguageModel, margin: float = MARGIN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score in 0..1, rejected (``und`` or score below ``margin``).
 
@@ -119,7 +133,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, margin: float = MARG
                 "doc_id": batch.column(0),
                 "lang_pred": [k for k, _ in found],
                 "score": [s for _, s in found],
-                "rejected": [k == UNKNOWN or s < margin for k, s in found],
+                "rejected": [rejects(k, s, margin) for k, s in found],
             }
 
         return apply

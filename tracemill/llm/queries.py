@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, fst, hamming, langid, lines, lm, media, packing, toxicity
+from tracemill.llm import bpe, fst, hamming, jaccard, langid, lines, lm, media, packing, toxicity
 from tracemill.llm.common import held_out
 
 
@@ -13,6 +13,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_report(documents(spark, sf_dir))
 
@@ -61,13 +65,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op2_line_dedup, op3_lm_scoring, op4_toxicity, op5_best_fit_packing, op6_hamming_top_k, op7_language_id, op8_byte_bpe, op9_matroska, op10_token_counts)}
+    found = {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_lm_scoring, op4_toxicity, op5_best_fit_packing, op6_hamming_top_k, op7_language_id, op8_byte_bpe, op9_matroska, op10_token_counts)}
     return found
 
 
 #: Oracles by query; an operator that SQL cannot express is tested against
 #: brute force, an exact round trip or held-out accuracy in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents
+), shingles as (
+  select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) end as s
+  from words
+), sizes as (
+  select doc_id, cast(len(s) as bigint) as n from shingles
+), flat as (
+  select doc_id, unnest(s) as g from shingles
+), shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from flat a join flat b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), edges as (
+  select a, b from links union select b, a from links
+), reach(id, other) as (
+  select doc_id, doc_id from sizes union select r.id, e.b from reach r join edges e on e.a = r.other
+)
+select s.doc_id, s.n as n_shingles, min(r.other) as component_id from sizes s join reach r on r.id = s.doc_id group by all
+""",
     "op2_line_dedup": """
 with recursive parts as (
   select doc_id, string_split(text, chr(10)) as parts from documents where text is not null

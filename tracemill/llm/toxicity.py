@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import map_texts
+from tracemill.llm.common import keep_rows, map_texts
 
 SAMPLE_TOXIC = 900
 SAMPLE_CLEAN = 1500
@@ -286,3 +286,14 @@ def score_toxicity(docs: DataFrame, net: Network, threshold: float = THRESHOLD,
 
     picked = [docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")]
     return map_texts(docs, picked, "text", "doc_id long, score double, predicted int", make)
+
+
+def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose score stays below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net.p))
+
+    def make():
+        own = Network(pickle.loads(shared.value))
+        return lambda texts: (score(own, texts) < threshold).tolist()
+
+    return keep_rows(docs, text, make)
