@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from tracemill.plans import sequences  # noqa: F401  registers its queries
+from tracemill.plans.tables import CATALOG, ORACLES
+
 
 def entry(spark, sf_dir):
-    return queries()["arc_length"](spark, sf_dir)
+    return CATALOG["x01_arc_length"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(CATALOG)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
