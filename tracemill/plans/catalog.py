@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans import sequences  # noqa: F401  registers its queries
+from tracemill.plans import alignment, sequences  # noqa: F401  each registers its queries
 from tracemill.plans.tables import CATALOG, ORACLES
 
 
