@@ -39,9 +39,14 @@ class Scratch:
         self.root = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+        """Write ``df`` and return the written table.
+
+        Shuffle files of finished steps go when the driver collects its garbage,
+        so it is asked to: a job then holds the disk of its current step only.
+        """
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

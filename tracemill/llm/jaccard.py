@@ -70,18 +70,18 @@ class Join:
     # -------------------------------------------------------------- points
 
     def points(self) -> DataFrame:
-        """doc_id, n, id (null without words) of every row."""
+        """doc_id, n, id (null without words) and sketch of every row."""
         width = self.width
 
         def make():
             def apply(batch: pa.RecordBatch) -> dict:
                 sets = shingle_sets(batch.column(1).to_pylist(), width)
                 n = np.array([len(s) for s in sets], np.int64)
-                return {"doc_id": batch.column(0), "n": n, "id": pa.array(_ids(sets), mask=n == 0)}
+                return {"doc_id": batch.column(0), "n": n, "id": pa.array(_ids(sets), mask=n == 0), "sketch": [sketch(s) for s in sets]}
 
             return apply
 
-        return map_texts(self.docs, ["doc_id", "text"], "text", "doc_id long, n long, id long", make)
+        return map_texts(self.docs, ["doc_id", "text"], "text", "doc_id long, n long, id long, sketch binary", make)
 
     def frequent(self) -> np.ndarray:
         """Frequent shingles by rising frequency: of all sets, at most FREQUENT."""
@@ -153,37 +153,25 @@ class Join:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
         rows = self.docs.select("text").mapInArrow(run, "g long, id long, n int, often boolean")
-        rows = self.scratch.table(rows, "prefixes")
         # frequent shingles surely have company and are not dealt by key
-        light = rows.where("not often").repartition("g").sortWithinPartitions("g", "id").select("g", "id", "n").mapInArrow(_company, "g long, id long, n int")
-        found = self.scratch.table(light.union(rows.where("often").select("g", "id", "n").dropDuplicates()), "blocks")
-        self.scratch.drop("prefixes")
-        return found
-
-    def sets_of(self, points: DataFrame, blocks: DataFrame) -> DataFrame:
-        """id, sketch, values of every point in a block, made again from one of its documents."""
-        needed = blocks.select("id").distinct()
-        chosen = points.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id")).join(needed, "id", "left_semi")
-        chosen = self.scratch.table(chosen, "chosen")
-        docs = self.docs.join(small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-        width = self.width
-
-        def make():
-            def apply(batch: pa.RecordBatch) -> dict:
-                sets = shingle_sets(batch.column(0).to_pylist(), width)
-                return {"id": _ids(sets), "sketch": [sketch(s) for s in sets], "bytes": [s.tobytes() for s in sets]}
-
-            return apply
+        dealt = rows.repartition(F.when(F.col("often"), F.xxhash64("g", "id")).otherwise(F.xxhash64("g"))).sortWithinPartitions("often", "g", "id")
+        return self.scratch.table(dealt.mapInArrow(_company, "g long, id long, n int"), "blocks")
 
-        made = map_texts(docs, ["text"], "text", "id long, sketch binary, bytes binary", make)
-        return self.scratch.table(made.join(small(chosen.select("id")), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    def chosen(self, points: DataFrame, blocks: DataFrame) -> DataFrame:
+        """id, doc_id of one of its documents, and sketch of every point in a block."""
+        one = points.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "sketch")).alias("one"))
+        return self.scratch.table(one.join(blocks.select("id").distinct(), "id", "left_semi").select("id", "one.*"), "chosen")
 
     # --------------------------------------------------------- verification
 
-    def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """(a, b) of the pairs that reach the similarity: sketch bound first, then the sets."""
-        num, den = self.num, self.den
-        side = lambda x, c, to: sets.select(F.col("id").alias(x), F.col(c).alias(to))
+    def verified(self, pairs: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
+        """(a, b) of the pairs that reach the similarity: sketch bound first, then the sets.
+
+        Sets are made again from the texts of the points that pass the bound; a
+        text is smaller than its set.
+        """
+        num, den, width = self.num, self.den, self.width
+        side = lambda df, x, c, to: df.select(F.col("id").alias(x), F.col(c).alias(to))
 
         def bound():
             def apply(batch: pa.RecordBatch) -> dict:
@@ -192,14 +180,27 @@ class Join:
 
             return apply
 
-        rows = pairs.join(side("a", "sketch", "x"), "a").join(side("b", "sketch", "y"), "b")
+        rows = pairs.join(side(chosen, "a", "sketch", "x"), "a").join(side(chosen, "b", "sketch", "y"), "b")
         near = self.scratch.table(map_texts(rows, ["a", "b", "x", "y"], "x", "a long, b long", bound), f"{name}-near")
+        needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        needed = self.scratch.table(chosen.select("id", "doc_id").join(needed, "id", "left_semi"), f"{name}-needed")
+        found = self.docs.join(small(needed.select("doc_id").distinct()), "doc_id", "left_semi")
+
+        def named():
+            def apply(batch: pa.RecordBatch) -> dict:
+                return {"id": _ids(shingle_sets(batch.column(0).to_pylist(), width)), "text": batch.column(0)}
+
+            return apply
+
+        # a doc_id may stand on several rows: the text is the one with the point's id
+        texts = map_texts(found, ["text"], "text", "id long, text string", named).join(small(needed.select("id")), "id", "left_semi").dropDuplicates(["id"])
+        texts = self.scratch.table(texts, f"{name}-texts")
 
         def exact():
             def apply(batch: pa.RecordBatch) -> dict:
-                keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                n, keep = batch.num_rows, []
+                sets = shingle_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), width)
+                for p, q in zip(sets[:n], sets[n:]):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(both * den >= num * (len(p) + len(q) - both))
                 mask = pa.array(keep, pa.bool_())
@@ -207,15 +208,16 @@ class Join:
 
             return apply
 
-        rows = near.join(side("a", "bytes", "x"), "a").join(side("b", "bytes", "y"), "b")
+        rows = near.join(side(texts, "a", "text", "x"), "a").join(side(texts, "b", "text", "y"), "b")
         return self.scratch.table(map_texts(rows, ["a", "b", "x", "y"], "x", "a long, b long", exact), name)
 
     # ------------------------------------------------------------- regions
 
-    def regions(self, rows: DataFrame) -> DataFrame:
-        """Divide (region, id, n, root, sketch) until regions are leaves; adds d, the distance to the last pivot."""
+    def regions(self, rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        """Divide (region, id, n, root) until regions are leaves; adds d, the distance to the last pivot."""
         window = 2 * (1 - self.num / self.den) + 1e-9
-        leaves, schema = [], "region long, id long, n int, root long, sketch binary, d double"
+        leaves, schema = [], "region long, id long, n int, root long, d double"
+        sketches = chosen.select("id", "sketch")
         rows = rows.withColumn("d", F.lit(None).cast("double"))
         for level in range(LEVELS):
             sizes = rows.groupBy("region").agg(F.count("*").alias("size"))
@@ -223,7 +225,7 @@ class Join:
             if large.isEmpty():
                 break
             order = Window.partitionBy("region").orderBy(F.xxhash64("id", F.lit(level)), "id")
-            large_rows = rows.join(small(large.select("region")), "region", "left_semi")
+            large_rows = rows.drop("d").join(small(large.select("region")), "region", "left_semi").join(sketches, "id")
             pivots = large_rows.select("region", "id", "sketch").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
             pivots = pivots.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", "sketch"))).alias("pivots"))
 
@@ -237,7 +239,7 @@ class Join:
                             number.append(int(k))
                             distance.append(float(d[k]))
                     part = batch.take(pa.array(owner, pa.int64()))
-                    return {"region": part.column(0), "id": part.column(1), "n": part.column(2), "root": part.column(3), "sketch": part.column(4), "d": distance, "cell": number}
+                    return {"region": part.column(0), "id": part.column(1), "n": part.column(2), "root": part.column(3), "d": distance, "cell": number}
 
                 return apply
 
@@ -267,26 +269,27 @@ class Join:
         """doc_id, n_shingles, id, root of every row; id and root are null without words."""
         points = self.scratch.table(self.points(), "points")
         blocks = self.blocks()
-        sets = self.sets_of(points, blocks)
+        chosen = self.chosen(points, blocks)
         pivot = blocks.groupBy("g").agg(F.min(F.struct("id", "n")).alias("p"))
         star = blocks.join(pivot, "g").where("id <> p.id").where(self.similar(F.least("n", F.col("p.n")), F.greatest("n", F.col("p.n"))))
         star = self.scratch.table(star.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
-        links = self.verified(star, sets, "star-links")
+        links = self.verified(star, chosen, "star-links")
         roots = self.scratch.table(components(self.spark, links), "roots")
         placed = blocks.join(roots.withColumnRenamed("h", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_blocks = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-        rows = placed.join(open_blocks, "g", "left_semi").join(sets.select("id", "sketch"), "id").select(F.col("g").alias("region"), "id", "n", "root", "sketch")
+        rows = placed.join(open_blocks, "g", "left_semi").select(F.col("g").alias("region"), "id", "n", "root")
         rows = self.scratch.table(rows, "regions")
-        pairs = self.leaf_pairs(self.regions(rows)).join(star, ["a", "b"], "left_anti")
-        more = self.verified(self.scratch.table(pairs, "pairs"), sets, "links")
+        pairs = self.leaf_pairs(self.regions(rows, chosen)).join(star, ["a", "b"], "left_anti")
+        more = self.verified(self.scratch.table(pairs, "pairs"), chosen, "links")
         roots = self.scratch.table(components(self.spark, links.union(more)), "all-roots")
         return points.join(roots.withColumnRenamed("h", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), "id", F.coalesce("root", "id").alias("root"))
 
 
 def _company(batches):
-    """From rows sorted by (g, id), those whose g has more than one id; repeated rows count once.
+    """From rows sorted by (often, g, id), those that are frequent or whose g has more than one id.
 
-    One row is held back between batches, with whether it is known to have company.
+    Repeated rows count once.  One row is held back between batches, with whether it
+    is known to have company.
     """
     held, known = None, False
     for batch in batches:
@@ -298,11 +301,11 @@ def _company(batches):
         fresh = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
         batch, g = batch.filter(pa.array(fresh)), g[fresh]
         same = g[1:] == g[:-1]
-        keep = np.r_[known, same] | np.r_[same, False]
+        keep = np.r_[known, same] | np.r_[same, False] | batch.column(3).to_numpy(zero_copy_only=False)
         held, known = batch.slice(len(g) - 1), bool(keep[-1])
-        yield batch.slice(0, len(g) - 1).filter(pa.array(keep[:-1]))
+        yield batch.slice(0, len(g) - 1).filter(pa.array(keep[:-1])).select([0, 1, 2])
     if held is not None and known:
-        yield held
+        yield held.select([0, 1, 2])
 
 
 def _bounds(x: pa.Array, y: pa.Array) -> np.ndarray:

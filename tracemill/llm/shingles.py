@@ -13,7 +13,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Cells of a sketch.
-CELLS = 64
+CELLS = 128
 
 
 def finish(x: np.ndarray) -> np.ndarray:
