@@ -54,6 +54,21 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_LOWER).split() if text else []
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An integer array, byte plane by byte plane, compressed."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _hash_words(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
@@ -79,8 +94,8 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             "ids": np.array([i or 0 for i, _, _ in rows], np.int64).tobytes(),
             "held": held.tobytes(),
             "null_ids": np.array([i is None for i, _, _ in rows], bool).tobytes(),
-            "lengths": sizes.tobytes(),
-            "tokens": flat.tobytes(),
+            "lengths": pack(sizes),
+            "tokens": pack(flat),
             "words": _hash_words(list(known)).tobytes(),
             "n_words": len(known),
             "n_pairs": len(np.unique(_pairs(flat, sizes, len(known)))),
@@ -129,8 +144,8 @@ class Block:
         self.ids = np.frombuffer(row.ids, np.int64)
         self.held = np.frombuffer(row.held, bool)
         self.null_ids = np.frombuffer(row.null_ids, bool)
-        self.lengths = np.frombuffer(row.lengths, np.int64)
-        self.tokens = np.frombuffer(row.tokens, np.int32).astype(np.int64)
+        self.lengths = unpack(row.lengths, np.int64)
+        self.tokens = unpack(row.tokens, np.int32).astype(np.int64)
         self.words = np.frombuffer(row.words, np.uint64)
         self.n = len(self.words)
         self.trains = ~np.repeat(self.held, self.lengths)
@@ -154,9 +169,10 @@ class Block:
 
 
 def _dealt(hashes: np.ndarray, parts: int) -> list[np.ndarray]:
-    part = hashes % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    return np.split(order, np.searchsorted(part[order], np.arange(1, parts, dtype=np.uint64)))
+    """Positions by reducer, each in the order of the hashes: reducers take equal ranges of them."""
+    order = np.argsort(hashes)
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    return np.split(order, np.searchsorted(hashes[order], bounds))
 
 
 def frequency_class(counts: np.ndarray) -> np.ndarray:
@@ -170,9 +186,9 @@ def _requests(kind: int, block: int, parts: list[np.ndarray], keys: np.ndarray,
             "kind": kind,
             "part": range(len(parts)),
             "block": block,
-            "keys": [keys[p].tobytes() for p in parts],
-            "counts": [counts[p].astype(np.uint32).tobytes() for p in parts],
-            "classes": [b"" if classes is None else classes[p].tobytes() for p in parts],
+            "keys": [pack(np.diff(keys[p], prepend=np.uint64(0))) for p in parts],
+            "counts": [pack(counts[p].astype(np.uint32)) for p in parts],
+            "classes": [b"" if classes is None else pack(classes[p]) for p in parts],
         }
     )
 
@@ -183,14 +199,14 @@ REQUESTS = "kind int, part int, block long, keys binary, counts binary, classes
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Sum one reducer's requests over all blocks and answer each block."""
     rows = rows.sort_values("block", kind="stable")
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]])
-    sizes = [len(k) // 8 for k in rows["keys"]]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
+    own = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
+    sizes, keys = [len(k) for k in own], np.concatenate(own)
+    counts = np.concatenate([unpack(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
     distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
     once = mass = np.zeros(CLASSES, np.int64)
     if any(rows["classes"]):
-        classes = np.concatenate([np.frombuffer(c, np.uint8) for c in rows["classes"]])[first]
+        classes = np.concatenate([unpack(c, np.uint8) for c in rows["classes"]])[first]
         mass = np.bincount(classes, total, CLASSES).astype(np.int64)
         once = np.bincount(classes[total == 1], minlength=CLASSES)
     answers = np.split(total[which], np.cumsum(sizes)[:-1])
@@ -200,7 +216,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
             "kind": rows["kind"].to_numpy(),
             "part": rows["part"].to_numpy(),
             "block": rows["block"].to_numpy(),
-            "counts": [a.astype(np.uint32).tobytes() for a in answers],
+            "counts": [pack(a.astype(np.uint32)) for a in answers],
             "n_types": np.where(lead, int((total > 0).sum()), 0),
             "n_tokens": np.where(lead, int(total.sum()), 0),
             "once": [once.tobytes() if i else b"" for i in lead],
@@ -216,7 +232,7 @@ def _answered(rows: pd.DataFrame, kind: int, parts: list[np.ndarray], n: int) ->
     out = np.zeros(n, np.int64)
     for i, part in enumerate(parts):
         if len(part):
-            out[part] = np.frombuffer(own[i], np.uint32)
+            out[part] = unpack(own[i], np.uint32)
     return out
 
 
