@@ -7,6 +7,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,13 +58,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a slice stays within SLICE_ROWS and SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, text: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a slice stays within ``rows`` and SLICE_BYTES."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = pc.binary_length(column).fill_null(0).to_pylist()
     start = total = 0
     for row, size in enumerate(sizes):
-        if row > start and (row - start >= SLICE_ROWS or total + size > SLICE_BYTES):
+        if row > start and (row - start >= rows or total + size > SLICE_BYTES):
             yield batch.slice(start, row - start)
             start, total = row, 0
         total += size
@@ -77,6 +78,7 @@ def map_texts(
     text: str,
     schema: str,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]],
+    rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Apply a batch function to slices of ``df``, one output batch a slice.
 
@@ -89,7 +91,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = None
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, rows):
                 apply = apply or make()
                 out = apply(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
@@ -97,6 +99,41 @@ def map_texts(
     return picked.mapInArrow(run, schema)
 
 
+def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by their columns, those whose first column has several values of the second.
+
+    Repeated rows count once.  A fourth column, if there is one, is a flag that
+    keeps a row anyway; it is not passed on.  Rows are streamed: only those of the
+    last (first, second) pair are held back between batches, with whether their
+    first column is already known to have company.
+    """
+    held, known = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]
+        batch = batch.filter(pa.array(fresh))
+        g, i = columns[0][fresh], columns[1][fresh]
+        same = np.r_[False, g[1:] == g[:-1]]
+        other = same & np.r_[False, i[1:] != i[:-1]]
+        other[0] = known
+        starts = np.flatnonzero(~same)
+        met = np.logical_or.reduceat(other, starts)
+        keep = np.repeat(met, np.diff(np.r_[starts, len(g)]))
+        if batch.num_columns > 3:
+            keep |= columns[3][fresh]
+        last = len(g) - int(np.argmax(((g != g[-1]) | (i != i[-1]))[::-1])) if (g[0] != g[-1] or i[0] != i[-1]) else 0
+        held, known = batch.slice(last), bool(met[-1])
+        flags = keep[last:]
+        if last:
+            yield batch.slice(0, last).filter(pa.array(keep[:last])).select([0, 1, 2])
+    if held is not None:
+        yield held.filter(pa.array(flags)).select([0, 1, 2])
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

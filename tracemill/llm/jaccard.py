@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Scratch, _arrow_schema, map_texts, slices
+from tracemill.llm.common import Scratch, _arrow_schema, company, map_texts, slices
 from tracemill.llm.graph import components, small
 from tracemill.llm.shingles import CELLS, shingle_sets, sketch
 
@@ -155,7 +155,7 @@ class Join:
         rows = self.docs.select("text").mapInArrow(run, "g long, id long, n int, often boolean")
         # frequent shingles surely have company and are not dealt by key
         dealt = rows.repartition(F.when(F.col("often"), F.xxhash64("g", "id")).otherwise(F.xxhash64("g"))).sortWithinPartitions("often", "g", "id")
-        return self.scratch.table(dealt.mapInArrow(_company, "g long, id long, n int"), "blocks")
+        return self.scratch.table(dealt.mapInArrow(company, "g long, id long, n int"), "blocks")
 
     def chosen(self, points: DataFrame, blocks: DataFrame) -> DataFrame:
         """id, doc_id of one of its documents, and sketch of every point in a block."""
@@ -285,29 +285,6 @@ class Join:
         return points.join(roots.withColumnRenamed("h", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), "id", F.coalesce("root", "id").alias("root"))
 
 
-def _company(batches):
-    """From rows sorted by (often, g, id), those that are frequent or whose g has more than one id.
-
-    Repeated rows count once.  One row is held back between batches, with whether it
-    is known to have company.
-    """
-    held, known = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        g, i = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        fresh = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]
-        batch, g = batch.filter(pa.array(fresh)), g[fresh]
-        same = g[1:] == g[:-1]
-        keep = np.r_[known, same] | np.r_[same, False] | batch.column(3).to_numpy(zero_copy_only=False)
-        held, known = batch.slice(len(g) - 1), bool(keep[-1])
-        yield batch.slice(0, len(g) - 1).filter(pa.array(keep[:-1])).select([0, 1, 2])
-    if held is not None and known:
-        yield held.select([0, 1, 2])
-
-
 def _bounds(x: pa.Array, y: pa.Array) -> np.ndarray:
     """Upper bounds of the similarity from pairs of sketches; 1 where a sketch is missing."""
     sizes = np.minimum(pc.binary_length(x).to_numpy(zero_copy_only=False), pc.binary_length(y).to_numpy(zero_copy_only=False))

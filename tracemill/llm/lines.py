@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Scratch, map_texts
+from tracemill.llm.common import Scratch, company, map_texts
 from tracemill.llm.graph import components, small
 
 DISTANCE = 2
@@ -155,8 +155,10 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     long = lines.where(F.length("line") >= MIN_LENGTH)
     scratch = Scratch(lines.sparkSession, "lines")
-    rows = map_texts(long, ["h", "line"], "line", "key long, h long, probe boolean", make)
-    rows = rows.dropDuplicates()
+    rows = map_texts(long, ["h", "line"], "line", "key long, h long, probe boolean", make, rows=1 << 14)
+    # most keys belong to one line alone and end in one streamed pass
+    dealt = rows.repartition("key").sortWithinPartitions("key", "h", "probe")
+    rows = scratch.table(dealt.mapInArrow(company, "key long, h long, probe boolean"), "keys")
     index, probe = rows.where("not probe"), rows.where("probe")
     met = probe.select("key", F.col("h").alias("p")).join(index.select("key", F.col("h").alias("i")), "key").where("p <> i")
     pairs = scratch.table(met.select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct(), "pairs")
