@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracemill.plans import alignment, ranks, sequences, texts  # noqa: F401  each registers its queries
+from tracemill.plans import alignment, graphs, ranks, sequences, texts  # noqa: F401  each registers its queries
 from tracemill.plans.tables import CATALOG, ORACLES
 
 
 def entry(spark, sf_dir):
-    return CATALOG["x01_arc_length"](spark, sf_dir)
+    return CATALOG["g03_match_topk"](spark, sf_dir)
 
 
 def queries() -> dict:
