@@ -10,10 +10,11 @@ are one point.  The join is exact:
 2. *Star.*  Every block's first point is a pivot; its distance to the others
    joins copies of a document, however many, in a linear number of pairs.
 3. *Regions.*  Blocks whose points still lie in several components are regions.
-   A large region takes pivots, which divide it into Voronoi cells; a point also
-   goes to every cell whose pivot is at most 2t farther than its nearest, since
-   by the triangle inequality no partner within t can lie elsewhere.  The cells
-   are regions again.  Distances here are those of the sketches, sets counted in
+   A large region takes pivots that lie apart, which divide it into Voronoi cells
+   of at most a radius r and what is farther from all of them.  A point also goes
+   to every cell whose pivot is at most 2t farther than its nearest, a far one to
+   every cell whose pivot is within r + t: by the triangle inequality no partner
+   within t has its cell elsewhere.  Cells and the far rest are regions again.  Distances here are those of the sketches, sets counted in
    a fixed number of cells: a weighted Jaccard distance that never exceeds the
    true one, so windows taken from it lose nothing.
 4. *Leaves.*  In a small region, or one that its pivots do not divide, all pairs
@@ -27,6 +28,7 @@ decides how much work is done; any order gives the same result.
 from __future__ import annotations
 
 from math import gcd
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -215,7 +217,8 @@ class Join:
 
     def regions(self, rows: DataFrame, chosen: DataFrame) -> DataFrame:
         """Divide (region, id, n, root) until regions are leaves; adds d, the distance to the last pivot."""
-        window = 2 * (1 - self.num / self.den) + 1e-9
+        reach = 1 - self.num / self.den + 1e-9
+        window = radius = 2 * reach
         leaves, schema = [], "region long, id long, n int, root long, d double"
         sketches = chosen.select("id", "sketch")
         rows = rows.withColumn("d", F.lit(None).cast("double"))
@@ -226,18 +229,29 @@ class Join:
                 break
             order = Window.partitionBy("region").orderBy(F.xxhash64("id", F.lit(level)), "id")
             large_rows = rows.drop("d").join(small(large.select("region")), "region", "left_semi").join(sketches, "id")
-            pivots = large_rows.select("region", "id", "sketch").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
+            pivots = large_rows.select("region", "id", "sketch").withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * PIVOTS)
             pivots = pivots.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("k", "sketch"))).alias("pivots"))
 
             def cells():
+                chosen_of: dict[int, list[bytes]] = {}
+
                 def apply(batch: pa.RecordBatch) -> dict:
                     owner, number, distance = [], [], []
-                    for i, (x, own) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                        d = 1 - _bounds(pa.array([x] * len(own), pa.binary()), pa.array([p["sketch"] for p in own], pa.binary()))
-                        for k in np.flatnonzero(d <= d.min() + window):
+                    for i, (region, x, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 4, 5)))):
+                        if region not in chosen_of:
+                            if len(chosen_of) > 4096:
+                                chosen_of.clear()
+                            chosen_of[region] = _apart([p["sketch"] for p in own], window)
+                        d = _distances(x, chosen_of[region])
+                        far = d.min() > radius
+                        for k in np.flatnonzero(d <= (radius + reach if far else d.min() + window)):
                             owner.append(i)
                             number.append(int(k))
                             distance.append(float(d[k]))
+                        if far:
+                            owner.append(i)
+                            number.append(-1)
+                            distance.append(None)
                     part = batch.take(pa.array(owner, pa.int64()))
                     return {"region": part.column(0), "id": part.column(1), "n": part.column(2), "root": part.column(3), "d": distance, "cell": number}
 
@@ -245,7 +259,8 @@ class Join:
 
             dealt = map_texts(large_rows.join(pivots, "region"), ["region", "id", "n", "root", "sketch", "pivots"], "sketch", f"{schema}, cell int", cells)
             dealt = self.scratch.table(dealt, f"cells{level}")
-            shrunk = dealt.groupBy("region").agg(F.count("*").alias("made")).join(large, "region").where(F.col("made") <= 1.5 * F.col("size")).select("region")
+            sizes = dealt.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("made"), F.max("n").alias("most"))
+            shrunk = sizes.join(large, "region").where((F.col("made") <= 1.5 * F.col("size")) & (F.col("most") < F.col("size"))).select("region")
             shrunk = self.scratch.table(shrunk, f"shrunk{level}")
             leaves.append(rows.join(small(shrunk), "region", "left_anti"))
             rows = dealt.join(small(shrunk), "region", "left_semi").withColumn("region", F.xxhash64("region", "cell")).drop("cell")
@@ -298,6 +313,19 @@ def _bounds(x: pa.Array, y: pa.Array) -> np.ndarray:
     return out
 
 
+def _distances(x: bytes, pivots: list[bytes]) -> np.ndarray:
+    return 1 - _bounds(pa.array([x] * len(pivots), pa.binary()), pa.array(pivots, pa.binary()))
+
+
+def _apart(sketches: list[bytes], gap: float) -> list[bytes]:
+    """At most PIVOTS of the sketches, in order, each more than ``gap`` from those before."""
+    kept = sketches[:1]
+    for x in sketches[1:]:
+        if len(kept) < PIVOTS and _distances(x, kept).min() > gap:
+            kept.append(x)
+    return kept
+
+
 def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
@@ -323,6 +351,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIM
     Rows with a null doc_id cannot be named as copies and stay.
     """
     found = jaccard_components(docs.where(docs[doc_id].isNotNull()), width, percent, doc_id, text)
-    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[doc_id] == heads["_head"]).drop("_head").dropDuplicates([doc_id])
+    name = f"head_{uuid4().hex}"  # docs may have any columns
+    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(heads, docs[doc_id] == heads[name]).drop(name).dropDuplicates([doc_id])
     return kept.unionByName(docs.where(docs[doc_id].isNull()))

@@ -15,6 +15,8 @@ dropped from their documents.  Shorter lines always stay.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,8 +221,8 @@ def drop_lines(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text
 
     All other columns stay.  A document whose every line is dropped keeps an empty text.
     """
-    cut = dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_cut"))
-    joined = docs.join(cut, docs[doc_id] == cut["_id"], "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_cut"), i)), "\n")
-    return joined.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(kept)).drop("_id", "_cut")
+    key, cut = (f"{name}_{uuid4().hex}" for name in ("id", "cut"))  # docs may have any columns
+    gone = dropped.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(cut))
+    joined = docs.join(gone, docs[doc_id] == gone[key], "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(cut), i)), "\n")
+    return joined.withColumn(text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(kept)).drop(key, cut)
