@@ -87,7 +87,7 @@ def test_regions_lose_no_pair(spark, monkeypatch):
         own[swap] = rng.integers(0, 1 << 62, len(swap), np.uint64)
         sets.append(np.unique(own))
     join = jaccard.Join(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 4, 85)
-    rows = spark.createDataFrame([(7, i, len(s), i) for i, s in enumerate(sets)], "region long, id long, n int, root long")
+    rows = spark.createDataFrame([(7, i, len(s), 0, i) for i, s in enumerate(sets)], "region long, id long, n int, pos int, root long")
     chosen = spark.createDataFrame([(i, bytearray(shingles.sketch(s))) for i, s in enumerate(sets)], "id long, sketch binary")
     regions = defaultdict(set)
     divided = join.regions(rows, chosen).collect()

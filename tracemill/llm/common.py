@@ -102,8 +102,8 @@ def map_texts(
 def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by their columns, those whose first column has several values of the second.
 
-    Repeated rows count once.  A fourth column, if there is one, is a flag that
-    keeps a row anyway; it is not passed on.  Rows are streamed: only those of the
+    Repeated rows count once.  A last column named often, if there is one, keeps a
+    row anyway and is not passed on.  Rows are streamed: only those of the
     last (first, second) pair are held back between batches, with whether their
     first column is already known to have company.
     """
@@ -123,15 +123,19 @@ def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(~same)
         met = np.logical_or.reduceat(other, starts)
         keep = np.repeat(met, np.diff(np.r_[starts, len(g)]))
-        if batch.num_columns > 3:
-            keep |= columns[3][fresh]
+        if batch.schema.names[-1] == "often":
+            keep |= columns[-1][fresh]
         last = len(g) - int(np.argmax(((g != g[-1]) | (i != i[-1]))[::-1])) if (g[0] != g[-1] or i[0] != i[-1]) else 0
         held, known = batch.slice(last), bool(met[-1])
         flags = keep[last:]
         if last:
-            yield batch.slice(0, last).filter(pa.array(keep[:last])).select([0, 1, 2])
+            yield _without_flag(batch.slice(0, last).filter(pa.array(keep[:last])))
     if held is not None:
-        yield held.filter(pa.array(flags)).select([0, 1, 2])
+        yield _without_flag(held.filter(pa.array(flags)))
+
+
+def _without_flag(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.select([n for n in batch.schema.names if n != "often"])
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -7,8 +7,10 @@ are one point.  The join is exact:
    within the distance share a shingle among the first n - ceil(s * n) + 1 of
    each.  Only points that meet in such a block are compared at all; most
    shingles have one point and end here.
-2. *Star.*  Every block's first point is a pivot; its distance to the others
-   joins copies of a document, however many, in a linear number of pairs.
+   The positions of the shared shingle bound the overlap that can follow it.
+2. *Star.*  The point of a block that meets most others is its pivot: of a
+   document and its edited copies, the document.  Distances to the pivot join
+   the copies, however many, in a linear number of pairs.
 3. *Regions.*  Blocks whose points still lie in several components are regions.
    A large region takes pivots that lie apart, which divide it into Voronoi cells
    of at most a radius r and what is farther from all of them.  A point also goes
@@ -45,7 +47,7 @@ FREQUENT = 65_536  # shingles in the list of frequent ones
 FREQUENT_CHUNK = 2_000_000  # shingles counted together
 FREQUENT_LEAST = 3  # of a chunk's sets that must have a shingle
 PIVOTS = 8
-LEAF = 32
+LEAF = 8
 LEVELS = 4
 
 
@@ -69,6 +71,14 @@ class Join:
         """small / large reaches the similarity, in whole numbers."""
         return small_side * self.den >= large_side * self.num
 
+    def may_follow(self, na: str, pa_: str, nb: str, pb: str) -> Column:
+        """What stands from the shared shingle on can make up the overlap that two sizes need.
+
+        It holds at the first shingle that a similar pair shares, where every such pair meets.
+        """
+        rest = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+        return rest * (self.den + self.num) >= (F.col(na) + F.col(nb)) * self.num
+
     # -------------------------------------------------------------- points
 
     def points(self) -> DataFrame:
@@ -118,12 +128,12 @@ class Join:
     # -------------------------------------------------------------- blocks
 
     def blocks(self) -> DataFrame:
-        """(g, id, n) of the points that share a prefix shingle with another point."""
+        """(g, id, n, pos) of the points that share a prefix shingle with another point."""
         frequent = self.frequent()
         sorted_frequent, rank = np.sort(frequent), np.argsort(frequent)
         shared = self.spark.sparkContext.broadcast((sorted_frequent, rank))  # FREQUENT entries at most
         width, num, den = self.width, self.num, self.den
-        schema = _arrow_schema(self.spark, "g long, id long, n int, often boolean")
+        schema = _arrow_schema(self.spark, "g long, id long, n int, pos int, often boolean")
 
         def run(batches):
             known, place = shared.value
@@ -150,14 +160,14 @@ class Join:
                                 often = np.arange(prefix) >= len(rare)
                         else:
                             g, often = s[:prefix], np.zeros(prefix, bool)
-                        out.append((g.view(np.int64), np.full(prefix, key, np.int64), np.full(prefix, len(s), np.int32), often))
+                        out.append((g.view(np.int64), np.full(prefix, key, np.int64), np.full(prefix, len(s), np.int32), np.arange(prefix, dtype=np.int32), often))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
 
-        rows = self.docs.select("text").mapInArrow(run, "g long, id long, n int, often boolean")
+        rows = self.docs.select("text").mapInArrow(run, "g long, id long, n int, pos int, often boolean")
         # frequent shingles surely have company and are not dealt by key
-        dealt = rows.repartition(F.when(F.col("often"), F.xxhash64("g", "id")).otherwise(F.xxhash64("g"))).sortWithinPartitions("often", "g", "id")
-        return self.scratch.table(dealt.mapInArrow(company, "g long, id long, n int"), "blocks")
+        dealt = rows.repartition(F.when(F.col("often"), F.xxhash64("g", "id")).otherwise(F.xxhash64("g"))).sortWithinPartitions("often", "g", "id", "n", "pos")
+        return self.scratch.table(dealt.mapInArrow(company, "g long, id long, n int, pos int"), "blocks")
 
     def chosen(self, points: DataFrame, blocks: DataFrame) -> DataFrame:
         """id, doc_id of one of its documents, and sketch of every point in a block."""
@@ -216,10 +226,10 @@ class Join:
     # ------------------------------------------------------------- regions
 
     def regions(self, rows: DataFrame, chosen: DataFrame) -> DataFrame:
-        """Divide (region, id, n, root) until regions are leaves; adds d, the distance to the last pivot."""
+        """Divide (region, id, n, pos, root) until regions are leaves; adds d, the distance to the last pivot."""
         reach = 1 - self.num / self.den + 1e-9
         window = radius = 2 * reach
-        leaves, schema = [], "region long, id long, n int, root long, d double"
+        leaves, schema = [], "region long, id long, n int, pos int, root long, d double"
         sketches = chosen.select("id", "sketch")
         rows = rows.withColumn("d", F.lit(None).cast("double"))
         for level in range(LEVELS):
@@ -237,7 +247,7 @@ class Join:
 
                 def apply(batch: pa.RecordBatch) -> dict:
                     owner, number, distance = [], [], []
-                    for i, (region, x, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 4, 5)))):
+                    for i, (region, x, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 5, 6)))):
                         if region not in chosen_of:
                             if len(chosen_of) > 4096:
                                 chosen_of.clear()
@@ -253,11 +263,11 @@ class Join:
                             number.append(-1)
                             distance.append(None)
                     part = batch.take(pa.array(owner, pa.int64()))
-                    return {"region": part.column(0), "id": part.column(1), "n": part.column(2), "root": part.column(3), "d": distance, "cell": number}
+                    return {"region": part.column(0), "id": part.column(1), "n": part.column(2), "pos": part.column(3), "root": part.column(4), "d": distance, "cell": number}
 
                 return apply
 
-            dealt = map_texts(large_rows.join(pivots, "region"), ["region", "id", "n", "root", "sketch", "pivots"], "sketch", f"{schema}, cell int", cells)
+            dealt = map_texts(large_rows.join(pivots, "region"), ["region", "id", "n", "pos", "root", "sketch", "pivots"], "sketch", f"{schema}, cell int", cells)
             dealt = self.scratch.table(dealt, f"cells{level}")
             sizes = dealt.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("made"), F.max("n").alias("most"))
             shrunk = sizes.join(large, "region").where((F.col("made") <= 1.5 * F.col("size")) & (F.col("most") < F.col("size"))).select("region")
@@ -271,11 +281,11 @@ class Join:
         return out
 
     def leaf_pairs(self, rows: DataFrame) -> DataFrame:
-        """Pairs of one region in different components that size and distance to the pivot allow."""
+        """Pairs of one region in different components that size, position and distance to the pivot allow."""
         near = 1 - self.num / self.den + 1e-9
-        a = rows.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("d").alias("da"))
-        b = rows.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("d").alias("db"))
-        met = a.join(b, "region").where(F.col("a") < F.col("b")).where("ra <> rb").where(self.similar(F.least("na", "nb"), F.greatest("na", "nb")))
+        a = rows.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
+        b = rows.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
+        met = a.join(b, "region").where(F.col("a") < F.col("b")).where("ra <> rb").where(self.similar(F.least("na", "nb"), F.greatest("na", "nb"))).where(self.may_follow("na", "pa", "nb", "pb"))
         return met.where(F.coalesce(F.abs(F.col("da") - F.col("db")) <= near, F.lit(True))).select("a", "b").distinct()
 
     # ----------------------------------------------------------------- run
@@ -285,14 +295,18 @@ class Join:
         points = self.scratch.table(self.points(), "points")
         blocks = self.blocks()
         chosen = self.chosen(points, blocks)
-        pivot = blocks.groupBy("g").agg(F.min(F.struct("id", "n")).alias("p"))
-        star = blocks.join(pivot, "g").where("id <> p.id").where(self.similar(F.least("n", F.col("p.n")), F.greatest("n", F.col("p.n"))))
-        star = self.scratch.table(star.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
+        # how many others a point meets, over all its blocks
+        meets = blocks.join(blocks.groupBy("g").agg(F.count("*").alias("size")), "g").groupBy("id").agg(F.sum("size").alias("meets"))
+        ranked = self.scratch.table(blocks.join(meets, "id"), "ranked")
+        pivot = ranked.groupBy("g").agg(F.max(F.struct("meets", "id", "n")).alias("p"))
+        star = ranked.join(pivot, "g").where("id <> p.id").where(self.similar(F.least("n", F.col("p.n")), F.greatest("n", F.col("p.n"))))
+        ends = F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b")
+        star = self.scratch.table(star.select(*ends).distinct(), "star")
         links = self.verified(star, chosen, "star-links")
         roots = self.scratch.table(components(self.spark, links), "roots")
         placed = blocks.join(roots.withColumnRenamed("h", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_blocks = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-        rows = placed.join(open_blocks, "g", "left_semi").select(F.col("g").alias("region"), "id", "n", "root")
+        rows = placed.join(open_blocks, "g", "left_semi").select(F.col("g").alias("region"), "id", "n", "pos", "root")
         rows = self.scratch.table(rows, "regions")
         pairs = self.leaf_pairs(self.regions(rows, chosen)).join(star, ["a", "b"], "left_anti")
         more = self.verified(self.scratch.table(pairs, "pairs"), chosen, "links")
