@@ -8,8 +8,9 @@ Segments are the index, the bounded substrings of equal or longer lines the
 probes; both are joined on a hash of (length, segment number, substring), and
 every candidate is verified with a banded bit-parallel automaton.
 
-Equal lines are collapsed before the join, so copies never meet in pairs.  Of a
-class of linked lines the first by (doc_id, line number) is kept; the others are
+Equal lines are collapsed before the join, so copies never meet in pairs, and
+variants of one line are first joined to the line that meets most others, so they
+need not meet each other.  Of a class of linked lines the first by (doc_id, line number) is kept; the others are
 dropped from their documents.  Shorter lines always stay.
 """
 
@@ -161,11 +162,29 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # most keys belong to one line alone and end in one streamed pass
     dealt = rows.repartition("key").sortWithinPartitions("key", "h", "probe")
     rows = scratch.table(dealt.mapInArrow(company, "key long, h long, probe boolean"), "keys")
-    index, probe = rows.where("not probe"), rows.where("probe")
-    met = probe.select("key", F.col("h").alias("p")).join(index.select("key", F.col("h").alias("i")), "key").where("p <> i")
-    pairs = scratch.table(met.select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct(), "pairs")
+    # star: each key's most met line is its pivot, which joins the variants of a line in linearly many pairs
+    meets = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("h").agg(F.sum("size").alias("meets"))
+    ranked = rows.select("key", "h").distinct().join(meets, "h")
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("meets", "h"))["h"].alias("p"))
+    star = ranked.join(pivot, "key").where("h <> p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
+    star = scratch.table(star.distinct(), "star")
+    links = _verified(star, long, distance, scratch, "star-links")
+    # what is left: probes and segments of lines that are not connected yet
+    roots = scratch.table(components(lines.sparkSession, links), "roots")
+    placed = rows.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    placed = scratch.table(placed.join(open_keys, "key", "left_semi"), "open")
+    probe = placed.where("probe").select("key", F.col("h").alias("p"), F.col("root").alias("rp"))
+    index = placed.where("not probe").select("key", F.col("h").alias("i"), F.col("root").alias("ri"))
+    met = probe.join(index, "key").where("rp <> ri").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    pairs = scratch.table(met.join(star, ["a", "b"], "left_anti"), "pairs")
+    return links if pairs.isEmpty() else links.union(_verified(pairs, long, distance, scratch, "links"))
+
+
+def _verified(pairs: DataFrame, long: DataFrame, distance: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs of line hashes whose lines are within the distance."""
     needed = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = scratch.table(long.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    texts = scratch.table(long.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), f"{name}-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify():
@@ -176,7 +195,7 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
         return apply
 
-    return scratch.table(map_texts(both, ["a", "b", "x", "y"], "x", "a long, b long", verify), "links")
+    return scratch.table(map_texts(both.where(F.abs(F.length("x") - F.length("y")) <= distance), ["a", "b", "x", "y"], "x", "a long, b long", verify), name)
 
 
 def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
