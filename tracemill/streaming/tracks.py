@@ -30,10 +30,10 @@ def first_seen(rows: DataFrame, ident: str, late: str = LATE) -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([ident])
 
 
-def plausible(fixes: DataFrame, key: str, speed: float, idle: str = "1 hour") -> DataFrame:
+def plausible(fixes: DataFrame, key: str, speed: float, idle: str = "1 hour", late: str = LATE) -> DataFrame:
     """Fixes that the last accepted one can reach: key, ts, lat, lon, accepted.
 
-    State is the last accepted fix of each key; it is dropped after ``idle``.
+    State is the last accepted fix of each key; it is dropped once event time is ``idle`` past it.
     """
     from math import cos, hypot, radians
 
@@ -54,10 +54,11 @@ def plausible(fixes: DataFrame, key: str, speed: float, idle: str = "1 hour") ->
                 last = (t, float(lat), float(lon))
             flags.append(ok)
         state.update(last)
-        state.setTimeoutDuration(idle_ms)
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield rows.assign(**{key: group[0], "accepted": flags})[[key, "ts", "lat", "lon", "accepted"]]
 
-    return fixes.groupBy(key).applyInPandasWithState(step, schema, "t double, lat double, lon double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fixes.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, schema, "t double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
