@@ -16,10 +16,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import Scratch, map_texts
+
 CAPACITY = 2048
 SHARD = 4096
 BINS = "doc_id long, piece int, n_words long, word_offset long, shard int, bin int, bin_offset int, bin_used int"
@@ -77,14 +81,22 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pieces_of(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
     """One row a piece of at most ``capacity`` words; documents without words have none."""
-    body = F.trim(F.regexp_replace(docs[text], r"[\x20\x09-\x0D]+", " "))
-    words = F.when(F.length(body) > 0, F.size(F.split(body, " "))).otherwise(0)
-    own = docs.select(
-        docs[doc_id].cast("long").alias("doc_id"),
-        docs[source].cast("string").alias("source"),
-        (docs[cluster].cast("long") if cluster else F.when(F.length(body) > 0, F.xxhash64(body))).alias("cluster"),
-        words.cast("long").alias("words"),
-    ).where("words > 0")
+    given = docs[cluster].cast("long") if cluster else F.lit(None).cast("long")
+    picked = [docs[doc_id].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), given.alias("cluster"), docs[text].alias("text")]
+
+    def make():
+        from xxhash import xxh3_64_intdigest
+
+        def apply(batch: pa.RecordBatch) -> dict:
+            words = [t.encode().split() if t else [] for t in batch.column(3).to_pylist()]  # ASCII white space
+            own = batch.column(2)
+            if not cluster:
+                own = pa.array(np.array([xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64))
+            return {"doc_id": batch.column(0), "source": batch.column(1), "cluster": own, "words": [len(w) for w in words]}
+
+        return apply
+
+    own = map_texts(docs, picked, "text", "doc_id long, source string, cluster long, words long", make).where("words > 0")
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))
     cut = own.select("*", piece.alias("piece")).withColumn("word_offset", F.col("piece").cast("long") * capacity)
     return cut.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("word_offset")).alias("n_words"), "word_offset", "source", "cluster")
@@ -99,7 +111,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, doc_id:
     wordless texts have no piece.  Repeated rows are pieces of one cluster.  Ties
     go to the lower doc_id, then to the lower bin.
     """
-    pieces = pieces_of(docs, capacity, doc_id, text, source, cluster)
+    pieces = Scratch(docs.sparkSession, "packing").table(pieces_of(docs, capacity, doc_id, text, source, cluster), "pieces")
     total = pieces.count()
     shards = max(1, -(-total // shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int"))
