@@ -274,7 +274,7 @@ def test_packing_holds_all_words_without_conflicts(spark):
 def test_hamming_equals_brute_force(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(20)]
-    codes = [(i, rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6)))) for i in range(300)] + [(i, base[0]) for i in range(300, 420)]
+    codes = [(i, rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6))) % (1 << 64)) for i in range(300)] + [(i, base[0]) for i in range(300, 420)]
     signed = [(i, c - (1 << 64) if c >> 63 else c) for i, c in codes]
     rows = spark.createDataFrame(signed + [(None, 5), (999, None), signed[0]], "id long, code long")
     found = defaultdict(list)

@@ -1,10 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into SEGMENTS substrings, each an index of its own.  Round
-r probes every index with the keys at Hamming distance r from the query's
-substring.  By the pigeonhole principle a code not found after round r differs
-from the query by at least SEGMENTS * (r + 1) bits, so a query is finished once
-its kth verified distance is smaller than that.  Rows with equal codes share one
+A 64-bit code is cut into SEGMENTS substrings, each an index of its own.  A round
+probes every index with the keys whose Hamming distance from the query's
+substring is within its radius r and beyond the last one's; the first round goes
+to FIRST_RADIUS, every later one a bit further.  By the pigeonhole principle a
+code not found by then differs from the query by at least SEGMENTS * (r + 1)
+bits, so a query is finished once its kth verified distance is smaller than that.  Rows with equal codes share one
 index entry that keeps their k lowest ids: no other of them can be in an answer.
 """
 
@@ -22,6 +23,7 @@ from tracemill.llm.common import Scratch
 SEGMENTS = 4
 BITS = 64 // SEGMENTS
 MASK = (1 << BITS) - 1
+FIRST_RADIUS = 2
 
 
 def sign_code(vector: str | Column) -> Column:
@@ -35,15 +37,15 @@ def _segment(code: Column, s: int) -> Column:
     return F.shiftrightunsigned(code, s * BITS).bitwiseAND(F.lit(MASK)).cast("int")
 
 
-def _masks(radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(BITS), radius)], np.int32)
+def _masks(beyond: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in bits) for n in range(beyond + 1, radius + 1) for bits in combinations(range(BITS), n)], np.int32)
 
 
-def _probes(queries: DataFrame, radius: int) -> DataFrame:
-    """(code, segment, key) of all keys at exactly this radius."""
+def _probes(queries: DataFrame, beyond: int, radius: int) -> DataFrame:
+    """(code, segment, key) of all keys within ``radius`` and not within ``beyond``."""
 
     def run(batches):
-        masks = _masks(radius)
+        masks = _masks(beyond, radius)
         for batch in batches:
             codes = np.asarray(batch.column(0))
             for i in range(0, len(codes), 64):
@@ -74,14 +76,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query
     index = scratch.table(entries.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("code"), s).alias("key")) for s in range(SEGMENTS)])).alias("at")).select("at.segment", "at.key", "code", "ids"), "index")
     asked = scratch.table(queries.select(queries[query_id].cast("long").alias("query_id"), queries[code].cast("long").alias("query")).where("query_id is not null and query is not null").dropDuplicates(), "asked")
     active = asked.select("query").distinct()
-    best, finished, radius = None, [], 0
+    best, finished, beyond, radius = None, [], -1, FIRST_RADIUS
     while want:
-        found = _probes(active, radius).join(index, ["segment", "key"])
+        found = _probes(active, beyond, radius).join(index, ["segment", "key"])
         by_segment = [F.bit_count(_segment(F.col("query"), s).bitwiseXOR(_segment(F.col("code"), s))) for s in range(SEGMENTS)]
         # a code is taken where the search meets it first
         first = F.lit(True)
         for s, d in enumerate(by_segment):
-            first = first & ((d > radius) | ((d == radius) & (F.col("segment") <= s)))
+            first = first & ((d > radius) | ((d > beyond) & (F.col("segment") <= s)))
         fresh = found.where(first).select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), F.explode("ids").alias("id"))
         merged = fresh if best is None else fresh.unionByName(best.select("query", F.inline("best")))
         order = Window.partitionBy("query").orderBy("distance", "id")
@@ -94,7 +96,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query
         active = state.where("not done").select("query")
         if active.isEmpty():
             break
-        radius += 1
+        beyond, radius = radius, radius + 1
     if not finished:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance int")
     answers = finished[0]
