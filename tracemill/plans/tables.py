@@ -32,7 +32,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return events.select(
         "user_id",
-        (F.row_number().over(w) - 1).alias("seq"),
+        (F.row_number().over(w) - 1).cast("long").alias("seq"),
         ((micros - F.min(micros).over(Window.partitionBy("user_id"))) / 1e6).alias("t_sec"),
         F.col("value").alias("x"),
         F.get_json_object("props", "$.k").cast("double").alias("y"),
