@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans import alignment, folds, graphs, ranks, sequences, streams, texts  # noqa: F401  each registers its queries
+from tracemill.plans import alignment, folds, gates, graphs, ranks, sequences, streams, texts  # noqa: F401  each registers its queries
 from tracemill.plans.tables import CATALOG, ORACLES
 
 
