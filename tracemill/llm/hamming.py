@@ -78,7 +78,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "id", query
     active = asked.select("query").distinct()
     best, finished, beyond, radius = None, [], -1, FIRST_RADIUS
     while want:
-        found = _probes(active, beyond, radius).join(index, ["segment", "key"])
+        # the planner takes the probes for as small as the queries; they must be shuffled
+        found = _probes(active, beyond, radius).hint("merge").join(index, ["segment", "key"])
         by_segment = [F.bit_count(_segment(F.col("query"), s).bitwiseXOR(_segment(F.col("code"), s))) for s in range(SEGMENTS)]
         # a code is taken where the search meets it first
         first = F.lit(True)
