@@ -17,13 +17,6 @@ def sql_replaced(x: str, pairs: dict[str, str]) -> str:
     return x
 
 
-SHORT = "docs as (select doc_id, left(text, 400) as t from documents)"
-
-
-def _short(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("t"))
-
-
 @query(rf"""select doc_id, lower(regexp_replace(translate({sql_replaced('text', T.EXPANDED)}, '{T.ACCENTED}', '{T.PLAIN}'), '[^\x00-\x7F]', '', 'g')) as norm from documents""")
 def t01_street_norm(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.street_norm(F.col("text")).alias("norm"))
@@ -89,7 +82,7 @@ def t06_parse_latlon(spark, sf_dir):
   select doc_id, p, row_number() over (partition by doc_id order by n, m) as k from good qualify row_number() over (partition by doc_id, lower(p) order by n, m) = 1
 ) select doc_id, list(p order by k) as phrases from (select *, row_number() over (partition by doc_id order by k) as j from once) where j <= 14 group by doc_id""")
 def t07_place_phrases(spark, sf_dir):
-    return _short(spark, sf_dir).select("doc_id", T.place_phrases(F.col("t")).alias("phrases")).where("size(phrases) > 0")
+    return table(spark, sf_dir, "documents").select("doc_id", T.place_phrases(F.col("text")).alias("phrases")).where("size(phrases) > 0")
 
 
 @query("""with p as (select s_suppkey as id, case s_suppkey % 5 when 0 then 'UL-AB ' || s_suppkey % 1000 when 1 then 'BAB' || s_suppkey % 1000 when 2 then 'MAB' || s_suppkey % 100 when 3 then 'xx' || s_suppkey else 'ULAB12345678' end as plate, s_suppkey % 5 as f, s_suppkey from supplier)
