@@ -1,5 +1,6 @@
 """Registered queries over whole inputs, held against brute force on small fixtures."""
 
+import difflib
 import re
 
 from tracemill.functions import text as T
@@ -23,3 +24,20 @@ def test_place_phrases_after_the_first_400_characters(spark, tmp_path):
     found = {r.doc_id: r.phrases for r in catalog.queries()["t07_place_phrases"](spark, str(tmp_path)).collect()}
     assert found == {i: p for i, p in enumerate(map(phrases, texts)) if p}
     assert found[0] == ["Ulm", "Neu Ulm", "Berlin"] and found[1] == ["Kempten", "Lindau"] and len(found[4]) == 14
+
+
+def test_fuzzy_streets_of_all_words_whatever_the_first_letter(spark, tmp_path):
+    docs = ["der die das und ein aus bei mit Kaiser caiser", "one two three four five six seven eight lavendar Xlavender", "Blanched blanchedalmonds khaki akhik", "", "ab-c d'e 12345 almnod"]
+    parts = ["lavender kaiser", "almond blanched", "khaki steel"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(parts)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    names = {n for p in parts for n in p.split() if len(n) >= 4}
+    expected = {}
+    for i, d in enumerate(docs):
+        for w in {w.lower() for w in d.split() if len(w) >= 4}:
+            r, n = max((round(difflib.SequenceMatcher(None, w, n).ratio(), 6), n) for n in names)
+            if r >= 0.6:
+                expected[i, w] = (n, r)
+    found = {(r.doc_id, r.w): (r.name, r.ratio) for r in catalog.queries()["j14_fuzzy_streets"](spark, str(tmp_path)).collect()}
+    assert found == expected
+    assert found[0, "caiser"][0] == "kaiser" and found[1, "xlavender"][0] == "lavender" and (2, "blanchedalmonds") in found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -83,7 +85,12 @@ def p09_elastic_fusion(spark, sf_dir):
 
 @query()
 def j14_fuzzy_streets(spark, sf_dir):
-    """Best gazetteer name for each detected word, blocked by a shared first letter and close length."""
+    """Best gazetteer name for each detected word of at least four characters, all words of a document.
+
+    A ratio r needs 2 * matches >= r * (both lengths).  Matches are at most the
+    shorter length and at most the characters in common, so neither filter loses
+    a pair.  Every distinct word is compared once and joined back to its documents.
+    """
     from pyspark.sql.functions import pandas_udf
 
     from tracemill.functions.text import street_norm
@@ -92,12 +99,25 @@ def j14_fuzzy_streets(spark, sf_dir):
     def ratio(a, b):
         return a.combine(b, P.sequence_ratio).astype(float)
 
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.slice(F.split("text", r"\s+"), 1, 8)).alias("w"))
-    words = words.select("doc_id", street_norm(F.col("w")).alias("w")).where("length(w) >= 4").distinct()
+    def counted(rows, side):
+        """``rows`` with its length and how often it has each letter, or any other character."""
+        rows = rows.withColumn(f"{side}_length", F.length(side))
+        letters = {f"{side}_{c}": F.col(f"{side}_length") - F.length(F.replace(F.col(side), F.lit(c), F.lit(""))) for c in ascii_lowercase}
+        return rows.withColumns(letters).withColumn(f"{side}_other", F.col(f"{side}_length") - sum(F.col(k) for k in letters))
+
+    least = 0.6
+    detected = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
+    detected = detected.select("doc_id", street_norm(F.col("w")).alias("w")).where("length(w) >= 4").distinct()
     names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("name")).select(street_norm(F.col("name")).alias("name")).where("length(name) >= 4").distinct()
-    met = words.join(names, F.substring("w", 1, 1) == F.substring("name", 1, 1)).where("abs(length(w) - length(name)) <= 2")
-    scored = met.withColumn("ratio", F.round(ratio("w", "name"), 6)).where("ratio >= 0.6")
-    return scored.groupBy("doc_id", "w").agg(F.max_by(F.struct("name", "ratio"), F.struct("ratio", "name")).alias("b")).select("doc_id", "w", "b.name", "b.ratio")
+    words, names = counted(detected.select("w").distinct(), "w"), counted(names, "name")
+    share = least / (2 - least)
+    lengths = F.sequence(F.floor(F.col("name_length") * share).cast("int"), F.ceil(F.col("name_length") / share).cast("int"))
+    names = names.withColumn("w_length", F.explode(lengths))
+    common = sum(F.least(f"w_{c}", f"name_{c}") for c in [*ascii_lowercase, "other"])
+    met = words.join(names, "w_length").where(2 * common >= (least - 1e-6) * (F.col("w_length") + F.col("name_length"))).select("w", "name")
+    scored = met.withColumn("ratio", F.round(ratio("w", "name"), 6)).where(F.col("ratio") >= least)
+    best = scored.groupBy("w").agg(F.max_by(F.struct("name", "ratio"), F.struct("ratio", "name")).alias("b"))
+    return detected.join(best, "w").select("doc_id", "w", "b.name", "b.ratio")
 
 
 @query()
