@@ -44,7 +44,7 @@ ANCHORS = f"{TRACKS}, anchors as (select user_id, seq, x, y, 2 * x - y + (seq %
 
 
 def _anchors(spark, sf_dir):
-    rows = tracks(spark, sf_dir).where("seq < 12")
+    rows = tracks(spark, sf_dir)
     return rows.select("user_id", "seq", "x", "y", (2 * F.col("x") - F.col("y") + F.col("seq") % 3 * 5).alias("wx"), (F.col("x") + 2 * F.col("y") - F.col("seq") % 4 * 3).alias("wy"))
 
 
@@ -111,7 +111,7 @@ from tracks p join segments s on s.user_id = p.user_id + 1 where p.seq % 5 = 0 g
 def j04_point_to_polyline(spark, sf_dir):
     rows = tracks(spark, sf_dir)
     lines = A.segments(rows, "user_id").withColumn("user_id", F.col("user_id") - 1)
-    points = rows.where("seq % 5 = 0").select("user_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"))
+    points = rows.select("user_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"))
     return points.join(lines, "user_id").groupBy("user_id", "seq").agg(F.round(F.min(A.segment_distance()), 6).alias("distance"))
 
 
@@ -122,7 +122,7 @@ def j04_point_to_polyline(spark, sf_dir):
 ) select d.user_id, round(min({sql_segment_distance('d.px', 'd.py')}), 5) as distance from dense d join segments s on s.user_id = d.user_id + 1 group by d.user_id""")
 def j05_polyline_to_polyline(spark, sf_dir):
     rows = tracks(spark, sf_dir)
-    dense = A.densify(rows.where("seq < 13"), "user_id", 50.0)
+    dense = A.densify(rows, "user_id", 50.0)
     lines = A.segments(rows, "user_id").withColumn("user_id", F.col("user_id") - 1)
     return dense.join(lines, "user_id").groupBy("user_id").agg(F.round(F.min(A.segment_distance()), 5).alias("distance"))
 
@@ -135,7 +135,7 @@ def j05_polyline_to_polyline(spark, sf_dir):
 def a21_waypoint_errors(spark, sf_dir):
     rows = tracks(spark, sf_dir)
     lines = A.segments(rows, "user_id").withColumn("user_id", F.col("user_id") - 1)
-    points = rows.where("seq % 9 = 0").select("user_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"))
+    points = rows.select("user_id", "seq", F.col("x").alias("px"), F.col("y").alias("py"))
     near = points.join(lines, "user_id").groupBy("user_id", "seq").agg(F.min(A.segment_distance()).alias("d"))
     start = rows.where("seq = 0")
     other = start.select((F.col("user_id") - 1).alias("user_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
@@ -149,7 +149,7 @@ select n.node_id, round(min(sqrt((n.x - a.x) ** 2 + (n.y - a.y) ** 2)), 6) as di
 group by n.node_id order by distance, n.node_id limit 40""")
 def j13_disc_seed_nodes(spark, sf_dir):
     nodes = spark.range(4900).select(F.col("id").alias("node_id"), (F.col("id") % 70 * 100.0).alias("ax"), (F.floor(F.col("id") / 70) * 100.0).alias("ay"))
-    anchors = table(spark, sf_dir, "supplier").where("s_suppkey < 25").select((F.col("s_suppkey") * 613 % 7000).alias("bx"), (F.col("s_suppkey") * 227 % 7000).alias("by"))
+    anchors = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 613 % 7000).alias("bx"), (F.col("s_suppkey") * 227 % 7000).alias("by"))
     near = A.near_pairs(nodes, anchors, 300.0).groupBy("node_id").agg(F.round(F.min("distance"), 6).alias("distance"))
     return near.orderBy("distance", "node_id").limit(40)
 

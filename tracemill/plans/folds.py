@@ -34,7 +34,7 @@ def p12_turn_distance(spark, sf_dir):
 @query()
 def o10_leader_clusters(spark, sf_dir):
     fold = lambda g: list(zip(g["seq"].astype(int), P.leader_clusters(list(zip(g["x"], g["y"])), 120.0)))
-    return P.per_group(tracks(spark, sf_dir).where("seq < 64"), "user_id", "user_id long, seq int, cluster int", fold, ["seq"])
+    return P.per_group(tracks(spark, sf_dir), "user_id", "user_id long, seq int, cluster int", fold, ["seq"])
 
 
 @query()
@@ -80,7 +80,7 @@ def p09_elastic_fusion(spark, sf_dir):
         fused = P.elastic_fuse(route, at, route[at] + [20.0, -10.0], np.ones(len(at)))
         return [(int(s), round(float(p[0]), 4), round(float(p[1]), 4)) for s, p in zip(g["seq"], fused)]
 
-    return P.per_group(tracks(spark, sf_dir).where("seq < 128"), "user_id", "user_id long, seq int, x double, y double", fold, ["seq"])
+    return P.per_group(tracks(spark, sf_dir), "user_id", "user_id long, seq int, x double, y double", fold, ["seq"])
 
 
 @query()
@@ -122,7 +122,7 @@ def j14_fuzzy_streets(spark, sf_dir):
 
 @query()
 def x21_extrude(spark, sf_dir):
-    rings = tracks(spark, sf_dir).where("seq < 5")
+    rings = tracks(spark, sf_dir)
 
     def fold(g):
         n = len(g)

@@ -96,5 +96,5 @@ def x42_walk_summary(spark, sf_dir):
 def g03_match_topk(spark, sf_dir):
     found, view = _walks(spark)
     lines = N.walk_points(found, view).withColumn("walk_id", F.col("start_node") * 1000 + F.col("walk"))
-    steps = tracks(spark, sf_dir).where("seq < 40").select(F.col("user_id").alias("clip"), "seq", F.sum("x").over(N.Window.partitionBy("user_id").orderBy("seq")).alias("x"), F.sum("y").over(N.Window.partitionBy("user_id").orderBy("seq")).alias("y"))
-    return N.match(steps, lines.select("walk_id", "seq", "x", "y"), "clip", "walk_id", 32, 50, 5)
+    steps = tracks(spark, sf_dir).select(F.col("user_id").alias("clip"), "seq", F.sum("x").over(N.Window.partitionBy("user_id").orderBy("seq")).alias("x"), F.sum("y").over(N.Window.partitionBy("user_id").orderBy("seq")).alias("y"))
+    return N.match(steps, lines.select("walk_id", "seq", "x", "y"), "clip", "walk_id", 32, 500, 5)

@@ -139,8 +139,8 @@ def p01_normalized(spark, sf_dir):
 
 @query()
 def p04_viterbi(spark, sf_dir):
-    t = tracks(spark, sf_dir).where("seq < 20").select(F.col("user_id").cast("long").alias("clip"), F.col("seq").cast("long").alias("seq"), "x", "y")
-    q = t.where("seq < 8").select("clip", F.col("seq").alias("q"), F.col("x").alias("qx"))
+    t = tracks(spark, sf_dir).select(F.col("user_id").cast("long").alias("clip"), F.col("seq").cast("long").alias("seq"), "x", "y")
+    q = t.select("clip", F.col("seq").alias("q"), F.col("x").alias("qx"))
     refs = t.select("clip", F.col("seq").alias("ref"), "x", "y")
     sims = q.join(refs, "clip").select("clip", "q", "ref", F.round(1 / (1 + F.abs(F.col("qx") - F.col("x")) / 100), 9).alias("sim"))
     return V.viterbi_decode(sims, refs, "clip", 2.0)
