@@ -19,9 +19,13 @@ are one point.  The join is exact:
    within t has its cell elsewhere.  Cells and the far rest are regions again.  Distances here are those of the sketches, sets counted in
    a fixed number of cells: a weighted Jaccard distance that never exceeds the
    true one, so windows taken from it lose nothing.
-4. *Leaves.*  In a small region, or one that its pivots do not divide, all pairs
-   of different components pass size and sketch bounds and are then verified on
-   the sets.
+4. *Leaves.*  A small region, or one that its pivots do not divide, is cut into
+   bands of sizes, of which only neighbours can be similar.  Pairs of different
+   components pass bounds on sizes, positions and parities inside the join, then
+   the sketch bound, and are verified on the sets.
+
+The parity of a set says of each of PARITY cells whether it holds an odd number of
+shingles; as many cells as differ, at least so many shingles stand in one set alone.
 
 The global order puts a bounded list of frequent shingles last.  The list only
 decides how much work is done; any order gives the same result.
@@ -29,7 +33,7 @@ decides how much work is done; any order gives the same result.
 
 from __future__ import annotations
 
-from math import gcd
+from math import gcd, log
 from uuid import uuid4
 
 import numpy as np
@@ -40,15 +44,17 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import Scratch, _arrow_schema, company, map_texts, slices
 from tracemill.llm.graph import components, small
-from tracemill.llm.shingles import CELLS, shingle_sets, sketch
+from tracemill.llm.shingles import CELLS, PARITY, parity, shingle_sets, sketch
 
 WIDTH, SIMILARITY = 5, 80  # words of a shingle; percent
 FREQUENT = 65_536  # shingles in the list of frequent ones
 FREQUENT_CHUNK = 2_000_000  # shingles counted together
 FREQUENT_LEAST = 3  # of a chunk's sets that must have a shingle
 PIVOTS = 8
-LEAF = 8
-LEVELS = 4
+LEAF = 64
+LEVELS = 8
+PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+PARITY_COLUMNS = ", ".join(f"{p} long" for p in PARITIES)
 
 
 def _ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -82,18 +88,20 @@ class Join:
     # -------------------------------------------------------------- points
 
     def points(self) -> DataFrame:
-        """doc_id, n, id (null without words) and sketch of every row."""
+        """doc_id, n, id (null without words), sketch and parities of every row."""
         width = self.width
 
         def make():
             def apply(batch: pa.RecordBatch) -> dict:
                 sets = shingle_sets(batch.column(1).to_pylist(), width)
                 n = np.array([len(s) for s in sets], np.int64)
-                return {"doc_id": batch.column(0), "n": n, "id": pa.array(_ids(sets), mask=n == 0), "sketch": [sketch(s) for s in sets]}
+                odd = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), len(PARITIES))
+                own = {"doc_id": batch.column(0), "n": n, "id": pa.array(_ids(sets), mask=n == 0), "sketch": [sketch(s) for s in sets]}
+                return own | {name: odd[:, i] for i, name in enumerate(PARITIES)}
 
             return apply
 
-        return map_texts(self.docs, ["doc_id", "text"], "text", "doc_id long, n long, id long, sketch binary", make)
+        return map_texts(self.docs, ["doc_id", "text"], "text", f"doc_id long, n long, id long, sketch binary, {PARITY_COLUMNS}", make)
 
     def frequent(self) -> np.ndarray:
         """Frequent shingles by rising frequency: of all sets, at most FREQUENT."""
@@ -170,8 +178,8 @@ class Join:
         return self.scratch.table(dealt.mapInArrow(company, "g long, id long, n int, pos int"), "blocks")
 
     def chosen(self, points: DataFrame, blocks: DataFrame) -> DataFrame:
-        """id, doc_id of one of its documents, and sketch of every point in a block."""
-        one = points.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "sketch")).alias("one"))
+        """id, doc_id of one of its documents, sketch and parities of every point in a block."""
+        one = points.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "sketch", *PARITIES)).alias("one"))
         return self.scratch.table(one.join(blocks.select("id").distinct(), "id", "left_semi").select("id", "one.*"), "chosen")
 
     # --------------------------------------------------------- verification
@@ -210,9 +218,11 @@ class Join:
 
         def exact():
             def apply(batch: pa.RecordBatch) -> dict:
-                n, keep = batch.num_rows, []
-                sets = shingle_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), width)
-                for p, q in zip(sets[:n], sets[n:]):
+                keep = []
+                ends = [batch.column(c).to_pylist() for c in (0, 1)]
+                text = dict(zip(ends[0] + ends[1], batch.column(2).to_pylist() + batch.column(3).to_pylist()))
+                sets = dict(zip(text, shingle_sets(list(text.values()), width)))  # a pivot is cut into shingles once
+                for p, q in zip(*([sets[i] for i in own] for own in ends)):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(both * den >= num * (len(p) + len(q) - both))
                 mask = pa.array(keep, pa.bool_())
@@ -280,13 +290,25 @@ class Join:
             out = out.unionByName(part)
         return out
 
-    def leaf_pairs(self, rows: DataFrame) -> DataFrame:
-        """Pairs of one region in different components that size, position and distance to the pivot allow."""
+    def leaf_pairs(self, rows: DataFrame, chosen: DataFrame) -> DataFrame:
+        """Pairs of one region in different components that sizes, positions, distances to the pivot and parities allow.
+
+        A region is cut into bands in each of which the largest size is at most
+        the smallest over the similarity: partners lie in one band or in the next.
+        """
         near = 1 - self.num / self.den + 1e-9
-        a = rows.select("region", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("root").alias("ra"), F.col("d").alias("da"))
-        b = rows.select("region", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("root").alias("rb"), F.col("d").alias("db"))
-        met = a.join(b, "region").where(F.col("a") < F.col("b")).where("ra <> rb").where(self.similar(F.least("na", "nb"), F.greatest("na", "nb"))).where(self.may_follow("na", "pa", "nb", "pb"))
-        return met.where(F.coalesce(F.abs(F.col("da") - F.col("db")) <= near, F.lit(True))).select("a", "b").distinct()
+        kept = ["region", "id", "n", "pos", "root", "d", *PARITIES]
+        band = F.floor(F.log(F.col("n").cast("double")) / (log(self.den / self.num) + 1e-9)).cast("int") if self.num < self.den else F.col("n")
+        rows = rows.join(chosen.select("id", *PARITIES), "id").select(*kept, band.alias("band"))
+        a = rows.select("region", "band", *[F.col(c).alias(f"a_{c}") for c in kept[1:]])
+        b = rows.withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+        b = b.select("region", "band", "own", *[F.col(c).alias(f"b_{c}") for c in kept[1:]])
+        met = a.join(b, ["region", "band"]).where(F.col("a_root") != F.col("b_root")).where((F.col("a_id") < F.col("b_id")) | (F.col("own") != F.col("band")))
+        met = met.where(self.similar(F.least("a_n", "b_n"), F.greatest("a_n", "b_n"))).where(self.may_follow("a_n", "a_pos", "b_n", "b_pos"))
+        apart = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES)
+        met = met.where(apart * (self.den + self.num) <= (F.col("a_n") + F.col("b_n")) * (self.den - self.num))
+        met = met.where(F.coalesce(F.abs(F.col("a_d") - F.col("b_d")) <= near, F.lit(True)))
+        return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
     # ----------------------------------------------------------------- run
 
@@ -308,7 +330,7 @@ class Join:
         open_blocks = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
         rows = placed.join(open_blocks, "g", "left_semi").select(F.col("g").alias("region"), "id", "n", "pos", "root")
         rows = self.scratch.table(rows, "regions")
-        pairs = self.leaf_pairs(self.regions(rows, chosen)).join(star, ["a", "b"], "left_anti")
+        pairs = self.leaf_pairs(self.regions(rows, chosen), chosen).join(star, ["a", "b"], "left_anti")
         more = self.verified(self.scratch.table(pairs, "pairs"), chosen, "links")
         roots = self.scratch.table(components(self.spark, links.union(more)), "all-roots")
         return points.join(roots.withColumnRenamed("h", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), "id", F.coalesce("root", "id").alias("root"))

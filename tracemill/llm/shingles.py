@@ -12,8 +12,9 @@ _BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Cells of a sketch.
+#: Cells of a sketch, and of a parity; multiples of 64.
 CELLS = 128
+PARITY = 256
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -73,3 +74,9 @@ def sketch(values: np.ndarray) -> bytes:
     """Shingles counted in CELLS cells by hash, as 16-bit counts; empty if they do not fit."""
     counts = np.bincount((values & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
     return counts.astype(np.uint16).tobytes() if counts.max(initial=0) < 1 << 16 else b""
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """Whether each of PARITY cells holds an odd number of shingles, as bits of 64-bit integers."""
+    counts = np.bincount((values >> np.uint64(32) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
