@@ -13,9 +13,11 @@ entry state, and a second pass in lock step emits the starts.
 *Merger.*  A byte transducer that is compiled as input reaches it.  Its state
 after a prefix of a pre-token is the prefix's last BPE token in the context of
 the states before it; by the unique-valid-encoding property of BPE the last
-token is the one suffix token that merges with nothing to its left.  Each
-transition is annotated with the change in the number of emitted tokens, so a
-pre-token's count is the sum along its path.
+token is the one suffix token that merges with nothing to its left.  A transition
+takes a token behind the state some bytes back and is annotated with one emitted
+token, so a pre-token's count is the sum along its path.  The distinct pre-tokens
+of a batch are lanes that read their bytes in lock step; which pairs of tokens stand
+unmerged is compiled when the first lane asks and looked up from then on.
 """
 
 from __future__ import annotations
@@ -188,29 +190,36 @@ class Splitter:
         return np.concatenate([[START], scan[START, :-1]])
 
 
-#: Compiled transitions and checked token pairs that one task keeps at a time.
-LIMIT = 600_000
-#: States deeper than this are keyed by the tokens that end at the last so many
-#: positions rather than by the whole prefix, so runs without end stay finite.
-DEEP = 192
+#: Checked token pairs, and counts of pre-tokens, that one worker keeps at a time.
+LIMIT = 1_000_000
+#: Bytes up to which pre-tokens run as lanes, and cells of the lanes' tables.
+WIDTH, CELLS = 48, 1 << 23
 
 
 class Merger:
     """The byte transducer of a BPE vocabulary, compiled as it is used."""
 
     def __init__(self, vocabulary: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]):
-        self.vocabulary, self.merges = vocabulary, merges
-        self.longest = max(map(len, vocabulary), default=1)
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
-        self._whole: dict[bytes, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.arcs: list[dict[int, tuple[int, int]]] = [{}]
-        self.last: list[bytes] = [b""]
-        self.parent: list[int] = [-1]
-        self.weight: list[int] = [0]
-        self._counts: dict[bytes, int] = {}
+        self.merges = merges
+        self.tokens = sorted(vocabulary)
+        self.ids = {t: i for i, t in enumerate(self.tokens)}
+        self.longest = max(map(len, self.tokens), default=1)
+        # the trie of the tokens, its edges as sorted node * 256 + byte
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for i, token in enumerate(self.tokens):
+            node = 0
+            for byte in token:
+                node = edges.setdefault(node << 8 | byte, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        self._edges = np.array(sorted(edges), np.int64)
+        self._to = np.array([edges[k] for k in self._edges.tolist()], np.int64)
+        self._ends = np.array(ends, np.int64)
+        self._whole = np.full(len(self.tokens), -1, np.int8)
+        self._pairs, self._apart = np.empty(0, np.int64), np.empty(0, bool)
+        self._new: dict[int, bool] = {}
 
     def merge(self, raw: bytes) -> list[bytes]:
         """BPE by its definition: the lowest-ranked adjacent pair merges first."""
@@ -222,73 +231,120 @@ class Merger:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def apart(self, left: bytes, right: bytes) -> bool:
-        """Whether ``left`` and ``right`` stand next to each other unmerged."""
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) > LIMIT:
-                self._apart.clear()
-            known = self._apart[left, right] = self.merge(left + right) == [left, right]
-        return known
-
-    def whole(self, token: bytes) -> bool:
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merge(token) == [token]
-        return known
-
-    def _compile(self, state: int, raw: bytes, at: int) -> tuple[int, int]:
-        """The transition from ``state`` on raw[at]: next state and change in count."""
-        node = state
-        for size in range(1, min(at + 1, self.longest) + 1):
-            token = raw[at + 1 - size : at + 1]
-            if token in self.vocabulary and (self.apart(self.last[node], token) if size <= at else self.whole(token)):
-                break
-            node = self.parent[node]
-        else:
-            raise ValueError(f"no token of the vocabulary ends {raw[: at + 1]!r}")
-        weight = self.weight[node] + 1
-        self.arcs.append({})
-        self.last.append(token)
-        self.parent.append(state)
-        self.weight.append(weight)
-        arc = self.arcs[state][raw[at]] = (len(self.arcs) - 1, weight - self.weight[state])
-        return arc
-
-    def count(self, raw: bytes) -> int:
-        """Tokens of one pre-token: the sum of the counts along its path."""
-        known = self._counts.get(raw)
-        if known is not None:
-            return known
-        if len(self.arcs) > LIMIT:
-            self._reset()
-        if len(raw) > DEEP:
-            return self._long(raw)
-        state = total = 0
-        for i, byte in enumerate(raw):
-            arc = self.arcs[state].get(byte) or self._compile(state, raw, i)
-            state, change = arc
-            total += change
-        self._counts[raw] = total
-        return total
+    def whole(self, tokens: np.ndarray) -> np.ndarray:
+        """Whether each token is what its own bytes merge to."""
+        for i in np.unique(tokens[self._whole[tokens] < 0]).tolist():
+            self._whole[i] = self.merge(self.tokens[i]) == [self.tokens[i]]
+        return self._whole[tokens] == 1
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether ``left`` and ``right`` stand next to each other unmerged, pair by pair."""
+        n = len(self.tokens)
+        keys = left * n + right
+        at = np.minimum(np.searchsorted(self._pairs, keys), max(0, len(self._pairs) - 1))
+        known = self._pairs[at] == keys if len(self._pairs) else np.zeros(len(keys), bool)
+        out = np.zeros(len(keys), bool)
+        out[known] = self._apart[at[known]]
+        if not known.all():
+            asked, which = np.unique(keys[~known], return_inverse=True)
+            found = []
+            for k in asked.tolist():
+                if k not in self._new:
+                    a, b = self.tokens[k // n], self.tokens[k % n]
+                    self._new[k] = self.merge(a + b) == [a, b]
+                found.append(self._new[k])
+            out[~known] = np.array(found, bool)[which]
+            if len(self._new) > 1 << 14:
+                self._merge_new()
+        return out
+
+    def _merge_new(self) -> None:
+        if len(self._pairs) > LIMIT:
+            self._pairs, self._apart = np.empty(0, np.int64), np.empty(0, bool)
+        keys = np.concatenate([self._pairs, np.fromiter(self._new, np.int64, len(self._new))])
+        apart = np.concatenate([self._apart, np.fromiter(self._new.values(), bool, len(self._new))])
+        order = np.argsort(keys, kind="stable")
+        self._pairs, self._apart, self._new = keys[order], apart[order], {}
+
+    def count(self, pieces: list[bytes]) -> np.ndarray:
+        """Tokens of each pre-token."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out = np.zeros(len(pieces), np.int64)
+        for i in np.flatnonzero(lengths > WIDTH).tolist():
+            out[i] = self._long(pieces[i])
+        order = np.argsort(lengths, kind="stable")
+        order = order[(lengths[order] > 0) & (lengths[order] <= WIDTH)]
+        at = 0
+        while at < len(order):
+            # lanes of like length, as many as their table has room for
+            width = int(lengths[order[min(len(order), at + 4096) - 1]])
+            own = order[at : at + max(1, CELLS // (width * width))]
+            own = own[lengths[own] <= width]
+            out[own] = self._lanes([pieces[i] for i in own.tolist()], lengths[own])
+            at += len(own)
+        return out
+
+    def _lanes(self, pieces: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        n, width = len(pieces), int(lengths.max())
+        grid = np.zeros((n, width), np.uint8)
+        grid[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        grid = np.ascontiguousarray(grid.T).astype(np.int64)
+        # the token that each lane's bytes are from a place on, by its size
+        found = np.full((width, min(width, self.longest) + 1, n), -1, np.int32)
+        for a in range(width):
+            live, node = np.flatnonzero(lengths > a), 0
+            for size in range(1, min(width - a, self.longest) + 1):
+                if size > 1:
+                    inside = lengths[live] >= a + size
+                    live, node = live[inside], node[inside]
+                key = node * 256 + grid[a + size - 1, live]
+                at = np.minimum(np.searchsorted(self._edges, key), len(self._edges) - 1)
+                hit = self._edges[at] == key
+                live, node = live[hit], self._to[at[hit]]
+                if not len(live):
+                    break
+                found[a, size, live] = self._ends[node]
+        last, weight = np.full((width, n), -1, np.int64), np.zeros((width, n), np.int64)
+        for i in range(width):
+            todo = np.flatnonzero(lengths > i)
+            for size in range(1, min(i + 1, self.longest) + 1):
+                token = found[i + 1 - size, size, todo].astype(np.int64)
+                some = token >= 0
+                lane, token = todo[some], token[some]
+                if len(lane):
+                    fits = self.apart(last[i - size, lane], token) if size <= i else self.whole(token)
+                    lane, token = lane[fits], token[fits]
+                    last[i, lane] = token
+                    weight[i, lane] = 1 + (weight[i - size, lane] if size <= i else 0)
+                    todo = todo[last[i, todo] < 0]
+                if not len(todo):
+                    break
+            else:
+                if len(todo):
+                    raise ValueError("no token of the vocabulary ends a run")
+        return weight[lengths - 1, np.arange(n)]
 
     def _long(self, raw: bytes) -> int:
-        """The same transduction with a sliding window of states, for runs of any length."""
-        last: list[bytes] = []
+        """The same transduction of one run of any length, with a sliding window of states."""
+        last: list[int] = []
         weight: list[int] = []
         for i in range(len(raw)):
             for size in range(1, min(i + 1, self.longest) + 1):
-                token = raw[i + 1 - size : i + 1]
-                if token in self.vocabulary and (self.apart(last[i - size], token) if size <= i else self.whole(token)):
+                token = self.ids.get(raw[i + 1 - size : i + 1])
+                if token is not None and self._fits(last[i - size] if size <= i else None, token):
                     break
             else:
                 raise ValueError("no token of the vocabulary ends the run")
             last.append(token)
             weight.append((weight[i - size] if size <= i else 0) + 1)
-            if i > 2 * self.longest:
-                last[i - 2 * self.longest] = b""
         return weight[-1]
 
+    def _fits(self, left: int | None, token: int) -> bool:
+        if left is None:
+            return bool(self.whole(np.array([token]))[0])
+        known = self._new.get(left * len(self.tokens) + token)
+        return bool(self.apart(np.array([left]), np.array([token]))[0]) if known is None else known
+
 
 def _byte_letters() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes."""
@@ -318,7 +374,7 @@ class TokenCounter:
             import re
 
             self._added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
-        self._pieces: dict[str, int] = {}
+        self._pieces: dict[bytes, int] = {}
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Token counts of whole texts; None counts as empty."""
@@ -347,21 +403,39 @@ class TokenCounter:
         classes = self.splitter.classes[codes]
         classes[ends] = END
         starts = self.splitter.starts(classes)
-        stops = np.append(starts[1:], len(joined))
         which = np.searchsorted(ends, starts)
-        stops = np.minimum(stops, ends[which])
-        known, out = self._pieces, np.empty(len(starts), np.int64)
-        for k, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
-            piece = joined[a:b]
-            n = known.get(piece)
-            if n is None:
-                n = self.merger.count(piece.encode())
-                if len(known) > LIMIT:
-                    known.clear()
-                if b - a <= 64:
-                    known[piece] = n
-            out[k] = n
-        return np.bincount(which, weights=out, minlength=len(parts)).astype(np.int64)
+        # the pre-tokens tile the texts' bytes: they are one Arrow array over them
+        sizes = 1 + (codes > 0x7F) + (codes > 0x7FF).view(np.uint8) + (codes > 0xFFFF)
+        sizes[ends] = 0
+        at = np.cumsum(sizes, dtype=np.int64) - sizes
+        raw = "".join(parts).encode()
+        offsets = np.append(at[starts], len(raw))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        coded = pieces.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        counts = list(map(self._pieces.get, own))
+        new = [i for i, n in enumerate(counts) if n is None]
+        if new:
+            if len(self._pieces) > LIMIT:
+                self._pieces.clear()
+            fresh = [own[i] for i in new]
+            for i, raw, n in zip(new, fresh, self.merger.count(fresh).tolist()):
+                counts[i] = n
+                if len(raw) <= WIDTH:
+                    self._pieces[raw] = n
+        return np.bincount(which, weights=np.array(counts, np.int64)[coded.indices.to_numpy()], minlength=len(parts)).astype(np.int64)
+
+
+#: Counters of a Python worker by vocabulary file, so that its tasks compile transitions once.
+_COUNTERS: dict[tuple[str, int], TokenCounter] = {}
+
+
+def _counter(path: str, packed: bytes) -> TokenCounter:
+    key = path, zlib.crc32(packed)
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = TokenCounter(path, np.frombuffer(zlib.decompress(packed), np.uint8))
+    return _COUNTERS[key]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +451,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     packed = zlib.compress(class_table(Tokenizer.from_file(path).pre_tokenizer).tobytes())
 
     def make():
-        counter = TokenCounter(path, np.frombuffer(zlib.decompress(packed), np.uint8))
+        counter = _counter(path, packed)
 
         def apply(batch: pa.RecordBatch) -> dict:
             texts = batch.column(1).to_pylist()
