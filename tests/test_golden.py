@@ -24,7 +24,7 @@ def test_turn_distance():
     left, right = [(0.5, 90.0)], [(0.5, -90.0)]
     assert P.turn_sequence_distance(left, left) == 0
     assert P.turn_sequence_distance(left, right) == 2.0  # a gap on each side is cheaper than 2.5
-    assert P.turn_sequence_distance([], []) == 0 and P.turn_sequence_distance([], left) == math.inf
+    assert P.turn_sequence_distance([], []) == 0 and P.turn_sequence_distance([], left) == P.turn_sequence_distance(left, []) == 1.0
 
 
 def test_leader_clusters_follow_the_seed():
@@ -67,12 +67,34 @@ def test_stitch_keeps_the_first_frame():
     assert np.allclose([placed[i] for i in range(10)], line)
 
 
+def drifted(n=300, seen=40, noise=15.0):
+    """A true route, the same with a drift that grows to 160 m, and noisy sights of the true one."""
+    rng = np.random.default_rng(0)
+    truth = np.c_[np.linspace(0, 3000, n), 200 * np.sin(np.linspace(0, 3, n))]
+    at = np.linspace(0, n - 1, seen).round().astype(int)
+    return truth, truth + np.c_[np.zeros(n), 160 * np.linspace(0, 1, n) ** 2], at, truth[at] + rng.normal(0, noise, (seen, 2))
+
+
 def test_elastic_fusion_pins_the_start_and_bends():
-    route = np.c_[np.linspace(0, 1000, 64), np.zeros(64)]
-    drift = np.c_[np.zeros(64), np.linspace(0, 1, 64) ** 2 * 120]
-    at = np.arange(8, 64, 5)
-    fused = P.elastic_fuse(route, at, (route + drift)[at], np.ones(len(at)))
-    assert np.allclose(fused[0], route[0]) and np.linalg.norm(fused[-1] - route[-1] - drift[-1]) < 45
+    truth, route, at, seen = drifted()
+    fused, before, after = P.elastic_fuse(route, at, seen, np.ones(len(at)))
+    assert np.allclose(fused[0], route[0]) and np.linalg.norm(fused[-1] - truth[-1]) < 45 and after < 0.85 * before
+    # a block of far sights is no reason to bend, few sights or a good fit are none either
+    wrong = seen.copy()
+    wrong[10:16] += [0, 2000.0]
+    bent = P.elastic_fuse(route, at, wrong, np.ones(len(at)))
+    assert bent is not None and np.abs(bent[0] - truth).max() < 120
+    assert P.elastic_fuse(route, at[:19], seen[:19], np.ones(19)) is None
+    assert P.elastic_fuse(truth, at, seen, np.ones(len(at))) is None
+
+
+def test_banded_solve_equals_dense():
+    rng = np.random.default_rng(1)
+    n = 30
+    a = np.diag(rng.uniform(8, 9, n)) + sum(np.diag(rng.normal(0, 1, n - k), k) for k in (1, 2))
+    a = np.triu(a) + np.triu(a, 1).T
+    right = rng.normal(0, 1, (n, 2))
+    assert np.allclose(P.solve_banded([np.diag(a), np.diag(a, 1), np.diag(a, 2)], right), np.linalg.solve(a, right))
 
 
 def test_simplex_finds_a_minimum():
@@ -170,3 +192,46 @@ def test_nothing_outside_imports_the_text_subpackage():
 
     root = pathlib.Path(__file__).resolve().parent.parent / "tracemill"
     assert not [p for p in root.rglob("*.py") if p.parent.name != "llm" and "tracemill.llm" in p.read_text()]
+
+
+def test_jumps_follow_the_seed_and_the_median():
+    # a first fix that is a kilometre off does not turn the others away
+    t, lat = list(range(8)), [48.4 + i * 1e-4 for i in range(8)]
+    lat[0] += 0.01
+    assert P.reject_jumps(t, lat, [9.98] * 8, 60.0) == [False] + [True] * 7
+    assert P.reject_jumps([0, 1, 2], [48.0, 49.0, 50.0], [9.0] * 3, 10.0) == [False, True, False]
+
+
+def test_place_on_track():
+    from tracemill.operators import placement as L
+
+    truth = np.r_[np.c_[np.linspace(0, 1000, 100), np.zeros(100)], np.c_[np.full(100, 1000.0), np.linspace(0, 500, 100)]]
+    at = np.linspace(0, 199, 40).round().astype(int)
+    seen, weight = truth[at] + np.random.default_rng(0).normal(0, 15, (40, 2)), np.ones(40)
+    place = lambda route: L.place_on_track(route, at, seen, weight, truth[0], truth[-1], truth.mean(axis=0))
+    placed, mode, angle, miss = place(L.turned(truth, 30.0) + [5000, 0])
+    assert mode.startswith("startpin+turn") and abs(angle + 30) <= 1 and miss < 40
+    assert place(truth * 2.2 + 70)[1].startswith("startpin_scaled")
+    assert place(truth + [10.0, 0])[1] == "startpin"
+    assert L.place_on_track(truth, at, seen + 9000, weight, truth[0] + 9000, truth[-1] + 9000, truth.mean(axis=0)) is None
+    assert L.distinct_places([0, 0, 1, 0, 2, 1]) == [(1, 0, 3), (2, 2, 2), (3, 4, 1)]
+
+
+def test_components_of_any_key(spark):
+    from pyspark.sql import functions as F
+
+    from tracemill.operators.components import components
+
+    links = spark.createDataFrame([("a", 1, 2), ("a", 2, 3), ("b", 2, 3), ("a", 7, 8), ("a", 5, 5)], "s string, p int, q int")
+    found = components(links, F.struct("s", F.col("p").alias("n")), F.struct("s", F.col("q").alias("n"))).collect()
+    assert {tuple(r.node): r.root.n for r in found} == {("a", 1): 1, ("a", 2): 1, ("a", 3): 1, ("b", 2): 2, ("b", 3): 2, ("a", 7): 7, ("a", 8): 7}
+
+
+def test_city_of_title(spark):
+    from pyspark.sql import functions as F
+
+    from tracemill.functions.gates import city_of_title
+
+    cases = {"4K Driving in Ulm, Germany - rain": "Ulm, Germany", "Paris dashcam": "Paris", "Vienna downtown walk": "Vienna", "City tour (Neu Ulm)": "Neu Ulm", "walk in City, at night": None, "nothing here": None}
+    rows = spark.createDataFrame(list(cases.items()), "title string, city string").withColumn("found", city_of_title(F.col("title"))).collect()
+    assert {r.title: r.found for r in rows} == cases

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_000.0
@@ -114,3 +114,18 @@ def utm_inverse(east, north, zone: int) -> tuple[Column, Column]:
     for j, delta in enumerate(_DELTA, 1):
         phi = phi + delta * F.sin(2 * j * chi)
     return F.degrees(phi), zone * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a)))
+
+
+def sub_discs(discs: DataFrame, radius: str, tile: float) -> DataFrame:
+    """Centres (lat, lon) of discs of radius ``tile`` that cover each disc, itself where it is hardly larger.
+
+    Centres stand on a grid of 1.4 tiles around the disc's own; those farther from it
+    than the disc and a tile together are left out.
+    """
+    step = 1.4 * tile
+    n = F.when(F.col(radius) > 1.3 * tile, F.ceil(F.col(radius) / step)).otherwise(0).cast("int")
+    grid = discs.withColumn("_i", F.explode(F.sequence(-n, n))).withColumn("_j", F.explode(F.sequence(-n, n)))
+    grid = grid.where(F.hypot(F.col("_i") * step, F.col("_j") * step) <= F.col(radius) + tile)
+    east = METRES_A_DEGREE * F.greatest(F.lit(0.2), F.cos(F.radians("lat")))
+    lat, lon = F.col("lat") + F.col("_i") * step / METRES_A_DEGREE, F.col("lon") + F.col("_j") * step / east
+    return grid.withColumns({"lat": lat, "lon": lon}).drop("_i", "_j")

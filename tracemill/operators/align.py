@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def similarity_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def similarity_sums(pairs: DataFrame, keys: list[str], more: list[Column] | None = None) -> DataFrame:
     """Least-squares similarity (rotation, scale, shift; no reflection) from sums alone.
 
     ``pairs`` has sx, sy, tx, ty.  Adds n, a, b, p, q and the fit: theta, scale,
@@ -22,6 +22,7 @@ def similarity_sums(pairs: DataFrame, keys: list[str]) -> DataFrame:
         (n * (F.var_pop("sx") + F.var_pop("sy"))).alias("p"),
         (n * (F.var_pop("tx") + F.var_pop("ty"))).alias("q"),
         *[F.avg(c).alias(f"m{c}") for c in ("sx", "sy", "tx", "ty")],
+        *(more or []),
     )
     m = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
     return sums.where("p > 1e-12").withColumn("m", m).withColumn("theta", F.atan2("b", "a")).withColumn("scale", F.col("m") / F.col("p"))
@@ -47,25 +48,46 @@ def pair_ratio_scale(anchors: DataFrame, key: str, index: str) -> DataFrame:
     return pairs.where("d > 1e-6 and w > 1").groupBy(key).agg(F.median(F.col("w") / F.col("d")).alias("scale"), F.count("*").alias("n_pairs"))
 
 
-def ransac_similarity(anchors: DataFrame, key: str, index: str, tolerance: float) -> DataFrame:
-    """Exhaustive two-point consensus: key, i, j, inliers, scale of the best pair.
+def drawn_pairs(anchors: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, i, j), i < j, of each key's n anchors: all pairs up to ``most``, else so many spread by two strides."""
+    sizes = anchors.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    few = F.col("n") * (F.col("n") - 1) / 2 <= most
+    every = sizes.where(few).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 2)))
+    every = every.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("n") - 1)))
+    k = sizes.where(~few).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))))
+    some = k.withColumn("a", (F.col("k") * 7919 + 104729) % F.col("n"))
+    some = some.withColumn("b", (F.col("a") + 1 + (F.col("k") * 15485863) % (F.col("n") - 1)) % F.col("n"))
+    some = some.select(key, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    return every.select(key, "i", "j").union(some)
 
-    Each pair fixes a similarity (complex ratio); its inliers are counted over the
-    key's anchors.  Most inliers win, the first pair among equals.
+
+def ransac_similarity(anchors: DataFrame, key: str, index: str, tolerance: float, most: int = 500, least: int = 3, least_baseline: float = 250.0) -> DataFrame:
+    """Two-point consensus, refitted: key, i, j, inliers, scale, rms, baseline.
+
+    Each drawn pair fixes a similarity (complex ratio); its inliers are counted over
+    the key's anchors, numbered from 0 by ``index``.  Most inliers win, the first
+    pair among equals.  The similarity is then fitted to all inliers.  Keys with
+    fewer than ``least`` of them, or whose world places span less than
+    ``least_baseline`` (the diagonal of their box), have no row.
     """
-    a = anchors.select(key, F.col(index).alias("i"), *[F.col(c).alias(f"{c}a") for c in ("x", "y", "wx", "wy")])
-    b = anchors.select(key, F.col(index).alias("j"), *[F.col(c).alias(f"{c}b") for c in ("x", "y", "wx", "wy")])
+    numbered = anchors.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(index)).cast("long") - 1)
+    a = numbered.select(key, F.col("_i").alias("i"), *[F.col(c).alias(f"{c}a") for c in ("x", "y", "wx", "wy")])
+    b = numbered.select(key, F.col("_i").alias("j"), *[F.col(c).alias(f"{c}b") for c in ("x", "y", "wx", "wy")])
     dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
     du, dv = F.col("wxb") - F.col("wxa"), F.col("wyb") - F.col("wya")
     n = dx * dx + dy * dy
-    pairs = a.join(b, key).where("i < j").withColumns({"c": F.try_divide(dx * du + dy * dv, n), "s": F.try_divide(dx * dv - dy * du, n)}).where("c is not null")
-    points = anchors.select(key, F.col("x").alias("px"), F.col("y").alias("py"), F.col("wx").alias("pu"), F.col("wy").alias("pv"))
-    u = F.col("wxa") + F.col("c") * (F.col("px") - F.col("xa")) - F.col("s") * (F.col("py") - F.col("ya"))
-    v = F.col("wya") + F.col("s") * (F.col("px") - F.col("xa")) + F.col("c") * (F.col("py") - F.col("ya"))
-    fits = F.hypot(u - F.col("pu"), v - F.col("pv")) <= tolerance
-    counted = pairs.join(points, key).groupBy(key, "i", "j", "c", "s").agg(F.sum(fits.cast("long")).alias("inliers"))
+    pairs = drawn_pairs(anchors, key, most).join(a, [key, "i"]).join(b, [key, "j"])
+    pairs = pairs.withColumns({"c": F.try_divide(dx * du + dy * dv, n), "s": F.try_divide(dx * dv - dy * du, n)}).where("c is not null").select(key, "i", "j", "c", "s", "xa", "ya", "wxa", "wya")
+    points = anchors.select(key, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("wx").alias("tx"), F.col("wy").alias("ty"))
+    u = F.col("wxa") + F.col("c") * (F.col("sx") - F.col("xa")) - F.col("s") * (F.col("sy") - F.col("ya"))
+    v = F.col("wya") + F.col("s") * (F.col("sx") - F.col("xa")) + F.col("c") * (F.col("sy") - F.col("ya"))
+    fits = F.hypot(u - F.col("tx"), v - F.col("ty")) <= tolerance
+    counted = pairs.join(points, key).groupBy(key, "i", "j").agg(F.sum(fits.cast("long")).alias("inliers"))
     best = Window.partitionBy(key).orderBy(F.desc("inliers"), "i", "j")
-    return counted.withColumn("_k", F.row_number().over(best)).where("_k = 1").select(key, "i", "j", "inliers", F.hypot("c", "s").alias("scale"))
+    winner = counted.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k").where(F.col("inliers") >= least)
+    kept = pairs.join(winner, [key, "i", "j"]).join(points, key).where(fits)
+    fit = similarity_sums(kept, [key, "i", "j", "inliers"], [F.hypot(F.max("tx") - F.min("tx"), F.max("ty") - F.min("ty")).alias("baseline")])
+    return fit.where((F.col("baseline") >= least_baseline) & (F.col("m") > 0)).select(key, "i", "j", "inliers", "scale", free_rms().alias("rms"), "baseline")
 
 
 def near_pairs(a: DataFrame, b: DataFrame, cell: float, keys: list[str] | None = None) -> DataFrame:
@@ -91,6 +113,14 @@ def densest_neighbourhood(points: DataFrame, key: str, index: str, radius: float
     return sums.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
+def densest_members(points: DataFrame, key: str, index: str, radius: float, least: int = 2) -> DataFrame:
+    """The rows within ``radius`` of the point of :func:`densest_neighbourhood`; all of a key with fewer than ``least``."""
+    best = densest_neighbourhood(points, key, index, radius).select(key, index)
+    seeds = best.join(points, [key, index]).select(key, F.col("x").alias("_x"), F.col("y").alias("_y"))
+    rows = points.withColumn("_n", F.count("*").over(Window.partitionBy(key))).join(seeds, key)
+    return rows.where((F.col("_n") < least) | (F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) <= radius)).drop("_n", "_x", "_y")
+
+
 def weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
     """key, median: the least value at which the running weight reaches half; needs positive weights."""
     by_value = rows.groupBy(key, value).agg(F.sum(weight).alias("_w"))
@@ -136,22 +166,39 @@ def densify(line: DataFrame, key: str, spacing: float) -> DataFrame:
     return inner.select(key, (F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("_i") / F.col("_n")).alias("px"), (F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("_i") / F.col("_n")).alias("py")).distinct()
 
 
-def rotation_refine(track: DataFrame, observed: DataFrame, key: str, angles: list[float]) -> DataFrame:
-    """key, angle, median: the rotation about the track's first point that brings it
+def rotation_refine(track: DataFrame, observed: DataFrame, key: str, least: int = 8, extent: float = 100.0, share: float = 0.75, metres: float = 20.0, explain: float = 300.0) -> DataFrame:
+    """key, angle, base, median, accepted: the rotation about the track's first point that brings it
     closest to the observations, by the weighted median of distances.
 
-    ``observed`` has seq, ox, oy, w.  The angles are a bounded list.
+    A grid of 2 degrees over the circle, then one of a quarter degree within 2
+    degrees of its best.  ``base`` is the median unturned; the turn is accepted
+    if the median falls below ``share`` of it, by at least ``metres``, and to
+    ``explain`` at most.  Tracks with fewer than ``least`` observations or a
+    smaller extent than ``extent`` have no row.  ``observed`` has seq, ox, oy, w.
     """
     first = track.where("seq = 0").select(key, F.col("x").alias("_x"), F.col("y").alias("_y"))
     rows = track.join(observed, [key, "seq"]).join(first, key)
-    rows = rows.withColumn("angle", F.explode(F.array(*[F.lit(float(a)) for a in angles])))
-    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
     dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
-    d = F.hypot(F.col("_x") + c * dx - s * dy - F.col("ox"), F.col("_y") + s * dx + c * dy - F.col("oy"))
-    keyed = rows.select(F.struct(key, "angle").alias("_g"), F.round(d, 6).alias("d"), "w")
-    medians = weighted_median(keyed, "_g", "d", "w")
-    best = Window.partitionBy(key).orderBy("median", "angle")
-    return medians.select(f"_g.{key}", "_g.angle", "median").withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+    large = rows.groupBy(key).agg(F.count("*").alias("n"), F.max(F.hypot(dx, dy)).alias("e")).where((F.col("n") >= least) & (F.col("e") >= extent)).select(key)
+    rows = rows.join(large, key)
+
+    def medians(rows: DataFrame) -> DataFrame:
+        """(key, angle, median) of rows with an angle."""
+        c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+        d = F.hypot(F.col("_x") + c * dx - s * dy - F.col("ox"), F.col("_y") + s * dx + c * dy - F.col("oy"))
+        keyed = rows.select(F.struct(key, "angle").alias("_g"), F.round(d, 6).alias("d"), "w")
+        return weighted_median(keyed, "_g", "d", "w").select(f"_g.{key}", "_g.angle", "median")
+
+    def closest(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy(key).orderBy("median", "angle")
+        return found.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
+
+    grid = lambda start, step, n: F.explode(F.array(*[F.lit(start + i * step) for i in range(n)]))
+    coarse = closest(medians(rows.withColumn("angle", grid(-180.0, 2.0, 180)))).select(key, F.col("angle").alias("_a"))
+    turned = rows.join(coarse, key).withColumn("_b", grid(-2.0, 0.25, 17)).withColumn("angle", F.col("_a") + F.col("_b"))
+    fine, base = closest(medians(turned)), medians(rows.withColumn("angle", F.lit(0.0))).select(key, F.col("median").alias("base"))
+    better = (F.col("median") < share * F.col("base")) & (F.col("base") - F.col("median") >= metres) & (F.col("median") <= explain)
+    return fine.join(base, key).select(key, "angle", "base", "median", better.alias("accepted"))
 
 
 def geometric_median(points: list[tuple[float, float]], weights: list[float], rounds: int = 64) -> tuple[float, float]:

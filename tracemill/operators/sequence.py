@@ -155,3 +155,31 @@ def time_strata(rows: DataFrame, key: str, t: str, weight: str, ident: str, stra
     bucket = F.least(F.lit(strata - 1), F.floor(F.coalesce(F.try_divide(F.col(t) - F.min(t).over(whole), span), F.lit(0.0)) * strata)).cast("int")
     ranked = rows.withColumn("bucket", bucket).withColumn("turn", F.row_number().over(Window.partitionBy(key, "bucket").orderBy(F.desc(weight), ident)))
     return ranked.withColumn("pick", F.row_number().over(Window.partitionBy(key).orderBy("turn", "bucket"))).where(F.col("pick") <= budget)
+
+
+def _merged(vertices: DataFrame, targets: DataFrame, key: str, at: str) -> DataFrame:
+    """Targets with ``p``, the last vertex at or before them; both have (key, at), vertices ``seq`` and ``p``, targets ``i``."""
+    rows = vertices.select(key, at, F.lit(0).alias("kind"), F.col("seq").cast("long").alias("i"), "p")
+    rows = rows.unionByName(targets.select(key, at, F.lit(1).alias("kind"), F.col("i").cast("long").alias("i"), F.lit(None).alias("p")))
+    order = Window.partitionBy(key).orderBy(at, "kind", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("p", F.last("p", True).over(order)).where("kind = 1")
+
+
+def arc_fraction_at(arc: DataFrame, times: DataFrame, key: str) -> DataFrame:
+    """key, i, fraction: the share of the length run at times (key, i, t), between vertices in proportion to time."""
+    w = ordered(key)
+    nodes = arc.select(key, "seq", F.col("t_sec").alias("t"), F.struct("t_sec", "s", F.lead("t_sec").over(w).alias("t2"), F.lead("s").over(w).alias("s2"), F.max("s").over(Window.partitionBy(key)).alias("total")).alias("p"))
+    held = _merged(nodes, times, key, "t")
+    share = F.when(F.col("p.t2") > F.col("p.t_sec"), (F.col("t") - F.col("p.t_sec")) / (F.col("p.t2") - F.col("p.t_sec"))).otherwise(0.0)
+    run = F.col("p.s") + share * (F.coalesce(F.col("p.s2"), F.col("p.s")) - F.col("p.s"))
+    return held.select(key, "i", F.least(F.lit(1.0), F.greatest(F.lit(0.0), run / F.col("p.total"))).alias("fraction"))
+
+
+def pose_at(arc: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """key, i, x, y, dx, dy: place and unit direction at lengths (key, i, at) inside a track."""
+    w = ordered(key)
+    nodes = arc.select(key, "seq", F.col("s").alias("at"), F.struct("s", "x", "y", F.lead("s").over(w).alias("s2"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).alias("p"))
+    held = _merged(nodes.where("p.s2 > p.s"), places, key, "at").withColumn("d", F.col("p.s2") - F.col("p.s"))
+    share = (F.col("at") - F.col("p.s")) / F.col("d")
+    go = lambda c: F.col(f"p.{c}2") - F.col(f"p.{c}")
+    return held.select(key, "i", *[(F.col(f"p.{c}") + share * go(c)).alias(c) for c in "xy"], *[(go(c) / F.col("d")).alias(f"d{c}") for c in "xy"])

@@ -40,7 +40,7 @@ def a01_pearson(spark, sf_dir):
     return A.pearson(_pairs(spark, sf_dir), ["user_id"], "sx", "tx").select("user_id", F.round("corr", 6).alias("corr"))
 
 
-ANCHORS = f"{TRACKS}, anchors as (select user_id, seq, x, y, 2 * x - y + (seq % 3) * 5 as wx, x + 2 * y - (seq % 4) * 3 as wy from tracks where seq < 12)"
+ANCHORS = f"{TRACKS}, anchors as (select user_id, seq, x, y, 2 * x - y + (seq % 3) * 5 as wx, x + 2 * y - (seq % 4) * 3 as wy from tracks)"
 
 
 def _anchors(spark, sf_dir):
@@ -55,18 +55,29 @@ def a05_pair_ratio_scale(spark, sf_dir):
     return A.pair_ratio_scale(_anchors(spark, sf_dir), "user_id", "seq").withColumn("scale", F.round("scale", 6))
 
 
-@query(f"""with {ANCHORS}, pairs as (
+@query(f"""with {ANCHORS}, sizes as (select user_id, count(*) as n from anchors group by user_id), drawn as (
+  select user_id, i, j from (select user_id, n, unnest(range(n)) as i from sizes where n * (n - 1) // 2 <= 500), lateral (select unnest(range(i + 1, n)) as j)
+  union select user_id, least(i, j), greatest(i, j) from (select user_id, (k * 7919 + 104729) % n as i, ((k * 7919 + 104729) % n + 1 + (k * 15485863) % (n - 1)) % n as j from sizes, range(500) r(k) where n * (n - 1) // 2 > 500)
+), pairs as (
   select a.user_id, a.seq as i, b.seq as j, a.x, a.y, a.wx, a.wy,
     ((b.x - a.x) * (b.wx - a.wx) + (b.y - a.y) * (b.wy - a.wy)) / nullif((b.x - a.x) ** 2 + (b.y - a.y) ** 2, 0) as c,
     ((b.x - a.x) * (b.wy - a.wy) - (b.y - a.y) * (b.wx - a.wx)) / nullif((b.x - a.x) ** 2 + (b.y - a.y) ** 2, 0) as s
-  from anchors a join anchors b on a.user_id = b.user_id and a.seq < b.seq
-), counted as (
-  select p.user_id, p.i, p.j, any_value(sqrt(c * c + s * s)) as scale,
-    sum(cast(sqrt((p.wx + c * (q.x - p.x) - s * (q.y - p.y) - q.wx) ** 2 + (p.wy + s * (q.x - p.x) + c * (q.y - p.y) - q.wy) ** 2) <= 12.5 as bigint)) as inliers
-  from pairs p join anchors q using (user_id) where c is not null group by p.user_id, p.i, p.j
-) select user_id, i, j, cast(inliers as bigint) as inliers, round(scale, 6) as scale from counted qualify row_number() over (partition by user_id order by inliers desc, i, j) = 1""")
+  from drawn d join anchors a on a.user_id = d.user_id and a.seq = d.i join anchors b on b.user_id = d.user_id and b.seq = d.j
+), fits as (
+  select p.user_id, p.i, p.j, q.seq, sqrt((p.wx + c * (q.x - p.x) - s * (q.y - p.y) - q.wx) ** 2 + (p.wy + s * (q.x - p.x) + c * (q.y - p.y) - q.wy) ** 2) <= 12.5 as hit
+  from pairs p join anchors q using (user_id) where c is not null
+), best as (
+  select user_id, i, j, sum(hit::bigint)::bigint as inliers from fits group by user_id, i, j qualify row_number() over (partition by user_id order by inliers desc, i, j) = 1
+), kept as (
+  select b.*, q.x as sx, q.y as sy, q.wx as tx, q.wy as ty from best b join fits f using (user_id, i, j) join anchors q on q.user_id = b.user_id and q.seq = f.seq where f.hit
+), sums as (
+  select user_id, i, j, inliers, count(*) * (covar_pop(sx, tx) + covar_pop(sy, ty)) as a, count(*) * (covar_pop(sx, ty) - covar_pop(sy, tx)) as b,
+    count(*) * (var_pop(sx) + var_pop(sy)) as p, count(*) * (var_pop(tx) + var_pop(ty)) as q, sqrt((max(tx) - min(tx)) ** 2 + (max(ty) - min(ty)) ** 2) as baseline from kept group by all
+) select user_id, i, j, inliers, round(sqrt(a * a + b * b) / p, 6) as scale, round(sqrt(greatest(0, q - (a * a + b * b) / p) / inliers), 4) as rms, round(baseline, 6) as baseline
+from sums where inliers >= 3 and baseline >= 60 and p > 1e-12 and a * a + b * b > 0""")
 def a06_ransac_similarity(spark, sf_dir):
-    return A.ransac_similarity(_anchors(spark, sf_dir), "user_id", "seq", 12.5).withColumn("scale", F.round("scale", 6))
+    fit = A.ransac_similarity(_anchors(spark, sf_dir), "user_id", "seq", 12.5, least_baseline=60.0)
+    return fit.withColumns({"scale": F.round("scale", 6), "rms": F.round("rms", 4), "baseline": F.round("baseline", 6)})
 
 
 CUSTOMERS = "points as (select c_nationkey as k, c_custkey as i, (c_custkey * 37) % 1000 as x, (c_custkey * 91) % 1000 as y, c_acctbal + 1000 as w from customer)"
@@ -107,7 +118,7 @@ def sql_segment_distance(px: str, py: str) -> str:
 
 
 @query(f"""with {TRACKS}, {SEGMENTS} select p.user_id, p.seq, round(min({sql_segment_distance('p.x', 'p.y')}), 6) as distance
-from tracks p join segments s on s.user_id = p.user_id + 1 where p.seq % 5 = 0 group by p.user_id, p.seq""")
+from tracks p join segments s on s.user_id = p.user_id + 1 group by p.user_id, p.seq""")
 def j04_point_to_polyline(spark, sf_dir):
     rows = tracks(spark, sf_dir)
     lines = A.segments(rows, "user_id").withColumn("user_id", F.col("user_id") - 1)
@@ -116,7 +127,7 @@ def j04_point_to_polyline(spark, sf_dir):
 
 
 @query(f"""with {TRACKS}, {SEGMENTS}, steps as (
-  select *, cast(greatest(1, ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 50)) as int) as n from segments where seq < 12
+  select *, cast(greatest(1, ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 50)) as int) as n from segments
 ), dense as (
   select distinct user_id, x1 + (x2 - x1) * i / n as px, y1 + (y2 - y1) * i / n as py from (select *, unnest(range(n + 1)) as i from steps)
 ) select d.user_id, round(min({sql_segment_distance('d.px', 'd.py')}), 5) as distance from dense d join segments s on s.user_id = d.user_id + 1 group by d.user_id""")
@@ -128,7 +139,7 @@ def j05_polyline_to_polyline(spark, sf_dir):
 
 
 @query(f"""with {TRACKS}, {SEGMENTS}, d as (
-  select p.user_id, p.seq, min({sql_segment_distance('p.x', 'p.y')}) as d from tracks p join segments s on s.user_id = p.user_id + 1 where p.seq % 9 = 0 group by p.user_id, p.seq
+  select p.user_id, p.seq, min({sql_segment_distance('p.x', 'p.y')}) as d from tracks p join segments s on s.user_id = p.user_id + 1 group by p.user_id, p.seq
 ), st as (
   select p.user_id, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) as start_error from tracks p join tracks q on q.user_id = p.user_id + 1 and p.seq = 0 and q.seq = 0
 ) select d.user_id, round(any_value(start_error), 6) as start_error, round(avg(d), 6) as mean_error, round(max(d), 6) as max_error from d join st using (user_id) group by d.user_id""")
@@ -144,7 +155,7 @@ def a21_waypoint_errors(spark, sf_dir):
 
 
 @query("""with nodes as (select i as node_id, (i % 70) * 100.0 as x, (i // 70) * 100.0 as y from range(4900) r(i)),
-anchors as (select s_suppkey as a, (s_suppkey * 613) % 7000 as x, (s_suppkey * 227) % 7000 as y from supplier where s_suppkey < 25)
+anchors as (select s_suppkey as a, (s_suppkey * 613) % 7000 as x, (s_suppkey * 227) % 7000 as y from supplier)
 select n.node_id, round(min(sqrt((n.x - a.x) ** 2 + (n.y - a.y) ** 2)), 6) as distance from nodes n join anchors a on sqrt((n.x - a.x) ** 2 + (n.y - a.y) ** 2) <= 300
 group by n.node_id order by distance, n.node_id limit 40""")
 def j13_disc_seed_nodes(spark, sf_dir):
@@ -168,13 +179,27 @@ def j22_grid_coverage(spark, sf_dir):
     return points.where("k % 5 <> 0").join(wide, ["i", "j"], "left").groupBy("k").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 9).alias("coverage"))
 
 
-@query(f"""with {TRACKS}, f as (select user_id, x, y, 2 * x - y as ox, x + y as oy, seq, 1 + seq % 3 as w from tracks where seq < 16), o as (select user_id, x as x0, y as y0 from f where seq = 0),
-rot as (select f.user_id, a.a * 30.0 - 180 as angle, w, round(sqrt((x0 + cos(radians(a.a * 30 - 180)) * (x - x0) - sin(radians(a.a * 30 - 180)) * (y - y0) - ox) ** 2 + (y0 + sin(radians(a.a * 30 - 180)) * (x - x0) + cos(radians(a.a * 30 - 180)) * (y - y0) - oy) ** 2), 6) as d
-  from f join o using (user_id), range(12) a(a)),
-v as (select user_id, angle, d, sum(w) as w from rot group by all), r as (select *, sum(w) over (partition by user_id, angle order by d rows unbounded preceding) as run, sum(w) over (partition by user_id, angle) as total from v),
-m as (select user_id, angle, min(d) as median from r where run >= 0.5 * total group by user_id, angle)
-select user_id, cast(angle as double) as angle, median from m qualify row_number() over (partition by user_id order by median, angle) = 1""")
+def sql_turned(angle: str) -> str:
+    return f"round(sqrt((x0 + cos(radians({angle})) * (x - x0) - sin(radians({angle})) * (y - y0) - ox) ** 2 + (y0 + sin(radians({angle})) * (x - x0) + cos(radians({angle})) * (y - y0) - oy) ** 2), 6)"
+
+
+def sql_medians(name: str, rows: str) -> str:
+    """CTEs that end in ``name`` (user_id, angle, median) from rows (user_id, angle, d, w)."""
+    return f"""{name}_v as (select user_id, angle, d, sum(w) as w from {rows} group by all),
+{name}_r as (select *, sum(w) over (partition by user_id, angle order by d rows unbounded preceding) as run, sum(w) over (partition by user_id, angle) as total from {name}_v),
+{name} as (select user_id, angle, min(d) as median from {name}_r where run >= 0.5 * total group by user_id, angle)"""
+
+
+@query(f"""with {TRACKS}, o as (select user_id, x as x0, y as y0 from tracks where seq = 0),
+f as (select t.user_id, x, y, x0, y0, x - 0.2 * y as ox, y + 0.3 * x as oy, 1 + seq % 3 as w from tracks t join o using (user_id)),
+large as (select user_id from f group by user_id having count(*) >= 8 and max(sqrt((x - x0) ** 2 + (y - y0) ** 2)) >= 100),
+turned as (select user_id, a * 2.0 - 180 as angle, {sql_turned('(a * 2.0 - 180)')} as d, w from f join large using (user_id), range(180) r(a)), {sql_medians('coarse', 'turned')},
+around as (select user_id, angle as middle from coarse qualify row_number() over (partition by user_id order by median, angle) = 1),
+near as (select user_id, middle + a * 0.25 - 2 as angle, {sql_turned('(middle + a * 0.25 - 2)')} as d, w from f join around using (user_id), range(17) r(a)), {sql_medians('fine', 'near')},
+unturned as (select user_id, 0.0 as angle, {sql_turned('0.0')} as d, w from f join large using (user_id)), {sql_medians('plain', 'unturned')},
+best as (select user_id, angle, median from fine qualify row_number() over (partition by user_id order by median, angle) = 1)
+select b.user_id, cast(b.angle as double) as angle, p.median as base, b.median, b.median < 0.75 * p.median and p.median - b.median >= 20 and b.median <= 300 as accepted from best b join plain p using (user_id)""")
 def p08_rotation_refine(spark, sf_dir):
-    rows = tracks(spark, sf_dir).where("seq < 16")
-    seen = rows.select("user_id", "seq", (2 * F.col("x") - F.col("y")).alias("ox"), (F.col("x") + F.col("y")).alias("oy"), (1 + F.col("seq") % 3).alias("w"))
-    return A.rotation_refine(rows.select("user_id", "seq", "x", "y"), seen, "user_id", [a * 30 - 180 for a in range(12)])
+    rows = tracks(spark, sf_dir)
+    seen = rows.select("user_id", "seq", (F.col("x") - 0.2 * F.col("y")).alias("ox"), (F.col("y") + 0.3 * F.col("x")).alias("oy"), (1 + F.col("seq") % 3).alias("w"))
+    return A.rotation_refine(rows.select("user_id", "seq", "x", "y"), seen, "user_id")

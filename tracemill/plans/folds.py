@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracemill.operators import grouped as P
+from tracemill.operators import placement as L
 from tracemill.operators import sequence as S
 from tracemill.plans.tables import query, table, tracks
 
@@ -72,15 +73,16 @@ def p13_stitch_windows(spark, sf_dir):
 
 @query()
 def p09_elastic_fusion(spark, sf_dir):
+    """Every track, bent towards shifted observations of every third vertex; fused is false where a gate kept the rigid one."""
+
     def fold(g):
         route = np.c_[g["x"], g["y"]]
-        at = np.arange(4, len(route), 5)
-        if len(at) == 0:
-            return [(int(s), *map(float, p)) for s, p in zip(g["seq"], route)]
-        fused = P.elastic_fuse(route, at, route[at] + [20.0, -10.0], np.ones(len(at)))
-        return [(int(s), round(float(p[0]), 4), round(float(p[1]), 4)) for s, p in zip(g["seq"], fused)]
+        at = np.arange(2, len(route), 3)
+        bent = P.elastic_fuse(route, at, route[at] + [20.0, -10.0], np.ones(len(at)))
+        placed = route if bent is None else bent[0]
+        return [(int(s), round(float(p[0]), 4), round(float(p[1]), 4), bent is not None) for s, p in zip(g["seq"], placed)]
 
-    return P.per_group(tracks(spark, sf_dir), "user_id", "user_id long, seq int, x double, y double", fold, ["seq"])
+    return P.per_group(tracks(spark, sf_dir), "user_id", "user_id long, seq int, x double, y double, fused boolean", fold, ["seq"])
 
 
 @query()
@@ -105,7 +107,7 @@ def j14_fuzzy_streets(spark, sf_dir):
         letters = {f"{side}_{c}": F.col(f"{side}_length") - F.length(F.replace(F.col(side), F.lit(c), F.lit(""))) for c in ascii_lowercase}
         return rows.withColumns(letters).withColumn(f"{side}_other", F.col(f"{side}_length") - sum(F.col(k) for k in letters))
 
-    least = 0.6
+    least = 0.85
     detected = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
     detected = detected.select("doc_id", street_norm(F.col("w")).alias("w")).where("length(w) >= 4").distinct()
     names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("name")).select(street_norm(F.col("name")).alias("name")).where("length(name) >= 4").distinct()
@@ -131,3 +133,60 @@ def x21_extrude(spark, sf_dir):
         return [(i, *[round(float(v), 6) for v in t.mean(axis=0)]) for i, t in enumerate(mesh)]
 
     return P.per_group(rings, "user_id", "user_id long, triangle int, x double, y double, z double", fold, ["seq"])
+
+
+@query()
+def a34_track_ends(spark, sf_dir):
+    """Robust centres of a track's start, its end and of all of it."""
+    seen = tracks(spark, sf_dir).withColumns({"lat": 48 + F.col("x") / 10000, "lon": 9 + F.col("y") / 10000, "sim": 1 / (1 + F.col("x"))})
+
+    def fold(g):
+        own = [g[c].to_numpy() for c in ("lat", "lon", "sim")]
+        return [tuple(round(v, 8) for place in (*L.track_ends(*own), P.robust_center(*own)) for v in place)]
+
+    return P.per_group(seen, "user_id", "user_id long, start_lat double, start_lon double, end_lat double, end_lon double, lat double, lon double", fold, ["seq"])
+
+
+@query()
+def p07_place_on_track(spark, sf_dir):
+    """A turned and shifted copy of each track placed on observations of it; mode null where no pin holds."""
+
+    def fold(g):
+        true = np.c_[10 * g["x"], 10 * g["y"]]
+        route = L.turned(true, 25.0) + [900.0, -300.0]
+        at = np.arange(len(true))
+        found = L.place_on_track(route, at, true + np.c_[at % 3, at % 5], 1.0 + at % 2, true[0], true[-1], true.mean(axis=0))
+        if found is None:
+            return [(int(s), None, None, None, None) for s in g["seq"]]
+        placed, mode, _, miss = found
+        return [(int(s), round(float(p[0]), 3), round(float(p[1]), 3), mode, round(miss, 3)) for s, p in zip(g["seq"], placed)]
+
+    return P.per_group(tracks(spark, sf_dir), "user_id", "user_id long, seq int, x double, y double, mode string, miss double", fold, ["seq"])
+
+
+@query()
+def o13_distinct_hypotheses(spark, sf_dir):
+    """The five best places of ranked candidates that lie apart, with their support."""
+
+    def fold(g):
+        clusters = P.leader_clusters(list(zip(g["x"], g["y"])), 120.0)
+        return [(rank, int(g["seq"].iloc[i]), n) for rank, i, n in L.distinct_places(clusters)]
+
+    return P.per_group(tracks(spark, sf_dir), "user_id", "user_id long, rank int, seq int, support int", fold, ["seq"])
+
+
+@query()
+def t05_token_set_similarity(spark, sf_dir):
+    """Similarity of each part's name with the names of its brand, by characters and by words."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def by_words(a, b):
+        return a.combine(b, P.token_set_similarity).astype(float)
+
+    @pandas_udf("double")
+    def by_characters(a, b):
+        return a.combine(b, P.sequence_ratio).astype(float)
+
+    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("other")).distinct()
+    return names.select("name", "other", F.round(by_characters("name", "other"), 6).alias("ratio"), F.round(by_words("name", "other"), 6).alias("similarity"))

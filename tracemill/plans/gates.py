@@ -69,7 +69,7 @@ def f08_length_sane(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (p.between(100000, 400000) | p.between(45000, 180000)).alias("sane"), p.between(60000, 600000).alias("plausible"))
 
 
-@query("""with w as (select c_custkey as w, c_nationkey as name, (c_custkey * 37) % 1000 as x, (c_custkey * 91) % 1000 as y from customer where c_custkey % 9 = 0), c as (select s_suppkey as c, s_nationkey as name, (s_suppkey * 53) % 1000 as x, (s_suppkey * 29) % 1000 as y from supplier)
+@query("""with w as (select c_custkey as w, c_nationkey as name, (c_custkey * 37) % 1000 as x, (c_custkey * 91) % 1000 as y from customer), c as (select s_suppkey as c, s_nationkey as name, (s_suppkey * 53) % 1000 as x, (s_suppkey * 29) % 1000 as y from supplier)
 select w.w, c.c, w.name = c.name as named from w, c where sqrt((w.x - c.x) ** 2 + (w.y - c.y) ** 2) <= 80 or (w.name = c.name and sqrt((w.x - c.x) ** 2 + (w.y - c.y) ** 2) <= 160)""")
 def j06_support_join(spark, sf_dir):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
@@ -88,15 +88,17 @@ def j07_names_contained(spark, sf_dir):
     return names.join(F.broadcast(truth), F.col("name").contains(F.col("gt"))).groupBy("id").agg(F.array_sort(F.collect_set("gt")).alias("names"))  # a user's few street names
 
 
-@query(f"""with {TRACKS}, a as (select * from tracks where seq % 10 = 3), p as (
-  select a.user_id, a.event_id, d.event_id as hit, row_number() over (partition by a.user_id, a.event_id order by case when a.event_type = d.event_type then 0 else 1 end, abs(a.t_sec - d.t_sec), d.event_id) as k
-  from a join tracks d on a.user_id = d.user_id and d.seq % 10 = 7
+@query(f"""with {TRACKS}, a as (select *, cast(y as bigint) % 7 as said from tracks), p as (
+  select a.user_id, a.event_id, d.event_id as hit, row_number() over (partition by a.event_id order by case when a.said = d.said then 0 else 1 end, abs(a.t_sec - d.t_sec), d.event_id) as k
+  from a join a d on a.user_id = d.user_id and d.event_type = 'view' where a.event_type <> 'view'
 ) select user_id, event_id, hit from p where k = 1""")
 def j11_same_text_then_nearest(spark, sf_dir):
-    t = tracks(spark, sf_dir)
-    d = t.where("seq % 10 = 7").select("user_id", F.col("event_id").alias("hit"), F.col("event_type").alias("kind"), F.col("t_sec").alias("at"))
-    met = t.where("seq % 10 = 3").join(d, "user_id").withColumn("tier", F.when(F.col("event_type") == F.col("kind"), 0).otherwise(1))
-    return R.best_per(met.withColumn("g", F.struct("user_id", "event_id")), "g", "tier", F.abs(F.col("t_sec") - F.col("at")), "hit").select("user_id", "event_id", "hit")
+    """The nearest detection in time of an anchor's own text; of any text where none has it."""
+    rows = tracks(spark, sf_dir).withColumn("said", F.struct("user_id", (F.col("y").cast("long") % 7).alias("t")))
+    anchors, seen = rows.where("event_type <> 'view'"), rows.where("event_type = 'view'")
+    same = S.nearest_in_time(anchors, seen, "said", "t_sec", "event_id").select("probe_id", F.col("nearest_id").alias("same"))
+    near = S.nearest_in_time(anchors, seen, "user_id", "t_sec", "event_id").join(same, "probe_id", "left")
+    return near.select("user_id", F.col("probe_id").alias("event_id"), F.coalesce("same", "nearest_id").alias("hit"))
 
 
 @query(f"""with {TRACKS}, l as (select user_id, seq, event_type, lag(event_type) over (partition by user_id order by seq) as p from tracks)
@@ -149,7 +151,7 @@ def a24_hypothesis_confidence(spark, sf_dir):
     return both.select("k", F.round("share", 6).alias("concentration"), F.round("spread", 6).alias("spread"), level.alias("level"))
 
 
-@query(f"""with {TRACKS}, seg as (select user_id, x as x1, y as y1, lead(x) over w as x2, lead(y) over w as y2 from tracks where seq < 5 window w as (partition by user_id order by seq) qualify lead(x) over w is not null),
+@query(f"""with {TRACKS}, seg as (select user_id, x as x1, y as y1, lead(x) over w as x2, lead(y) over w as y2 from tracks window w as (partition by user_id order by seq) qualify lead(x) over w is not null),
 grid as (select user_id, x1, y1, x2, y2, i, j from (select *, unnest(range(cast(floor((least(x1, x2) - 10) / 20) as bigint), cast(floor((greatest(x1, x2) + 10) / 20) as bigint) + 1)) as i from seg), lateral (select unnest(range(cast(floor((least(y1, y2) - 10) / 20) as bigint), cast(floor((greatest(y1, y2) + 10) / 20) as bigint) + 1)) as j)),
 t as (select *, (i + 0.5) * 20 as px, (j + 0.5) * 20 as py, greatest(0, least(1, coalesce((((i + 0.5) * 20 - x1) * (x2 - x1) + ((j + 0.5) * 20 - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0), 0))) as s from grid),
 cells as (select distinct user_id, i, j from t where sqrt((px - x1 - s * (x2 - x1)) ** 2 + (py - y1 - s * (y2 - y1)) ** 2) <= 10),

@@ -137,7 +137,17 @@ def p01_normalized(spark, sf_dir):
     return vectors.select("vec_id", F.round(V.norm("embedding"), 6).alias("length"), F.round(F.aggregate(V.normalized("embedding"), F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
 
 
-@query()
+@query(f"""with recursive {TRACKS}, refs as materialized (select user_id as clip, seq as ref, x, y from tracks),
+moves as materialized (select a.clip, a.ref as p, b.ref, -0.02 * greatest(0.0, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - (30 + 40 * 2.0)) as m from refs a join refs b using (clip)),
+sims as materialized (select q.clip, q.ref as q, r.ref, round(1 / (1 + abs(q.x - r.x) / 100), 9) as sim from refs q join refs r using (clip)),
+steps(clip, q, ref, score, path) as (
+  select clip, q, ref, sim, [ref] from sims where q = 0
+  union all
+  select z.clip, z.q, z.ref, z.reach + s.sim, z.path from (
+    select s.clip, s.q + 1 as q, m.ref, s.score + m.m as reach, list_append(s.path, m.ref) as path, row_number() over (partition by s.clip, m.ref order by s.score + m.m desc, s.ref) as n from steps s join moves m on m.clip = s.clip and m.p = s.ref
+  ) z join sims s on s.clip = z.clip and s.q = z.q and s.ref = z.ref where z.n = 1
+), best as (select clip, path from steps qualify row_number() over (partition by clip order by q desc, score desc, ref) = 1)
+select clip, unnest(range(len(path))) as q, unnest(path) as ref from best""")
 def p04_viterbi(spark, sf_dir):
     t = tracks(spark, sf_dir).select(F.col("user_id").cast("long").alias("clip"), F.col("seq").cast("long").alias("seq"), "x", "y")
     q = t.select("clip", F.col("seq").alias("q"), F.col("x").alias("qx"))

@@ -41,6 +41,12 @@ def m03_first_seen(spark, sf_dir):
     return _replayed(M.first_seen(_stream(spark, sf_dir), "user_id", "3650 days")).select("user_id")
 
 
+@query("""select user_id, time_bucket(interval 1 day, ts, timestamp '1970-01-01')::timestamp as start, round(median(value), 6) as motion, median(value) >= 20 as valid from events group by all""")
+def m04_moving_steps(spark, sf_dir):
+    out = _replayed(M.moving(_stream(spark, sf_dir), "user_id", "1 day", 20.0), "complete")
+    return out.withColumn("motion", F.round("motion", 6))
+
+
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end as fresh from events),
 s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, min(ts) as start, max(ts) + interval 12 hour as "end", count(*) as n_rows from s group by user_id, k""")

@@ -71,7 +71,7 @@ def t06_parse_latlon(spark, sf_dir):
 
 
 @query(rf"""with recursive parts as (
-  select doc_id, unnest(regexp_split_to_array(regexp_replace(left(text, 400), 'https?://\S+', ' ', 'g'), '[,|/·—–>\n\t;:]+|→|➜|»|(?i:\bto\b|\bvia\b|\bthen\b)')) as part, generate_subscripts(regexp_split_to_array(regexp_replace(left(text, 400), 'https?://\S+', ' ', 'g'), '[,|/·—–>\n\t;:]+|→|➜|»|(?i:\bto\b|\bvia\b|\bthen\b)'), 1) as n from documents
+  select doc_id, unnest(regexp_split_to_array(regexp_replace(text, 'https?://\S+', ' ', 'g'), '[,|/·—–>\n\t;:]+|→|➜|»|(?i:\bto\b|\bvia\b|\bthen\b)')) as part, generate_subscripts(regexp_split_to_array(regexp_replace(text, 'https?://\S+', ' ', 'g'), '[,|/·—–>\n\t;:]+|→|➜|»|(?i:\bto\b|\bvia\b|\bthen\b)'), 1) as n from documents
 ), found as (
   select doc_id, n, unnest(regexp_extract_all(part, $r${T.PHRASE}$r$)) as p, generate_subscripts(regexp_extract_all(part, $r${T.PHRASE}$r$), 1) as m from parts
 ), trimmed as (
@@ -191,7 +191,7 @@ def a16_instance_resolution(spark, sf_dir):
 def a12_coarse_prior(spark, sf_dir):
     rows = _places(spark, sf_dir)
     mid = rows.groupBy("k").agg(F.median("lat").alias("a"), F.median("lon").alias("b"))
-    far = rows.join(F.broadcast(mid), "k").groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.max(G.haversine_m("a", "b", "lat", "lon")).alias("d"))
+    far = rows.join(mid, "k").groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.max(G.haversine_m("a", "b", "lat", "lon")).alias("d"))
     return far.select("k", F.round("a", 8).alias("lat"), F.round("b", 8).alias("lon"), F.round(F.least(F.lit(6000.0), F.greatest(F.lit(800.0), F.col("d") + 500)), 3).alias("radius"))
 
 
@@ -199,7 +199,7 @@ def a12_coarse_prior(spark, sf_dir):
 def a13_track_disc(spark, sf_dir):
     rows = _places(spark, sf_dir)
     mid = rows.groupBy("k").agg(((F.min("lat") + F.max("lat")) / 2).alias("a"), ((F.min("lon") + F.max("lon")) / 2).alias("b"))
-    far = rows.join(F.broadcast(mid), "k").groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.max(G.haversine_m("a", "b", "lat", "lon")).alias("d"))
+    far = rows.join(mid, "k").groupBy("k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.max(G.haversine_m("a", "b", "lat", "lon")).alias("d"))
     return far.select("k", F.round("a", 8).alias("lat"), F.round("b", 8).alias("lon"), F.round(F.col("d") + 300, 3).alias("radius"))
 
 

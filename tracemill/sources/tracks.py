@@ -114,7 +114,11 @@ def pose_text(spark: SparkSession, path: str) -> DataFrame:
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """video_id, seq, t_sec, lat, lon of all waypoints; malformed documents and bad coordinates raise."""
-    docs = spark.read.schema(GROUND_TRUTH).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    return waypoints(spark.read.schema(GROUND_TRUTH).option("mode", "FAILFAST").option("multiLine", True).json(path))
+
+
+def waypoints(docs: DataFrame) -> DataFrame:
+    """One row a waypoint of ground-truth documents; a document without any, or with a bad place, raises."""
     checked = docs.withColumn("waypoints", F.when(F.size("waypoints") > 0, F.col("waypoints")).otherwise(F.raise_error(F.concat(F.lit("no waypoints in "), F.coalesce("video_id", F.lit("?")))).cast("array<struct<t_sec: double, lat: double, lon: double>>")))
     rows = checked.select("video_id", F.posexplode("waypoints").alias("seq", "w")).select("video_id", "seq", "w.*")
     lat = F.when(valid_latlon("lat", "lon"), F.col("lat")).otherwise(F.raise_error(F.concat(F.lit("bad waypoint in "), F.coalesce("video_id", F.lit("?")))).cast("double"))

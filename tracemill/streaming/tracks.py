@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracemill.operators.components import shared_folder
+from tracemill.operators.grouped import reachable
+
 LATE = "10 minutes"
 
 
@@ -30,13 +33,17 @@ def first_seen(rows: DataFrame, ident: str, late: str = LATE) -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([ident])
 
 
+def moving(motions: DataFrame, key: str, size: str, least: float = 0.75, late: str = LATE) -> DataFrame:
+    """key, start, motion, valid: steps whose median motion reaches ``least``; the others are standstill."""
+    out = motions.withWatermark("ts", late).groupBy(key, F.window("ts", size).alias("w")).agg(F.median("value").alias("motion"))
+    return out.select(key, F.col("w.start").alias("start"), "motion", (F.col("motion") >= least).alias("valid"))
+
+
 def plausible(fixes: DataFrame, key: str, speed: float, idle: str = "1 hour", late: str = LATE) -> DataFrame:
     """Fixes that the last accepted one can reach: key, ts, lat, lon, accepted.
 
     State is the last accepted fix of each key; it is dropped once event time is ``idle`` past it.
     """
-    from math import cos, hypot, radians
-
     schema = f"{key} long, ts timestamp, lat double, lon double, accepted boolean"
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -49,7 +56,7 @@ def plausible(fixes: DataFrame, key: str, speed: float, idle: str = "1 hour", la
         flags = []
         for ts, lat, lon in zip(rows["ts"], rows["lat"], rows["lon"]):
             t = ts.timestamp()
-            ok = last is None or hypot((lat - last[1]) * 111_320.0, (lon - last[2]) * 111_320.0 * cos(radians(last[1]))) <= speed * max(1.0, t - last[0])
+            ok = last is None or reachable((last[0], last[1:]), (t, (lat, lon)), speed)
             if ok:
                 last = (t, float(lat), float(lon))
             flags.append(ok)
@@ -62,7 +69,17 @@ def plausible(fixes: DataFrame, key: str, speed: float, idle: str = "1 hour", la
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there now and return it as a table; for tests and replays."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Process what is there now into Parquet below the shared folder and return it; for tests and replays.
+
+    A batch that is run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/batch=-1")  # a stream without rows
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/progress").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
