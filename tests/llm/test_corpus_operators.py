@@ -156,16 +156,85 @@ def line_docs(seed=6):
     return docs + [(50, None), (51, ""), (52, "\n\n")]
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rows = line_docs()
-    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, h int, line int")
-    places = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= lines.MIN_LENGTH]
-    links = [(i, j) for i in range(len(places)) for j in range(i) if levenshtein(places[i][2], places[j][2]) <= 2]
+def dropped_lines(rows):
+    """Line numbers by document that repeat an earlier line, by comparing all lines with all."""
+    places = sorted({(i, k, line) for i, t in rows if t is not None and i is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\x0b\f\r")})
+    same = lambda a, b: a == b or min(len(a), len(b)) >= lines.MIN_LENGTH and abs(len(a) - len(b)) <= 2 and levenshtein(a, b) <= 2
+    links = [(i, j) for i in range(len(places)) for j in range(i) if same(places[i][2], places[j][2])]
     head = roots(len(places), links)
     expected = defaultdict(list)
     for i, (doc, k, _) in enumerate(places):
         if head[i] != i:
             expected[doc].append(k)
+    return expected
+
+
+def test_divergence_keys_lose_no_pair():
+    rng = random.Random(8)
+
+    def edited(s, n, letters):
+        s = list(s)
+        for _ in range(n):
+            at, kind = rng.randint(0, len(s)), rng.random()
+            if kind < 0.35 or not s:
+                s.insert(at, rng.choice(letters))
+            elif kind < 0.7:
+                s[min(at, len(s) - 1)] = rng.choice(letters)
+            else:
+                del s[min(at, len(s) - 1)]
+        return "".join(s)
+
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc", "abcdefgh "])
+        pivot = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        x = edited(pivot, rng.randint(0, 7), letters)
+        if rng.random() < 0.3:
+            at = rng.randint(0, len(x))
+            x = x[:at] + "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) + x[at + rng.randint(0, 20) :]
+        y = edited(x, rng.randint(0, 2), letters)
+        for d in (1, 2):
+            if levenshtein(x, y) <= d and max(levenshtein(x, pivot), levenshtein(y, pivot)) > d:
+                assert lines.divergence_keys(x, pivot, d) & lines.divergence_keys(y, pivot, d)
+
+
+def test_crowded_line_keys_equal_brute_force(spark, monkeypatch):
+    """Variants of one line with words replaced, more than are joined in pairs."""
+    monkeypatch.setattr(lines, "FEW", 3)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9)))
+    base = [word() for _ in range(11)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for at in rng.sample(range(11), rng.choice([1, 1, 2])):
+            own[at] = word()
+        line = " ".join(own)
+        rows.append((2 * i, line))
+        if i % 3 == 0:  # a near copy of the variant
+            at = rng.randrange(len(line))
+            rows.append((2 * i + 1, line[:at] + "#" + line[at + rng.randint(0, 1) :]))
+    report = {r.doc_id: r.dropped for r in lines.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = dropped_lines(rows)
+    assert report == {i: expected.get(i, []) for i, _ in rows}
+    assert sum(map(len, report.values())) >= 30
+
+
+def test_line_dedup_edges(spark):
+    long = "word " * 9000
+    rows = [(1, f"Same.\n{long}x"), (1, f"Same.\n{long}x"), (2, f"Same.\n{long}yz\n \n \n"), (None, "Same."), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, key long, h int, root int")
+    report = {(r.doc_id, r.n_lines): r.dropped for r in lines.dedup_report(docs).collect()}
+    assert report == {(1, 2): [], (2, 5): [0, 1], (None, 1): [], (3, 0): [], (4, 1): []}
+    cut = lines.drop_lines(docs, lines.duplicate_lines(docs))
+    assert cut.columns == docs.columns and cut.count() == 6
+    assert cut.where("doc_id = 2").first().text == " \n \n"
+    assert lines.dedup_report(docs.where("1 = 0")).count() == 0
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rows = line_docs()
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, h int, line int")
+    expected = dropped_lines(rows)
     report = {r.doc_id: r for r in lines.dedup_report(docs).collect()}
     assert {i: r.dropped for i, r in report.items()} == {i: expected.get(i, []) for i, _ in rows}
     assert report[50].n_lines == 0 and report[51].n_lines == 1 and report[52].n_lines == 3
@@ -271,6 +340,24 @@ def test_packing_holds_all_words_without_conflicts(spark):
     assert packing.pack(docs.where("1 = 0")).count() == 0
 
 
+def test_packing_rounds_fill_bins_and_keep_clusters_apart(spark):
+    """Shards lose little against one packing of everything; no cluster meets itself in a bin."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), f"s{rng.randint(0, 60)}", rng.choice([None, 1, 2, rng.randint(3, 300)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, group long")
+    found = packing.pack(docs, capacity=60, shard=100, cluster="group").collect()
+    whole = packing.pack(docs, capacity=60, shard=10_000, cluster="group").collect()
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in whole) == list(range(600))
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.shard, r.bin].append(rows[r.doc_id])
+    for own in bins.values():
+        assert len({s for _, _, s, _ in own}) == len(own)
+        named = [c for *_, c in own if c is not None]
+        assert len(named) == len(set(named))
+    assert len(bins) <= 1.05 * len({(r.shard, r.bin) for r in whole})
+
+
 def test_hamming_equals_brute_force(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(20)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -20,12 +19,8 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The shared folder the cluster names; one in the warehouse, which executors share too, where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 class Scratch:
@@ -134,6 +129,34 @@ def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _without_flag(held.filter(pa.array(flags)))
 
 
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by their first column, those whose first column has several values of the second.
+
+    Rows are streamed: of the last first column in a batch, which may go on in the
+    next, only rows with one value of the second are held back; a key known to have
+    several passes at once.
+    """
+    held: pa.RecordBatch | None = None
+    going = None  # the last key, if several values of it have been seen
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            held = None
+        key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        met = np.minimum.reduceat(value, starts) != np.maximum.reduceat(value, starts)
+        met[0] |= going is not None and key[0] == going
+        keep = np.repeat(met, np.diff(np.r_[starts, len(key)]))
+        going = key[-1] if met[-1] else None
+        if going is None:  # one value so far: equal rows are held once
+            last = batch.slice(int(starts[-1]))
+            held = pa.Table.from_batches([last]).group_by(last.schema.names).aggregate([]).combine_chunks().to_batches()[0]
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+
+
 def _without_flag(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select([n for n in batch.schema.names if n != "often"])
 

@@ -66,13 +66,18 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al. 2014), which join
     every neighbourhood to its least member, until no edge changes; the number of
     rounds grows with the logarithm of the nodes.  The edges of a partition are
-    contracted before they are shuffled, and a hub's edges are aggregated.
-    ``links`` has columns a and b; an empty table has no components.
+    contracted before they are shuffled, and a hub's edges are aggregated.  Once
+    no more than CONTRACTED edges are left, one task contracts them all and no
+    further round is needed.  ``links`` has columns a and b; an empty table has no
+    components.
     """
     scratch = Scratch(spark, "components")
     edges = scratch.table(_contracted(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")), "round0")
     step, before = 0, None
     while True:
+        if edges.limit(CONTRACTED + 1).count() <= CONTRACTED:
+            edges = scratch.table(_contracted(edges.coalesce(1)), "stars")
+            break
         step += 1
         ways = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -1,17 +1,23 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 Two different lines of at least MIN_LENGTH characters are linked when their
-edit distance is at most DISTANCE.  A line is split into DISTANCE + 1 segments;
-within that distance one segment of the shorter line must occur unchanged in
-the longer one, at a position that the lengths and the segment's rank bound.
-Segments are the index, the bounded substrings of equal or longer lines the
+edit distance is at most DISTANCE; of shorter lines only equal ones are the same,
+since two edits make another word of them.  A line is split into DISTANCE + 1
+segments; within that distance one segment of the shorter line must occur
+unchanged in the longer one, at a position that the lengths and the segment's rank
+bound.  Segments are the index, the bounded substrings of equal or longer lines the
 probes; both are joined on a hash of (length, segment number, substring), and
 every candidate is verified with a banded bit-parallel automaton.
 
 Equal lines are collapsed before the join, so copies never meet in pairs, and
-variants of one line are first joined to the line that meets most others, so they
-need not meet each other.  Of a class of linked lines the first by (doc_id, line number) is kept; the others are
-dropped from their documents.  Shorter lines always stay.
+variants of one line are first joined to the line that meets most others, the key's
+pivot, so they need not meet each other.  A key under which many lines remain apart
+is not joined in pairs: its lines get keys from where they differ from the pivot
+(:func:`divergence_keys`), which only lines that are nearly equal share, and are
+joined by these, up to ROUNDS times.
+
+Of a class of linked lines the first by (doc_id, line number) is kept; the others are
+dropped from their documents.  Lines of white space alone always stay.
 """
 
 from __future__ import annotations
@@ -23,11 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Scratch, company, map_texts
+from tracemill.llm.common import Scratch, map_texts, shared
 from tracemill.llm.graph import components, small
 
 DISTANCE = 2
-MIN_LENGTH = 32
+MIN_LENGTH = 32  # characters from which lines may differ by edits
+#: Lines that stay apart under one key and are still joined in pairs.
+FEW = 24
+ROUNDS = 3
+#: Characters between two divergences up to which all deletions are made.
+MIDDLE = 8
+#: Lines of which a task remembers that it has met them.
+MET = 1 << 20
+#: A line with anything but white space.
+INK = r"[^ \t\x0B\f\r]"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -102,7 +117,7 @@ def within(a: str, b: str, distance: int = DISTANCE) -> bool:
 
 
 def signatures(lines: list[str], ids: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, probe?) for the index segments and the probes of each line."""
+    """(key, line, index?) for the probes of each line; its own segments are probes that are indexed too."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
     start = np.concatenate([[0], np.cumsum(lengths)])
@@ -115,23 +130,84 @@ def signatures(lines: list[str], ids: np.ndarray, distance: int = DISTANCE) -> t
     code = (codes + np.uint64(1)) * _MIX
     code ^= code >> np.uint64(32)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:-1], dtype=np.uint64)])
-    keys, owners, probes = [], [], []
+    keys, owners, indexed = [], [], []
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
-        wanted = [(int(length), i, a, n, False) for i, (a, n) in enumerate(segments(int(length), distance))]
+        own = set(enumerate(segments(int(length), distance)))
+        wanted = []
         for shorter in range(max(MIN_LENGTH, int(length) - distance), int(length) + 1):
-            wanted += [(shorter, i, a, n, True) for i, a, n in probe_windows(int(length), shorter, distance)]
-        spec = np.array([(w[0], w[1], w[2], w[3]) for w in wanted], np.int64)
+            wanted += [(shorter, i, a, n, shorter == length and (i, (a, n)) in own) for i, a, n in probe_windows(int(length), shorter, distance)]
+        spec = np.array([w[:4] for w in wanted], np.int64)
         left = start[rows][:, None] + spec[:, 2]
         value = (total[left + spec[:, 3]] - total[left]) * inverse[left]
         salt = (spec[:, 0] * 16 + spec[:, 1]).astype(np.uint64) * _MIX
         value = (value ^ value >> np.uint64(29) ^ salt) * _BASE
         keys.append((value ^ value >> np.uint64(32)).ravel())
         owners.append(np.repeat(ids[rows], len(wanted)))
-        probes.append(np.tile(np.array([w[4] for w in wanted]), len(rows)))
+        indexed.append(np.tile(np.array([w[4] for w in wanted]), len(rows)))
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(probes)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(indexed)
+
+
+def common_prefix(a: str, b: str, at: int = 0) -> int:
+    """Length of the longest common prefix, known to be at least ``at``."""
+    n = min(len(a), len(b))
+    while at < n and a[at : at + 32] == b[at : at + 32]:
+        at += 32
+    at = min(at, n)
+    while at < n and a[at] == b[at]:
+        at += 1
+    return at
+
+
+def toward(x: str, pivot: str) -> set[str]:
+    """``x`` after each edit at the first place where it differs from the pivot that lets it follow the pivot."""
+    at = common_prefix(x, pivot)
+    out = set()
+    if at < len(x):
+        out.add(x[:at] + x[at + 1 :])
+    if at < len(pivot):
+        out.add(x[:at] + pivot[at] + x[at:])
+        if at < len(x):
+            out.add(x[:at] + pivot[at] + x[at + 1 :])
+    return out
+
+
+def divergence_keys(x: str, pivot: str, distance: int = DISTANCE) -> set:
+    """Keys of which two lines within the distance share one, unless both are within it of the pivot.
+
+    Let x and y agree with the pivot up to a(x), a(y) from the left and up to
+    b(x), b(y) from the right.  If a(x) < a(y), the first edit between x and y
+    stands at a(x), where y goes on as the pivot does: one of the three edits of
+    x toward the pivot there brings it one edit nearer to y.  The same holds
+    for y, and from the right.  After at most ``distance`` such edits of x and y,
+    what is left of the distance lies between them with a and b equal, and then
+    it lies in the middles.  Middles within e edits share a string from which e
+    characters at most were left out; long ones share a segment.
+    """
+    back = pivot[::-1]
+    level, seen, out = {x}, {x}, set()
+    for made in range(distance + 1):
+        left = distance - made
+        for v in level:
+            if v == pivot:
+                continue  # x is within the distance of the pivot
+            a, b = common_prefix(v, pivot), common_prefix(v[::-1], back)
+            middle = v[a : max(a, len(v) - b)]
+            if len(middle) <= MIDDLE + distance:
+                short = {middle}
+                for _ in range(left + 1):
+                    out.update((a, b, m) for m in short)
+                    short = {m[:i] + m[i + 1 :] for m in short for i in range(len(m))}
+            if len(middle) >= MIDDLE - 1:
+                for e in range(left + 1):
+                    for shorter in range(max(e + 1, len(middle) - e), len(middle) + 1):
+                        out.update((a, b, e, shorter, i, middle[at : at + n]) for i, at, n in probe_windows(len(middle), shorter, e))
+        if left:
+            level = {w for v in level for w in (*toward(v, pivot), *(u[::-1] for u in toward(v[::-1], back)))} - seen
+            seen |= level
+    return out
 
 
 def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,49 +218,110 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) hashes, a < b, of different lines within the distance; needs columns h and line."""
+    """(a, b) hashes, a < b, of lines that connect all lines within the distance; needs columns h and line.
+
+    Every link joins lines within the distance; a link between lines that others already join may be left out.
+    """
 
     def make():
+        met: set[int] = set()
+
         def apply(batch: pa.RecordBatch) -> dict:
-            seen, texts = set(), []
+            if len(met) > MET:
+                met.clear()
+            ids, texts = [], []
             for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if h not in seen:
-                    seen.add(h)
-                    texts.append((h, line))
-            keys, owners, probes = signatures([t for _, t in texts], np.array([h for h, _ in texts], np.int64), distance)
-            return {"key": keys, "h": owners, "probe": probes}
+                if h not in met:
+                    met.add(h)
+                    ids.append(h)
+                    texts.append(line)
+            keys, owners, indexed = signatures(texts, np.array(ids, np.int64), distance)
+            return {"key": keys, "h": owners, "indexed": indexed}
 
         return apply
 
     long = lines.where(F.length("line") >= MIN_LENGTH)
     scratch = Scratch(lines.sparkSession, "lines")
-    rows = map_texts(long, ["h", "line"], "line", "key long, h long, probe boolean", make, rows=1 << 14)
+    rows = map_texts(long, ["h", "line"], "line", "key long, h long, indexed boolean", make, rows=1 << 14)
     # most keys belong to one line alone and end in one streamed pass
-    dealt = rows.repartition("key").sortWithinPartitions("key", "h", "probe")
-    rows = scratch.table(dealt.mapInArrow(company, "key long, h long, probe boolean"), "keys")
-    # star: each key's most met line is its pivot, which joins the variants of a line in linearly many pairs
-    meets = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("h").agg(F.sum("size").alias("meets"))
-    ranked = rows.select("key", "h").distinct().join(meets, "h")
-    pivot = ranked.groupBy("key").agg(F.max(F.struct("meets", "h"))["h"].alias("p"))
-    star = ranked.join(pivot, "key").where("h <> p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
-    star = scratch.table(star.distinct(), "star")
-    links = _verified(star, long, distance, scratch, "star-links")
-    # what is left: probes and segments of lines that are not connected yet
-    roots = scratch.table(components(lines.sparkSession, links), "roots")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    rows = scratch.table(dealt.mapInArrow(shared, "key long, h long, indexed boolean"), "keys")
+    # the texts of the lines that share a key with another
+    texts = long.select("h", "line").join(small(rows.select("h").distinct()), "h", "left_semi")
+    texts = scratch.table(texts.groupBy("h").agg(F.min("line").alias("line")), "texts")
+    return _joined(rows, texts, None, distance, scratch, 0)
+
+
+def _joined(rows: DataFrame, texts: DataFrame, links: DataFrame | None, distance: int, scratch: Scratch, step: int) -> DataFrame:
+    """``links`` and those among lines that share a key: of (key, h, indexed), one of a pair is indexed."""
+    pivot = scratch.table(_pivots(rows), f"pivots{step}")
+    # linearly many pairs join the variants of a line
+    star = rows.join(pivot, "key").where("h <> p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
+    star = scratch.table(star.distinct(), f"star{step}")
+    fresh = _verified(star, texts, distance, scratch, f"star-links{step}")
+    links = fresh if links is None else links.union(fresh)
+    # what is left: lines under one key that are not connected yet
+    placed = scratch.table(_open(rows, links, scratch, f"roots{step}"), f"open{step}")
+    apart = placed.select("key", "root").distinct().groupBy("key").count()
+    crowds = scratch.table(apart.where(F.col("count") > (FEW if step < ROUNDS else 1 << 62)).select("key"), f"crowds{step}")
+    few = placed.join(small(crowds), "key", "left_anti")
+    probe = few.select("key", F.col("h").alias("p"), F.col("root").alias("rp"), F.col("indexed").alias("both"))
+    index = few.where("indexed").select("key", F.col("h").alias("i"), F.col("root").alias("ri"))
+    met = probe.join(index, "key").where("rp <> ri and (not both or p < i)").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    pairs = scratch.table(met.join(star, ["a", "b"], "left_anti"), f"pairs{step}")
+    if not pairs.isEmpty():
+        links = links.union(_verified(pairs, texts, distance, scratch, f"links{step}"))
+    if not crowds.isEmpty():
+        crowd = scratch.table(placed.join(small(crowds), "key", "left_semi").join(pivot, "key").select("h", "p").distinct(), f"crowd{step}")
+        keys = scratch.table(_crowd_keys(crowd, texts, distance), f"crowd-keys{step}")
+        links = _joined(keys, texts, links, distance, scratch, step + 1)
+    return links
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """(key, p): each key's line that meets most others over all of its keys."""
+    met = rows.select("key", "h").distinct()
+    meets = met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("h").agg(F.sum("size").alias("meets"))
+    return met.join(meets, "h").groupBy("key").agg(F.max(F.struct("meets", "h"))["h"].alias("p"))
+
+
+def _open(rows: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of keys whose lines lie in several components, with their ``root``."""
+    roots = scratch.table(components(rows.sparkSession, links), name)
     placed = rows.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = scratch.table(placed.join(open_keys, "key", "left_semi"), "open")
-    probe = placed.where("probe").select("key", F.col("h").alias("p"), F.col("root").alias("rp"))
-    index = placed.where("not probe").select("key", F.col("h").alias("i"), F.col("root").alias("ri"))
-    met = probe.join(index, "key").where("rp <> ri").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
-    pairs = scratch.table(met.join(star, ["a", "b"], "left_anti"), "pairs")
-    return links if pairs.isEmpty() else links.union(_verified(pairs, long, distance, scratch, "links"))
+    return placed.join(open_keys, "key", "left_semi")
+
+
+def _crowd_keys(crowd: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """(key, h, indexed) from where lines h differ from the pivot p that all of their keys then have in common."""
+    spark = crowd.sparkSession
+    first = crowd.groupBy("h").agg(F.min("p").alias("a"))
+    joined = components(spark, crowd.join(first, "h").select("a", F.col("p").alias("b")))  # pivots of one line
+    named = crowd.join(joined.select(F.col("h").alias("p"), "root"), "p", "left").withColumn("root", F.coalesce("root", "p"))
+    most = named.groupBy("root", "p").count().groupBy("root").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
+    own = named.select("h", "root").distinct().join(most, "root").where("h <> p").select("h", "p")
+    both = own.join(texts.withColumnRenamed("line", "x"), "h").join(texts.select(F.col("h").alias("p"), F.col("line").alias("y")), "p")
+
+    def make():
+        from xxhash import xxh3_64_intdigest
+
+        def apply(batch: pa.RecordBatch) -> dict:
+            keys, owners = [], []
+            for h, p, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                found = {xxh3_64_intdigest(repr((p, k)).encode("utf-8", "surrogatepass")) for k in divergence_keys(x, y, distance)}
+                keys += found
+                owners += [h] * len(found)
+            return {"key": np.array(keys, np.uint64).view(np.int64), "h": owners, "indexed": [True] * len(keys)}
+
+        return apply
+
+    rows = map_texts(both, ["h", "p", "x", "y"], "x", "key long, h long, indexed boolean", make)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, h long, indexed boolean")
 
 
-def _verified(pairs: DataFrame, long: DataFrame, distance: int, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, distance: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs of line hashes whose lines are within the distance."""
-    needed = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = scratch.table(long.select("h", "line").join(small(needed), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), f"{name}-texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
 
     def verify():
@@ -203,21 +340,28 @@ def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "do
 
     (class_doc, class_line) is where the class first occurs.  Null texts have no
     lines; lines of rows with a null doc_id are neither kept first nor dropped.
+    Lines of white space alone are not compared.  Of rows that repeat a doc_id,
+    lines with equal text and number are one line.  An empty table gives no rows;
+    columns beside the id and the text are ignored, whatever their names.
+    Lines are known by 64-bit hashes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "duplicates")
-    lines = line_table(docs, doc_id, text).where(f"doc_id is not null and length(line) >= {MIN_LENGTH}")
+    lines = line_table(docs, doc_id, text).where(F.col("doc_id").isNotNull() & F.col("line").rlike(INK))
     links = line_links(lines, distance)
-    place = F.struct("doc_id", "line_no")
-    firsts = scratch.table(lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
+    # two steps, so that a line's copies are first counted by document
+    lines = scratch.table(lines.select("doc_id", "line_no", "h"), "lines")  # the texts are done with
+    own = lines.groupBy("h", "doc_id").agg(F.min("line_no").alias("line_no"), F.count("*").alias("n"))
+    firsts = own.groupBy("h").agg(F.min("doc_id").alias("doc"), F.min_by("line_no", "doc_id").alias("no"), F.sum("n").alias("n"))
+    firsts = scratch.table(firsts, "firsts")
     classes = components(spark, links)  # h, root
-    linked = classes.join(firsts, "h")
+    linked = scratch.table(classes.join(firsts, "h").withColumn("first", F.struct("doc", "no")), "linked")
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
-    moved = linked.join(heads, "root").select("h", "head")
-    repeated = firsts.where("n > 1").join(moved.select("h"), "h", "left_anti").select("h", F.col("first").alias("head"))
+    moved = linked.join(heads, "root").select("h", F.col("head.doc").alias("class_doc"), F.col("head.no").alias("class_line"))
+    repeated = firsts.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", F.col("doc").alias("class_doc"), F.col("no").alias("class_line"))
     heads = scratch.table(repeated.union(moved), "heads")
-    found = lines.select("doc_id", "line_no", "h").join(small(heads), "h").where(~(place == F.col("head")))
-    return found.select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"))
+    found = lines.join(small(heads), "h").where("doc_id <> class_doc or line_no <> class_line")
+    return found.select("doc_id", "line_no", "class_doc", "class_line")
 
 
 def dedup_report(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +369,8 @@ def dedup_report(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_i
 
     doc_id, n_lines, n_dropped, dropped ARRAY<INT>.  A null text has no lines,
     an empty one a single empty line that stays.  Rows that repeat a doc_id form
-    one document whose equal line numbers are dropped together.
+    one document whose equal line numbers are dropped together.  An empty table
+    gives no rows; columns beside the id and the text are ignored.
     """
     dropped = duplicate_lines(docs, distance, doc_id, text).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
     n = F.coalesce(F.size(F.split(docs[text], "\n", -1)), F.lit(0))
@@ -238,7 +383,9 @@ def dedup_report(docs: DataFrame, distance: int = DISTANCE, doc_id: str = "doc_i
 def drop_lines(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines of ``dropped`` (doc_id, line_no) taken out of the text.
 
-    All other columns stay.  A document whose every line is dropped keeps an empty text.
+    All other columns stay, whatever their names.  A document whose every line is
+    dropped keeps an empty text, a null text stays null.  Rows that repeat a doc_id
+    lose the same line numbers.
     """
     key, cut = (f"{name}_{uuid4().hex}" for name in ("id", "cut"))  # docs may have any columns
     gone = dropped.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(cut))

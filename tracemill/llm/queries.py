@@ -99,17 +99,17 @@ with recursive words as (
 )
 select s.doc_id, s.n as n_shingles, min(r.other) as component_id from sizes s join reach r on r.id = s.doc_id group by all
 """,
-    "op2_line_dedup": """
+    "op2_line_dedup": r"""
 with recursive parts as (
   select doc_id, string_split(text, chr(10)) as parts from documents where text is not null
 ), lines as (
   select doc_id, unnest(parts) as line, unnest(range(len(parts))) as line_no from parts
 ), distinct_lines as (
-  select line, min({'d': doc_id, 'n': line_no}) as first, length(line) as size from lines where length(line) >= 32 group by line
+  select line, min({'d': doc_id, 'n': line_no}) as first, length(line) as size from lines where regexp_matches(line, '[^ \t\x0B\f\r]') group by line
 ), numbered as (
   select *, row_number() over (order by line) as id from distinct_lines
 ), links as (
-  select a.id as a, b.id as b from numbered a join numbered b on b.size between a.size and a.size + 2 and a.id <> b.id
+  select a.id as a, b.id as b from numbered a join numbered b on a.size >= 32 and b.size between a.size and a.size + 2 and a.id <> b.id
   where (contains(b.line, left(a.line, a.size // 3)) or contains(b.line, substr(a.line, a.size // 3 + 1, a.size // 3))
          or contains(b.line, substr(a.line, 2 * (a.size // 3) + 1)))
     and levenshtein(a.line, b.line) <= 2
