@@ -235,3 +235,23 @@ def test_city_of_title(spark):
     cases = {"4K Driving in Ulm, Germany - rain": "Ulm, Germany", "Paris dashcam": "Paris", "Vienna downtown walk": "Vienna", "City tour (Neu Ulm)": "Neu Ulm", "walk in City, at night": None, "nothing here": None}
     rows = spark.createDataFrame(list(cases.items()), "title string, city string").withColumn("found", city_of_title(F.col("title"))).collect()
     assert {r.title: r.found for r in rows} == cases
+
+
+def test_pose_chain_and_driving_plane():
+    from tracemill.operators import poses as O
+
+    turn = lambda a: np.array([[math.cos(a), 0, math.sin(a)], [0, 1, 0], [-math.sin(a), 0, math.cos(a)]])
+    steps = [(turn(0.1 * i), np.array([0.1, 0.02 * i, -1.0])) if i != 2 else None for i in range(6)]
+    rotation, shift, expected = np.eye(3), np.zeros(3), [np.zeros(3)]
+    for step in steps:  # world to camera: R <- R_rel R, t <- R_rel t + t_rel
+        if step is not None:
+            rotation, shift = step[0] @ rotation, step[0] @ shift + step[1]
+        expected.append(-rotation.T @ shift)
+    assert np.allclose(O.chain_poses(steps), expected)
+    # a left turn seen from above stays one, whatever the signs of the axes
+    path = np.array([[0, 0, z] for z in np.linspace(0, 10, 20)] + [[-x, 0, 10] for x in np.linspace(0.5, 8, 16)], float)
+    for tilt in (0.0, 0.2):
+        flat = O.driving_plane(path + np.c_[np.zeros(36), tilt * path[:, 2], np.zeros(36)])
+        a, b = flat[10] - flat[0], flat[-1] - flat[-5]
+        assert a[0] * b[1] - a[1] * b[0] > 0
+    assert np.allclose(O.driving_plane(path[:2]), path[:2, [0, 2]])

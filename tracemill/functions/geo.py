@@ -129,3 +129,23 @@ def sub_discs(discs: DataFrame, radius: str, tile: float) -> DataFrame:
     east = METRES_A_DEGREE * F.greatest(F.lit(0.2), F.cos(F.radians("lat")))
     lat, lon = F.col("lat") + F.col("_i") * step / METRES_A_DEGREE, F.col("lon") + F.col("_j") * step / east
     return grid.withColumns({"lat": lat, "lon": lon}).drop("_i", "_j")
+
+
+def mercator(lat, lon) -> tuple[Column, Column]:
+    """x and y in metres of Web Mercator."""
+    return SEMI_MAJOR * F.radians(_c(lon)), SEMI_MAJOR * F.log(F.tan(math.pi / 4 + F.radians(_c(lat)) / 2))
+
+
+def mercator_crop(box: tuple, image: tuple, width: int, height: int) -> tuple[Column, Column, Column, Column]:
+    """First and last column and row, the last exclusive, of a box (south, west, north, east) in a Mercator image of another."""
+    (x0, y0), (x1, y1) = mercator(box[0], box[1]), mercator(box[2], box[3])
+    (left, bottom), (right, top) = mercator(image[0], image[1]), mercator(image[2], image[3])
+    at = lambda part, size: F.rint(part * size).cast("long")
+
+    def span(a: Column, b: Column, size: int) -> tuple[Column, Column]:
+        first = F.greatest(F.lit(0).cast("long"), F.least(F.least(a, b), F.lit(size - 1).cast("long")))
+        return first, F.greatest(first + 1, F.least(F.greatest(a, b), F.lit(size).cast("long")))
+
+    columns = span(at((x0 - left) / (right - left), width), at((x1 - left) / (right - left), width), width)
+    rows = span(at((top - y1) / (top - bottom), height), at((top - y0) / (top - bottom), height), height)
+    return *columns, *rows

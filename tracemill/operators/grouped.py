@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -318,26 +319,51 @@ def token_set_similarity(a: str, b: str) -> float:
 
 
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
-    """Triangles (indexes) of a simple polygon; a fan where no ear is found."""
+    """Triangles (indexes) of a simple polygon.
+
+    The corners hang in a ring of neighbours; only reflex ones can lie inside the
+    triangle of a convex one.  Corners wait in a queue and are looked at again
+    after a neighbour has gone.  A ring that crosses itself may leave no ear; the
+    corner that comes up then is cut all the same.
+    """
     n = len(ring)
-    area = sum(ring[i][0] * ring[(i + 1) % n][1] - ring[(i + 1) % n][0] * ring[i][1] for i in range(n))
-    left = list(range(n)) if area > 0 else list(range(n - 1, -1, -1))
-    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    out = []
-    while len(left) > 3:
-        for i in range(len(left)):
-            a, b, c = left[i - 1], left[i], left[(i + 1) % len(left)]
-            p, q, r = ring[a], ring[b], ring[c]
-            if cross(p, q, r) <= 0:
-                continue
-            if any(cross(p, q, ring[k]) >= 0 and cross(q, r, ring[k]) >= 0 and cross(r, p, ring[k]) >= 0 for k in left if k not in (a, b, c) and ring[k] not in (p, q, r)):
-                continue
-            out.append((a, b, c))
-            del left[i]
-            break
-        else:
-            return out + [(left[0], left[i], left[i + 1]) for i in range(1, len(left) - 1)]
-    return out + [tuple(left)] if len(left) == 3 else out
+    if n < 3:
+        return []
+    turn = 1 if sum(x * ring[(i + 1) % n][1] - ring[(i + 1) % n][0] * y for i, (x, y) in enumerate(ring)) > 0 else -1
+    after = {i: (i + turn) % n for i in range(n)}
+    before = {j: i for i, j in after.items()}
+
+    def side(a: int, b: int, c: int) -> float:
+        (x, y), (u, v), (p, q) = ring[a], ring[b], ring[c]
+        return (u - x) * (q - y) - (v - y) * (p - x)
+
+    def bends(i: int) -> float:
+        return side(before[i], i, after[i])
+
+    reflex = {i for i in range(n) if bends(i) <= 0}
+
+    def is_ear(i: int) -> bool:
+        a, c = before[i], after[i]
+        corners = {ring[a], ring[i], ring[c]}
+        inside = lambda k: min(side(a, i, k), side(i, c, k), side(c, a, k)) >= 0
+        return i not in reflex and not any(ring[k] not in corners and inside(k) for k in reflex)
+
+    waiting, passed, out = deque(range(n)), 0, []
+    while len(after) > 3:
+        i = waiting.popleft()
+        if i not in after:
+            continue
+        if not is_ear(i) and passed < len(after):
+            waiting.append(i)
+            passed += 1
+            continue
+        a, c = before.pop(i), after.pop(i)
+        after[a], before[c] = c, a
+        out.append((a, i, c))
+        reflex = {k for k in reflex - {i, a, c} | {k for k in (a, c) if bends(k) <= 0}}
+        passed = 0
+    first = next(iter(after))
+    return [*out, (before[first], first, after[first])]
 
 
 def triangulate_ring(ring: np.ndarray) -> np.ndarray:

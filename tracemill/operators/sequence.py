@@ -183,3 +183,25 @@ def pose_at(arc: DataFrame, places: DataFrame, key: str) -> DataFrame:
     share = (F.col("at") - F.col("p.s")) / F.col("d")
     go = lambda c: F.col(f"p.{c}2") - F.col(f"p.{c}")
     return held.select(key, "i", *[(F.col(f"p.{c}") + share * go(c)).alias(c) for c in "xy"], *[(go(c) / F.col("d")).alias(f"d{c}") for c in "xy"])
+
+
+def turn_weighted_correlation(a: DataFrame, b: DataFrame, key: str, n: int) -> DataFrame:
+    """key, corr: correlation of the headings of two tracks of a key, weighted by how much the first one turns.
+
+    Both are resampled to n points; headings run on over full circles.
+    """
+
+    def headings(track: DataFrame, name: str) -> DataFrame:
+        w = ordered(key)
+        steps = with_steps(resample_uniform(track, key, n), key).where("seq > 0").withColumn("h", F.atan2("dy", "dx"))
+        turn = F.coalesce(wrap_angle(F.col("h") - F.lag("h").over(w)), F.lit(0.0))
+        turned = steps.withColumn("turn", turn)
+        return turned.select(key, "seq", F.abs("turn").alias(f"{name}_turn"), F.sum("turn").over(running(key)).alias(name))
+
+    both = headings(a, "a").join(headings(b, "b"), [key, "seq"]).withColumn("w", F.col("a_turn") + 1e-3)
+    weighted = lambda x: F.sum(F.col("w") * x)
+    x, y = F.col("a"), F.col("b")
+    sums = both.groupBy(key).agg(F.sum("w").alias("w"), *[weighted(v).alias(k) for k, v in (("x", x), ("y", y), ("xy", x * y), ("xx", x * x), ("yy", y * y))])
+    spread = lambda p, q, r: F.col(p) - F.col(q) * F.col(r) / F.col("w")
+    corr = spread("xy", "x", "y") / (F.sqrt(F.greatest(F.lit(0.0), spread("xx", "x", "x")) * F.greatest(F.lit(0.0), spread("yy", "y", "y"))) + 1e-12)
+    return sums.select(key, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), corr)).alias("corr"))

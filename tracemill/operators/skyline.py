@@ -64,3 +64,31 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     n = both.groupBy(key).agg(F.count("*").alias("u"), F.sum(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1).otherwise(0)).alias("m"), F.count("_a").alias("na"), F.count("_b").alias("nb"))
     iou, cover = F.col("m") / F.col("u"), F.coalesce(F.try_divide(F.col("m"), F.least("na", "nb")), F.lit(0.0))
     return n.select(key, iou.alias("iou"), cover.alias("coverage"), (0.8 * cover + 0.2 * iou).alias("score"))
+
+
+#: Degrees of error and of pitch over which a score falls by e, degrees of pitch that cost nothing,
+#: the share of explained skyline that counts as all of it, and what contradictions and flat skylines weigh.
+SCORING = {"error": 3.0, "decay": 6.0, "slack": 10.0, "explain": 0.6, "contradiction": 0.7, "flat": 0.5}
+
+
+def skyline_scores(columns: DataFrame, key: str, candidate: str, sample: str, scoring: dict = SCORING) -> DataFrame:
+    """key, candidate, offset, error, score: agreement of each candidate's skylines with the seen ones.
+
+    One row a column: ``delta`` in degrees, null where no model is seen, and the
+    sample's ``explain``, ``contradiction`` and ``informative``.  A candidate has one
+    pitch, the median of its samples' medians; what all candidates of a key share of
+    it is the camera's and costs nothing.  Every sample of the key counts for every
+    candidate, with nothing where its model shows nothing.
+    """
+    own = [key, candidate]
+    first = lambda c: F.first(c, True).alias(c)
+    usable = columns.groupBy(key).agg(F.count_distinct(sample).alias("n"))
+    shifts = columns.groupBy(*own, sample).agg(F.median("delta").alias("d")).groupBy(*own).agg(F.median("d").alias("offset"))
+    common = shifts.groupBy(key).agg(F.median("offset").alias("common"))
+    errors = columns.join(shifts, own).groupBy(*own, sample).agg(F.median(F.abs(F.col("delta") - F.col("offset"))).alias("e"), first("explain"), first("contradiction"), first("informative"))
+    part = F.exp(-F.col("e") / scoring["error"]) * F.least(F.lit(1.0), F.col("explain") / scoring["explain"]) * (1 - scoring["contradiction"] * F.col("contradiction"))
+    part = F.coalesce(F.greatest(F.lit(0.0), part * F.when(F.col("informative"), 1.0).otherwise(scoring["flat"])), F.lit(0.0))
+    sums = errors.groupBy(*own).agg(F.sum(part).alias("sum"), F.median("e").alias("error"))
+    rows = sums.join(shifts, own).join(common, key).join(usable, key)
+    beyond = F.greatest(F.lit(0.0), F.abs(F.col("offset") - F.col("common")) - scoring["slack"])
+    return rows.select(*own, "offset", "error", (F.col("sum") / F.col("n") * F.coalesce(F.exp(-beyond / scoring["decay"]), F.lit(1.0))).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans import alignment, choices, folds, gates, graphs, places, ranks, readers, sequences, streams, texts  # noqa: F401  each registers its queries
+from tracemill.plans import alignment, choices, folds, gates, graphs, places, poses, ranks, readers, sequences, streams, texts  # noqa: F401  each registers its queries
 from tracemill.plans.tables import CATALOG, ORACLES
 
 

@@ -10,7 +10,7 @@ from tracemill.operators import align as A
 from tracemill.operators import ranking as R
 from tracemill.operators import sequence as S
 from tracemill.operators import skyline as K
-from tracemill.plans.tables import STEPS, TRACKS, query, table, tracks
+from tracemill.plans.tables import STEPS, TRACKS, query, resampled, table, tracks, wrapped
 from tracemill.sources import tracks as readers
 
 
@@ -121,12 +121,44 @@ def w13_leading_run(spark, sf_dir):
 
 
 @query(f"""with {STEPS}, e as (select user_id, max(s) as s, arg_max(x, seq) - arg_min(x, seq) as dx, arg_max(y, seq) - arg_min(y, seq) as dy from arc group by user_id)
-select a.user_id, round(abs(sqrt(a.dx ** 2 + a.dy ** 2) / a.s - sqrt(b.dx ** 2 + b.dy ** 2) / b.s), 6) as gap from e a join e b on b.user_id = a.user_id + 1 where a.s > 0 and b.s > 0""")
+select a.user_id, round(abs(sqrt(a.dx ** 2 + a.dy ** 2) / a.s - sqrt(b.dx ** 2 + b.dy ** 2) / b.s) + 0.3 * abs({wrapped('atan2(a.dy, a.dx) - atan2(b.dy, b.dx)')}), 6) as gap from e a join e b on b.user_id = a.user_id + 1 where a.s > 0 and b.s > 0""")
 def a39_endpoint_consistency(spark, sf_dir):
+    """How two tracks differ in the share of their length that lies between their ends, and in its direction."""
     e = S.arc_length(tracks(spark, sf_dir), "user_id").groupBy("user_id").agg(F.max("s").alias("s"), *[(F.max_by(c, "seq") - F.min_by(c, "seq")).alias(f"d{c}") for c in "xy"]).where("s > 0")
-    share = e.select("user_id", (F.hypot("dx", "dy") / F.col("s")).alias("r"))
-    other = share.select((F.col("user_id") - 1).alias("user_id"), F.col("r").alias("q"))
-    return share.join(other, "user_id").select("user_id", F.round(F.abs(F.col("r") - F.col("q")), 6).alias("gap"))
+    ends = e.select("user_id", (F.hypot("dx", "dy") / F.col("s")).alias("r"), F.atan2("dy", "dx").alias("h"))
+    other = ends.select((F.col("user_id") - 1).alias("user_id"), F.col("r").alias("q"), F.col("h").alias("g"))
+    gap = F.abs(F.col("r") - F.col("q")) + 0.3 * F.abs(G.wrap_angle(F.col("h") - F.col("g")))
+    return ends.join(other, "user_id").select("user_id", F.round(gap, 6).alias("gap"))
+
+
+@query(f"""with {STEPS}, {resampled(64)}, st as (select user_id, seq, atan2(y - lag(y) over w, x - lag(x) over w) as h from points window w as (partition by user_id order by seq)), tu as (
+  select user_id, seq, coalesce({wrapped('h - lag(h) over (partition by user_id order by seq)')}, 0) as turn from st where h is not null
+), r as (select user_id, seq, turn, sum(turn) over (partition by user_id order by seq rows unbounded preceding) as h from tu),
+p as (select a.user_id, abs(a.turn) + 1e-3 as w, a.h as a, b.h as b from r a join r b on b.user_id = a.user_id + 1 and b.seq = a.seq),
+s as (select user_id, sum(w) as w, sum(w * a) as x, sum(w * b) as y, sum(w * a * b) as xy, sum(w * a * a) as xx, sum(w * b * b) as yy from p group by user_id)
+select user_id, round(least(1, greatest(-1, (xy - x * y / w) / (sqrt(greatest(0, xx - x * x / w) * greatest(0, yy - y * y / w)) + 1e-12))), 5) as corr from s""")
+def a38_turn_weighted_correlation(spark, sf_dir):
+    rows = tracks(spark, sf_dir).select("user_id", "seq", "x", "y")
+    out = S.turn_weighted_correlation(rows, rows.withColumn("user_id", F.col("user_id") - 1), "user_id", 64)
+    return out.select("user_id", F.round("corr", 5).alias("corr"))
+
+
+@query("""with c as (select l_orderkey // 20 as clip, l_suppkey % 10 as cand, l_linenumber as sample, case when l_returnflag = 'R' then null else (l_quantity - 25) / 5 + l_suppkey % 10 end as delta, l_discount * 10 as explain, l_tax as contra, l_linestatus = 'F' as informative from lineitem),
+f as (select clip, cand, sample, median(delta) as d, min(explain) as explain, max(contra) as contra, bool_or(informative) as informative from c group by all),
+n as (select clip, count(distinct sample) as n from c group by clip), o as (select clip, cand, median(d) as off from f group by all), com as (select clip, median(off) as common from o group by clip),
+e as (select c.clip, c.cand, c.sample, median(abs(delta - off)) as e from c join o using (clip, cand) group by all),
+p as (select e.clip, e.cand, e.e, coalesce(greatest(0, exp(-e.e / 3.0) * least(1, explain / 0.6) * (1 - 0.7 * contra) * case when informative then 1.0 else 0.5 end), 0) as part from e join f using (clip, cand, sample)),
+s as (select clip, cand, sum(part) as total, median(e) as error from p group by all)
+select clip, cand, round(off, 6) + 0.0::double as pitch, round(error, 6) as error, round(total / n * coalesce(exp(-greatest(0, abs(off - common) - 10.0) / 6.0), 1), 6) as score from s join o using (clip, cand) join com using (clip) join n using (clip)""")
+def a28_skyline_scores(spark, sf_dir):
+    """Candidates of a clip by how their skylines agree with the seen ones, without the pitch that all share."""
+    k, flag = F.col("l_suppkey") % 10, F.col("l_returnflag") == "R"
+    delta = F.when(~flag, (F.col("l_quantity") - 25) / 5 + k)
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 20).alias("clip"), k.alias("cand"), F.col("l_linenumber").alias("sample"), delta.alias("delta"), (F.col("l_discount") * 10).alias("explain"), F.col("l_tax").alias("contradiction"), (F.col("l_linestatus") == "F").alias("informative"))
+    one = rows.groupBy("clip", "cand", "sample").agg(F.min("explain").alias("explain"), F.max("contradiction").alias("contradiction"), F.max("informative").alias("informative"))
+    rows = rows.select("clip", "cand", "sample", "delta").join(one, ["clip", "cand", "sample"])
+    out = K.skyline_scores(rows, "clip", "cand", "sample")
+    return out.select("clip", "cand", (F.round("offset", 6) + 0.0).alias("pitch"), F.round("error", 6).alias("error"), F.round("score", 6).alias("score"))
 
 
 @query("""with w as (select user_id, value as deg, (event_id % 10) / 10.0 as conf from events), s as (select user_id, sum(conf * sin(radians(deg))) as a, sum(conf * cos(radians(deg))) as b, count(*) as n, sqrt(sum(conf * sin(radians(deg))) ** 2 + sum(conf * cos(radians(deg))) ** 2) / sum(conf) as r from w where conf >= 0.3 group by user_id)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tracemill.operators import grouped as P
 from tracemill.operators.components import shared_folder
 from tracemill.plans.tables import TRACKS, query, table, tracks
-from tracemill.sources import sinks
+from tracemill.sources import citygml, sinks
 from tracemill.sources import tracks as readers
 
 PLACES = f"{TRACKS}, p as (select user_id, seq, epoch_us(ts) as us, 48 + y / 1000 as lat, 9 + x / 1000 as lon, x, y from tracks join (select event_id, ts from events) using (event_id))"
@@ -105,3 +107,53 @@ def s01_local_video(spark, sf_dir):
 def s07_frame_sample(spark, sf_dir):
     """Every fifth frame of an interval, eight at most."""
     return readers.frame_sample(tracks(spark, sf_dir), "user_id", "seq", 3, 60, 5, 8).select("user_id", "seq")
+
+
+@query("""with b as (select s_suppkey as k, (4 + s_suppkey % 9)::double as w, (5 + s_suppkey % 7)::double as d, (3 + s_suppkey % 11)::double as h, (30 + s_nationkey)::double as z from supplier)
+select 'tile-' || k as tile, 10::bigint as triangles, round(2 * (w + d) * h + w * d, 5) as area, round(z, 6) as ground from b""")
+def s33_citygml(spark, sf_dir):
+    """A box for each supplier as CityGML, parsed and triangulated again; holes and loose lists do not count."""
+    k = F.col("s_suppkey")
+    sizes = table(spark, sf_dir, "supplier").select(k.alias("k"), *[c.cast("double").alias(n) for n, c in (("w", 4 + k % 9), ("d", 5 + k % 7), ("h", 3 + k % 11), ("z", 30 + F.col("s_nationkey")))])
+    corner = {"a": ("0", "0"), "b": ("w", "0"), "c": ("w", "d"), "d": ("0", "d")}
+
+    def ring(*names: str):
+        """The closed ring of corners; an upper-case one stands on the roof."""
+        cells = []
+        for n in [*names, names[0]]:
+            x, y = (F.lit(0.0) if c == "0" else F.col(c) for c in corner[n.lower()])
+            cells += [x, y, F.col("z") + F.col("h") if n.isupper() else F.col("z")]
+        text = F.concat_ws(" ", *[c.cast("string") for c in cells])
+        return F.concat(F.lit("<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>"), text, F.lit("</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon>"))
+
+    hole = F.lit("<gml:Polygon><gml:interior><gml:LinearRing><gml:posList>1 1 1 2 1 1 2 2 1 1 1 1</gml:posList></gml:LinearRing></gml:interior></gml:Polygon><gml:posList>1 2 3 4 5 6</gml:posList>")
+    faces = F.concat(*[ring(*f) for f in ("abBA", "bcCB", "cdDC", "daAD", "ABCD")])
+    document = F.concat(F.lit('<c:CityModel xmlns:c="c" xmlns:gml="g" xmlns:b="b"><b:Building>'), faces, hole, F.lit("</b:Building></c:CityModel>"))
+    files = sizes.select(F.concat(F.lit("tile-"), "k").alias("path"), document.cast("binary").alias("content"))
+    mesh = citygml.buildings(files)
+    side = lambda p, c: F.col(f"{p}{c}") - F.col(f"a{c}")
+    cross = [side("b", i) * side("c", j) - side("b", j) * side("c", i) for i, j in ("yz", "zx", "xy")]
+    area = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2
+    return mesh.groupBy("tile").agg(F.count("*").alias("triangles"), F.round(F.sum(area), 5).alias("area"), F.round(F.min("ground_z"), 6).alias("ground"))
+
+
+@query("""with t as (select p_partkey as k, case p_partkey % 5 when 0 then '12.5 m' when 1 then null when 2 then '9999' else null end as height, case p_partkey % 5 when 1 then '4' else null end as levels, (3 + p_size % 7)::double as w, (4 + p_size % 5)::double as d from part),
+h as (select k, w, d, case when height = '12.5 m' then 12.5 when levels = '4' then 13.0 else 8.0 end::double as h from t)
+select k, h as height, 10::bigint as triangles, round(2 * (w + d) * h + w * d, 5) as area from h""")
+def s38_osm_mesh(spark, sf_dir):
+    """Footprints with tagged heights as meshes of walls and roofs."""
+    from tracemill.functions.text import osm_height
+
+    k = F.col("p_partkey") % 5
+    tags = F.when(k == 0, F.create_map(F.lit("height"), F.lit("12.5 m"))).when(k == 1, F.create_map(F.lit("building:levels"), F.lit("4"))).when(k == 2, F.create_map(F.lit("height"), F.lit("9999"))).otherwise(F.create_map(F.lit("building"), F.lit("yes")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), osm_height(tags).alias("height"), (3.0 + F.col("p_size") % 7).alias("w"), (4.0 + F.col("p_size") % 5).alias("d"))
+
+    def fold(g):
+        out = []
+        for k, h, w, d in zip(g["k"], g["height"], g["w"], g["d"]):
+            mesh = P.extrude([(0, 0), (w, 0), (w, d), (0, d)], h)
+            area = np.linalg.norm(np.cross(mesh[:, 1] - mesh[:, 0], mesh[:, 2] - mesh[:, 0]), axis=1).sum() / 2
+            out.append((int(k), float(h), len(mesh), round(float(area), 5)))
+        return out
+
+    return P.per_group(rows.withColumn("g", F.col("k") % 64), "g", "g long, k long, height double, triangles long, area double", fold, ["k"]).drop("g")
