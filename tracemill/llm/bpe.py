@@ -5,15 +5,21 @@ Two neighbouring chunks are stitched at the first pre-token start that both of
 them found inside their overlap: matching has no memory beyond a match's start,
 so from there on both would agree.  What a chunk found near its own end is not
 trusted, because a match there may have been cut short.  Where no such start
-exists (a single run longer than the overlap) the left chunk is extended over
-the next one and matched again.  Each pre-token is then merged by rank, and
-decoding concatenates the bytes of the ids.
+exists (a single run longer than the overlap) the left chunk is matched again over
+twice its length.  Each pre-token is then merged by rank, and decoding concatenates
+the bytes of the ids.
+
+The pattern engine here and the library's may know different versions of Unicode.
+The library is asked which characters it joins to letters and digits, and those on
+which the two differ are matched by stand-ins of the library's class.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -35,9 +41,45 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
-def pretokens(text: str, pattern, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """The pattern's matches over the whole text, found chunk by chunk."""
-    if len(text) <= chunk:
+@lru_cache(maxsize=4)
+def stand_ins(pattern: str) -> dict[int, str]:
+    """Code points that the library classes otherwise than ``regex``, and a character of its class.
+
+    The library's class shows in whether a character stands in one piece with the
+    letter or the digit before it: only then its first byte merges with that one.
+    No plane above the third has letters or digits.
+    """
+    import regex
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {x + bytes([b]): len(ranks) + 256 * i + b for i, x in enumerate((b"a", b"1")) for b in range(0xC2, 0xF5)}
+    library = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    letter, number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+    codes = [c for c in range(0x80, 0x40000) if not 0xD800 <= c < 0xE000 and not chr(c).isspace() and unicodedata.category(chr(c))[0] != "Z"]
+    found = {}
+    for i in range(0, len(codes), 512):
+        part = codes[i : i + 512]
+        seen = {"a": set(), "1": set()}
+        for x, joined in seen.items():
+            at = 0
+            for token in library.encode_ordinary("".join(f"{x}{chr(c)}\n" for c in part)):
+                if token == 10:
+                    at += 1
+                elif token > 255:
+                    joined.add(at)
+        for k, c in enumerate(part):
+            own = "ß" if k in seen["a"] else "3" if k in seen["1"] else "!"
+            here = "ß" if letter.match(chr(c)) else "3" if number.match(chr(c)) else "!"
+            if own != here:
+                found[c] = own
+    return found
+
+
+def pretokens(text: str, pattern, chunk: int = CHUNK, overlap: int = OVERLAP, seen: str | None = None) -> list[str]:
+    """The pattern's matches over the whole text, found chunk by chunk; on ``seen``, of the same length, if it is given."""
+    shown, text = text, text if seen is None else seen
+    if len(text) <= chunk and seen is None:
         return pattern.findall(text)
     step = chunk - overlap
     spans = [(a, min(len(text), a + chunk)) for a in range(0, max(1, len(text) - overlap), step)]
@@ -45,19 +87,22 @@ def pretokens(text: str, pattern, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     starts = found[0]
     end = spans[0][1]
     for (a, b), right in zip(spans[1:], found[1:]):
+        if b <= end:
+            continue
         known = set(right)
         meet = next((i for i in range(len(starts) - 1, -1, -1) if starts[i] in known), None) if starts and starts[-1] >= a else None
         if meet is None:
-            # no common start: match again from the last sure one
+            # no common start: match again from the last sure one, over twice as much each time
             origin = starts[-1] if starts else spans[0][0]
-            starts = starts[:-1] + _starts(pattern, text, origin, b)
+            end = min(len(text), 2 * b - origin)
+            starts = starts[:-1] + _starts(pattern, text, origin, end)
         else:
             at = starts[meet]
             starts = starts[:meet] + right[right.index(at) :]
-        end = b
+            end = b
     assert end == len(text)
     starts.append(len(text))
-    return [text[i:j] for i, j in zip(starts, starts[1:])]
+    return [shown[i:j] for i, j in zip(starts, starts[1:])]
 
 
 def _starts(pattern, text: str, begin: int, end: int) -> list[int]:
@@ -75,7 +120,7 @@ def _starts(pattern, text: str, begin: int, end: int) -> list[int]:
 class ByteBPE:
     """Encoder and decoder over a rank file."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, others: dict[int, str] | None = None):
         import regex
         import tiktoken
 
@@ -84,6 +129,8 @@ class ByteBPE:
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self._pieces: dict[str, list[int]] = {}
+        self._others = stand_ins(pattern) if others is None else others
+        self._other = regex.compile("[" + "".join(map(chr, self._others)) + "]") if self._others else None
 
     def piece(self, piece: str) -> list[int]:
         ids = self._pieces.get(piece)
@@ -99,7 +146,9 @@ class ByteBPE:
 
     def encode(self, text: str) -> list[int]:
         known, own = self._pieces, self.piece
-        return list(chain.from_iterable([known[p] if p in known else own(p) for p in pretokens(text, self.pattern)]))
+        odd = self._other is not None and not text.isascii() and self._other.search(text)
+        pieces = pretokens(text, self.pattern, seen=text.translate(self._others) if odd else None)
+        return list(chain.from_iterable([known[p] if p in known else own(p) for p in pieces]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -107,9 +156,10 @@ class ByteBPE:
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, ids ARRAY<INT>; a null text has no ids."""
+    others = stand_ins(pattern)  # a few thousand code points at most
 
     def make():
-        bpe = ByteBPE(path, pattern)
+        bpe = ByteBPE(path, pattern, others)
         return lambda batch: {"doc_id": batch.column(0), "ids": [bpe.encode(t or "") for t in batch.column(1).to_pylist()]}
 
     return map_texts(docs, [docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")], "text", "doc_id long, ids array<int>", make)
@@ -119,7 +169,7 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
     """One row a document: doc_id, raw BINARY; bytes that are no UTF-8 by themselves stay as they are."""
 
     def run(batches):
-        bpe = ByteBPE(path, pattern)
+        bpe = ByteBPE(path, pattern, {})
         for batch in batches:
             raw = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
@@ -134,9 +184,10 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
     empty strings.  Repeated rows repeat their result, and columns beside id
     and text are ignored.
     """
+    others = stand_ins(pattern)
 
     def make():
-        bpe = ByteBPE(path, pattern)
+        bpe = ByteBPE(path, pattern, others)
         decimal = {i: str(i) for i in bpe.bytes_of}
 
         def apply(batch: pa.RecordBatch) -> dict:
