@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network, trained in numpy.
 
-A word enters as the sum of hashed character n-gram vectors (its leading
-prefixes and the trigrams of its first characters) beside a hashed word vector.
+A word enters as the scaled sum of hashed character n-gram vectors (all those of
+GRAMS characters in the whole word between its borders) beside a hashed word vector.
 A forward and a backward gated recurrent unit read each window of WINDOW words;
 attention pools their states to one logit.  Windows overlap and cover the whole
 text.  Training takes a document as toxic if any window is (noisy-or over its
@@ -28,14 +28,14 @@ from tracemill.llm.common import keep_rows, map_texts
 SAMPLE_TOXIC = 900
 SAMPLE_CLEAN = 1500
 WINDOW = 32
-STRIDE = 24
+STRIDE = 16  # every span of half a window stands whole in one
 EPOCHS = 7
 THRESHOLD = 0.7
 
 HIDDEN = 8
 WIDTH = 8
 BUCKETS = 1 << 16
-HEAD = 8  # characters of a word that n-grams are taken from
+GRAMS = (3, 4, 5)  # characters of an n-gram; a word's borders are characters too
 #: Windows that run through the network in one pass.
 BATCH = 8192
 
@@ -54,24 +54,42 @@ def window_starts(n: int) -> list[int]:
     return [*starts, n - WINDOW]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of each word's characters [n, 10] and of the word itself [n]."""
+@dataclass
+class Grams:
+    """Hash buckets of the n-grams of words, word by word, and the number of each word's."""
+
+    buckets: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def scale(self) -> np.ndarray:
+        return (1 / np.sqrt(np.maximum(self.counts, 1))).astype(np.float32)
+
+
+def features(words: list[str]) -> tuple[Grams, np.ndarray]:
+    """Hash buckets of each word's character n-grams and of the word itself [n]."""
     n = len(words)
-    flat = "".join([w[:HEAD].ljust(HEAD, "\0") for w in words])
-    c = np.frombuffer(flat.encode("utf-32-le"), np.uint32).reshape(n, HEAD).astype(np.uint64)
     mix, golden = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    chars = np.empty((n, 10), np.int64)
-    run = np.full(n, 7, np.uint64)
-    for i in range(6):
-        run = (run ^ c[:, i]) * mix
+    c = np.frombuffer("".join([f"\2{w}\3" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, n)
+    owner = np.repeat(np.arange(n), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(c))  # characters from here to the word's end
+    buckets, owners = [], []
+    run = np.full(len(c), 7, np.uint64)
+    for size in range(1, max(GRAMS) + 1):
+        # n-grams of this size, by their first character
+        ahead = np.zeros(len(c), np.uint64)
+        ahead[: max(0, len(c) - size + 1)] = c[size - 1 :]
+        run = (run ^ ahead) * mix
         run ^= run >> np.uint64(29)
-        if i >= 2:
-            chars[:, i - 2] = run >> np.uint64(48)
-    for i in range(6):
-        gram = ((c[:, i] * golden ^ c[:, i + 1]) * golden ^ c[:, i + 2]) * mix
-        chars[:, 4 + i] = (gram ^ gram >> np.uint64(31)) * golden >> np.uint64(48)
+        if size in GRAMS:
+            inside = left >= size
+            buckets.append(((run * golden) >> np.uint64(48)).astype(np.int64)[inside])
+            owners.append(owner[inside])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    counts = np.bincount(np.concatenate(owners), minlength=n)
     word = np.fromiter((zlib.crc32(w.encode()) >> 16 for w in words), np.int64, n)
-    return chars % BUCKETS, word % BUCKETS
+    return Grams(np.concatenate(buckets)[order] % BUCKETS, counts), word % BUCKETS
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,11 +116,10 @@ class Network:
         p["bias"] = np.full(1, -3.0)
         return Network({k: v.astype(np.float32) for k, v in p.items()})
 
-    def inputs(self, chars: np.ndarray, word: np.ndarray) -> np.ndarray:
-        total = self.p["chars"][chars[:, 0]]
-        for i in range(1, chars.shape[1]):
-            total = total + self.p["chars"][chars[:, i]]
-        return np.concatenate([total, self.p["words"][word]], axis=1)
+    def inputs(self, chars: Grams, word: np.ndarray) -> np.ndarray:
+        # every word has a letter, hence a trigram with its borders
+        total = np.add.reduceat(self.p["chars"][chars.buckets], np.cumsum(chars.counts) - chars.counts, axis=0)
+        return np.concatenate([total * chars.scale[:, None], self.p["words"][word]], axis=1)
 
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """Input parts of the gates for distinct words, and a last row for padding."""
@@ -178,8 +195,7 @@ class Network:
             g[f"c{way}"] = d.sum(axis=0)
             g[f"x{way}"] = x.T @ d[:-1]
             d_input = d_input + d[:-1] @ p[f"x{way}"].T
-        for i in range(chars.shape[1]):
-            _add_rows(g["chars"], chars[:, i], d_input[:, :WIDTH])
+        _add_rows(g["chars"], chars.buckets, np.repeat(d_input[:, :WIDTH] * chars.scale[:, None], chars.counts, axis=0))
         _add_rows(g["words"], word, d_input[:, WIDTH:] * drop[:, None])
         return float(loss), g
 
