@@ -1,15 +1,17 @@
 """Conflict-constrained best-fit packing of documents into training rows.
 
 A bin holds at most ``capacity`` words.  It carries a bitmap of the sources and
-a set of the duplicate clusters already in it; a piece may not join a bin that
+one of the duplicate clusters already in it; a piece may not join a bin that
 has its source or its cluster.  Pieces go longest first, each into the tightest
 bin that takes it: bins are ordered by residual, and the successor search goes
 on from the smallest sufficient residual until a compatible bin is found.  A
 text longer than the capacity is cut into full pieces and a remainder.
 
-Packing is independent in shards of at most about SHARD pieces, dealt by a hash
-of the piece, so a hot source or a large cluster spreads over all of them and
-no task grows with the input.
+Pieces are dealt by a hash to shards of about SHARD pieces, so a hot source or a
+large cluster spreads over all of them and no task grows with the input.  The
+pieces of bins that a shard leaves less full than FILL are dealt out and packed
+again, and so on until one shard is left or nothing more is gained, so what is
+lost against one packing of everything is bounded by the last round.
 """
 
 from __future__ import annotations
@@ -26,41 +28,45 @@ from tracemill.llm.common import Scratch, map_texts
 
 CAPACITY = 2048
 SHARD = 4096
+#: Share of the capacity from which a bin is not opened again, and the share of a
+#: round's pieces that must leave it for another round.
+FILL, GAIN = 0.98, 0.1
+PIECES = "doc_id long, piece int, n_words long, word_offset long, source string, cluster long"
 BINS = "doc_id long, piece int, n_words long, word_offset long, shard int, bin int, bin_offset int, bin_used int"
 
 
 def best_fit(pieces: list[tuple[int, int | None, int | None]], capacity: int) -> list[tuple[int, int]]:
     """(bin, offset in the bin) of each piece (size, source, cluster), in the order given.
 
-    None as source or cluster conflicts with nothing.  Bins are searched by
-    (residual, number); those with equal residual and equal sources form one
-    run, so that a full run of incompatible bins is passed by its bitmap.
+    None as source or cluster conflicts with nothing; both are small numbers, bits
+    of a bin's bitmaps.  Bins are searched by (residual, sources, number); those with
+    equal residual and equal sources form one run, so that a full run of
+    incompatible bins is passed by its bitmap.
     """
-    order: list[tuple[int, int, int]] = []  # (residual, source bitmap, bin), sorted
-    clusters: list[set] = []
+    order: list[tuple[int, int, int]] = []  # (residual, sources, bin), sorted
+    clusters: list[int] = []
     used: list[int] = []
     out = []
     for size, source, cluster in pieces:
-        bit = 0 if source is None else 1 << source
+        bit, mark = (0 if x is None else 1 << x for x in (source, cluster))
         at = bisect_left(order, (size, 0, 0))
         while at < len(order):
             residual, sources, number = order[at]
             if bit & sources:
                 at = bisect_left(order, (residual, sources + 1, 0), at + 1)
-                continue
-            if cluster is None or cluster not in clusters[number]:
+            elif mark & clusters[number]:
+                at += 1
+            else:
                 break
-            at += 1
         if at < len(order):
             residual, sources, number = order.pop(at)
         else:
             residual, sources, number = capacity, 0, len(used)
-            clusters.append(set())
+            clusters.append(0)
             used.append(0)
         out.append((number, used[number]))
         used[number] += size
-        if cluster is not None:
-            clusters[number].add(cluster)
+        clusters[number] |= mark
         if residual > size:
             insort(order, (residual - size, sources | bit, number))
     return out
@@ -71,12 +77,15 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     rows = rows.sort_values(["n_words", "doc_id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
     codes, _ = pd.factorize(rows["source"], sort=True)
     source = [None if c < 0 else int(c) for c in codes]
-    cluster = [None if pd.isna(c) else c for c in rows["cluster"]]
+    # a cluster that is here once has no bit: it cannot conflict
+    several = rows["cluster"].where(rows["cluster"].duplicated(keep=False))
+    marks, _ = pd.factorize(several, sort=True)
+    cluster = [None if c < 0 else int(c) for c in marks]
     found = best_fit(list(zip(rows["n_words"].tolist(), source, cluster)), capacity)
     rows["bin"] = [b for b, _ in found]
     rows["bin_offset"] = [o for _, o in found]
     rows["bin_used"] = rows.groupby("bin")["n_words"].transform("sum")
-    return rows[[c.split()[0] for c in BINS.split(", ")]]
+    return rows[[c.split()[0] for c in f"{BINS}, source string, cluster long".split(", ")]]
 
 
 def pieces_of(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
@@ -109,10 +118,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, doc_id:
     equal but for white space form one.  A null id, source or cluster is packed
     like any other; null sources and clusters conflict with nothing, null and
     wordless texts have no piece.  Repeated rows are pieces of one cluster.  Ties
-    go to the lower doc_id, then to the lower bin.
+    go to the lower doc_id, then to the lower bin.  An empty table gives no rows;
+    columns beside those named are ignored, whatever their names.
     """
-    pieces = Scratch(docs.sparkSession, "packing").table(pieces_of(docs, capacity, doc_id, text, source, cluster), "pieces")
-    total = pieces.count()
-    shards = max(1, -(-total // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(lambda rows: pack_shard(rows, capacity), BINS)
+    scratch = Scratch(docs.sparkSession, "packing")
+    left = scratch.table(pieces_of(docs, capacity, doc_id, text, source, cluster), "pieces")
+    packed, first, total = [], 0, left.count()
+    while total:
+        shards = -(-total // shard)
+        # every round deals anew; shards are numbered on over the rounds
+        dealt = left.withColumn("shard", (F.pmod(F.xxhash64("doc_id", "piece", "cluster", F.lit(first)), F.lit(shards)) + first).cast("int"))
+        done = dealt.groupBy("shard").applyInPandas(lambda rows: pack_shard(rows, capacity), f"{BINS}, source string, cluster long")
+        done = scratch.table(done, f"round{len(packed)}")
+        under = F.col("bin_used") < FILL * capacity
+        open_pieces = done.where(under).count() if shards > 1 else 0
+        again = 0 < open_pieces <= (1 - GAIN) * total
+        packed.append((done.where(~under) if again else done).drop("source", "cluster"))
+        if not again:
+            break
+        left, total, first = done.where(under).select(*[c.split()[0] for c in PIECES.split(", ")]), open_pieces, first + shards
+    if not packed:
+        return docs.sparkSession.createDataFrame([], BINS)
+    out = packed[0]
+    for part in packed[1:]:
+        out = out.unionByName(part)
+    return out
