@@ -373,7 +373,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = SIMIL
     component is themselves.  Rows with equal sets are linked, so repeated rows
     and rows that share a doc_id are returned as often as they occur.  A null
     doc_id is passed over as a component's name; a component of such rows alone
-    is null.
+    is null.  Pairs at the very bound of the similarity are linked.  An empty table
+    gives no rows; columns beside the id and the text are ignored.  Sets are sets of
+    64-bit hashes of shingles, known by 64-bit hashes of their own.
     """
     found = Join(prepared(docs, doc_id, text), width, percent).run()
     heads = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("head"))
@@ -382,12 +384,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = SIMIL
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all columns, of the least doc_id of each component; a doc_id stays once.
+    """The rows, with all columns, of the least doc_id of each component.
 
-    Rows with a null doc_id cannot be named as copies and stay.
+    Rows with a null doc_id cannot be named as copies and stay, and so do rows
+    without words.  Rows that repeat a doc_id and its text stay once; if their
+    texts differ, all of them stay or go with their number.  An empty table gives
+    no rows.  ``docs`` may have any further columns, whatever their names.
     """
     found = jaccard_components(docs.where(docs[doc_id].isNotNull()), width, percent, doc_id, text)
     name = f"head_{uuid4().hex}"  # docs may have any columns
     heads = found.where("component_id = doc_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(heads, docs[doc_id] == heads[name]).drop(name).dropDuplicates([doc_id])
+    kept = docs.join(heads, docs[doc_id] == heads[name]).drop(name).dropDuplicates([doc_id, text])
     return kept.unionByName(docs.where(docs[doc_id].isNull()))
