@@ -14,11 +14,13 @@ the share of training bigrams in contexts as frequent as h that occur once
 
 Counts are exact over all training documents.  Texts are first written as
 blocks of about BLOCK_TOKENS tokens with their own vocabulary.  Each block asks
-for the counts of its distinct words, then of its distinct bigrams; requests
+for the counts of its distinct words and of its distinct bigrams; requests
 carry the block's own training counts and are hashed to reducers that sum them
 over all blocks and answer every block in the order asked.  A frequent word or
 bigram is one entry a block, however often it occurs, and reducers grow in
-number with the distinct entries, so none of them grows with the input.
+number with the distinct entries, so none of them grows with the input.  Of the
+blocks that ask for a bigram one owns it: the Good-Turing shares are sums over the
+blocks of what they own.  Words and bigrams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,7 +47,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = "block long, ids binary, held binary, null_ids binary, lengths binary, tokens binary, words binary, n_words long, n_pairs long, train_docs long"
-ANSWERS = "kind int, part int, block long, counts binary, n_types long, n_tokens long, once binary, mass binary"
+REQUESTS = "kind int, part int, block long, keys binary, counts binary"
+ANSWERS = "kind int, part int, block long, counts binary, owned binary, n_types long, n_tokens long"
+COUNTED = "block long, ids binary, held binary, null_ids binary, lengths binary, tokens binary, n_words long, word_counts binary, pair_counts binary, classes array<struct<once:bigint,mass:bigint>>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -146,8 +150,8 @@ class Block:
         self.null_ids = np.frombuffer(row.null_ids, bool)
         self.lengths = unpack(row.lengths, np.int64)
         self.tokens = unpack(row.tokens, np.int32).astype(np.int64)
-        self.words = np.frombuffer(row.words, np.uint64)
-        self.n = len(self.words)
+        self.n = int(row.n_words)
+        self.words = np.frombuffer(row.words, np.uint64) if hasattr(row, "words") else None
         self.trains = ~np.repeat(self.held, self.lengths)
 
     def word_counts(self) -> np.ndarray:
@@ -157,15 +161,24 @@ class Block:
         """Local word ids by reducer."""
         return _dealt(self.words, parts)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (context, word) codes, the index of each token's, training counts, hashes."""
-        codes, which = np.unique(_pairs(self.tokens, self.lengths, self.n), return_inverse=True)
-        counts = np.bincount(which[self.trains], minlength=len(codes))
+    def pairs(self) -> np.ndarray:
+        """Distinct (context, word) codes."""
+        return np.unique(_pairs(self.tokens, self.lengths, self.n))
+
+    def counted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (context, word) codes, and how often training texts of the block have each."""
+        pairs = _pairs(self.tokens, self.lengths, self.n)
+        codes, counts = np.unique(pairs, return_counts=True)
+        held, times = np.unique(pairs[~self.trains], return_counts=True)
+        counts[np.searchsorted(codes, held)] -= times
+        return codes, counts
+
+    def pair_hashes(self, codes: np.ndarray) -> np.ndarray:
         hashes = np.append(self.words, np.uint64(0xA5A5A5A55A5A5A5A))  # the last: a text's start
         left, right = hashes[codes // (self.n + 1)], hashes[codes % (self.n + 1)]
         mixed = (left * _MIX ^ left >> np.uint64(31)) + right
         mixed = (mixed ^ mixed >> np.uint64(29)) * _MIX
-        return codes, which, counts, mixed ^ mixed >> np.uint64(32)
+        return mixed ^ mixed >> np.uint64(32)
 
 
 def _dealt(hashes: np.ndarray, parts: int) -> list[np.ndarray]:
@@ -180,60 +193,54 @@ def frequency_class(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.frexp(np.maximum(counts, 1).astype(np.float64))[1], 0).astype(np.uint8)
 
 
-def _requests(kind: int, block: int, parts: list[np.ndarray], keys: np.ndarray, counts: np.ndarray, classes: np.ndarray | None) -> pd.DataFrame:
+def _requests(kind: int, block: int, parts: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """One row a reducer that the block has something to ask."""
+    asked = [(i, p) for i, p in enumerate(parts) if len(p)]
     return pd.DataFrame(
         {
             "kind": kind,
-            "part": range(len(parts)),
+            "part": [i for i, _ in asked],
             "block": block,
-            "keys": [pack(np.diff(keys[p], prepend=np.uint64(0))) for p in parts],
-            "counts": [pack(counts[p].astype(np.uint32)) for p in parts],
-            "classes": [b"" if classes is None else pack(classes[p]) for p in parts],
+            "keys": [pack(np.diff(keys[p], prepend=np.uint64(0))) for _, p in asked],
+            "counts": [pack(counts[p].astype(np.uint64)) for _, p in asked],
         }
     )
 
 
-REQUESTS = "kind int, part int, block long, keys binary, counts binary, classes binary"
-
-
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Sum one reducer's requests over all blocks and answer each block."""
     rows = rows.sort_values("block", kind="stable")
     own = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
     sizes, keys = [len(k) for k in own], np.concatenate(own)
-    counts = np.concatenate([unpack(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
+    counts = np.concatenate([unpack(c, np.uint64) for c in rows["counts"]]).astype(np.int64)
     distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(which, counts, len(distinct)).astype(np.int64)
-    once = mass = np.zeros(CLASSES, np.int64)
-    if any(rows["classes"]):
-        classes = np.concatenate([unpack(c, np.uint8) for c in rows["classes"]])[first]
-        mass = np.bincount(classes, total, CLASSES).astype(np.int64)
-        once = np.bincount(classes[total == 1], minlength=CLASSES)
-    answers = np.split(total[which], np.cumsum(sizes)[:-1])
-    n, lead = len(rows), np.arange(len(rows)) == 0
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, which, counts)
+    owned = np.zeros(len(keys), bool)
+    owned[first] = True
+    cut = np.cumsum(sizes)[:-1]
+    lead = np.arange(len(rows)) == 0
     return pd.DataFrame(
         {
             "kind": rows["kind"].to_numpy(),
             "part": rows["part"].to_numpy(),
             "block": rows["block"].to_numpy(),
-            "counts": [pack(a.astype(np.uint32)) for a in answers],
+            "counts": [pack(a.astype(np.uint64)) for a in np.split(total[which], cut)],
+            "owned": [pack(np.packbits(a)) for a in np.split(owned, cut)],
             "n_types": np.where(lead, int((total > 0).sum()), 0),
             "n_tokens": np.where(lead, int(total.sum()), 0),
-            "once": [once.tobytes() if i else b"" for i in lead],
-            "mass": [mass.tobytes() if i else b"" for i in lead],
-        },
-        index=range(n),
+        }
     )
 
 
-def _answered(rows: pd.DataFrame, kind: int, parts: list[np.ndarray], n: int) -> np.ndarray:
-    """One block's counts, put back in the block's own order."""
-    own = dict(zip(rows.loc[rows["kind"] == kind, "part"], rows.loc[rows["kind"] == kind, "counts"]))
-    out = np.zeros(n, np.int64)
-    for i, part in enumerate(parts):
-        if len(part):
-            out[part] = unpack(own[i], np.uint32)
-    return out
+def _answered(rows: pd.DataFrame, kind: int, parts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One block's counts and which it owns, put back in the block's own order."""
+    rows = rows[rows["kind"] == kind]
+    counts, owned = np.zeros(n, np.int64), np.zeros(n, bool)
+    for i, raw, mask in zip(rows["part"], rows["counts"], rows["owned"]):
+        counts[parts[i]] = unpack(raw, np.uint64)
+        owned[parts[i]] = np.unpackbits(unpack(mask, np.uint8), count=len(parts[i]))
+    return counts, owned
 
 
 class Automaton:
@@ -288,7 +295,8 @@ def score_texts(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str =
     train_tokens, base_score and score, both log10.  A null or empty text is one
     end token.  A null doc_id is kept, a null ``held`` is false; repeated rows
     count as often as they occur.  With no training rows both scores are those of
-    an empty model.
+    an empty model; an empty table gives no rows.  A text of any length lies in one
+    block.  Columns beside the three named are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -299,54 +307,65 @@ def score_texts(docs: DataFrame, held: str, doc_id: str = "doc_id", text: str =
     pair_parts = max(1, -(-(sizes[1] or 0) // reducer_entries))
     starts = sizes[2] or 0
 
-    def ask_words(frames):
+    def ask(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                b = Block(row)
+                yield _requests(0, b.block, b.word_parts(word_parts), b.words, b.word_counts())
+                codes, counts = b.counted_pairs()
+                hashes = b.pair_hashes(codes)
+                yield _requests(1, b.block, _dealt(hashes, pair_parts), hashes, counts)
+
+    asked = _dealt_out(blocks.mapInPandas(ask, REQUESTS), word_parts + pair_parts)
+    answers = scratch.table(asked.groupBy("kind", "part").applyInPandas(_answer, ANSWERS), "answers")
+    total, types = answers.where("kind = 0").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+
+    def count_in(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = next(left.itertuples())
+        b = Block(row)
+        known, _ = _answered(right, 0, b.word_parts(word_parts), b.n)
+        codes = b.pairs()
+        counts, owned = _answered(right, 1, _dealt(b.pair_hashes(codes), pair_parts), len(codes))
+        of = frequency_class(np.append(known, starts))[codes // (b.n + 1)][owned]
+        once = np.bincount(of[counts[owned] == 1], minlength=CLASSES)
+        mass = np.zeros(CLASSES, np.int64)
+        np.add.at(mass, of, counts[owned])
+        given = {c: [getattr(row, c)] for c in ("block", "ids", "held", "null_ids", "lengths", "tokens", "n_words")}
+        sums = [{"once": int(x), "mass": int(y)} for x, y in zip(once, mass)]
+        return pd.DataFrame(given | {"word_counts": [pack(known.astype(np.uint64))], "pair_counts": [pack(counts.astype(np.uint64))], "classes": [sums]})
+
+    asking = answers.select("kind", "part", "block", "counts", "owned")
+    scratch.free()  # the requests
+    counted = scratch.table(blocks.groupBy("block").cogroup(asking.groupBy("block")).applyInPandas(count_in, COUNTED), "counted")
+    scratch.drop("blocks", "answers")
+    scratch.free()
+    keep = np.full(CLASSES, 0.5)
+    for row in counted.select(F.posexplode("classes").alias("c", "x")).groupBy("c").agg(F.sum("x.once").alias("once"), F.sum("x.mass").alias("mass")).collect():  # CLASSES rows
+        keep[row.c] = (row.once + 0.5) / (row.mass + 1)
+    keep = np.clip(keep, 1e-4, 0.9999)
+
+    def finish(frames):
         for frame in frames:
             for row in frame.itertuples():
                 b = Block(row)
-                yield _requests(0, b.block, b.word_parts(word_parts), b.words, b.word_counts(), None)
-
-    asked = blocks.mapInPandas(ask_words, REQUESTS)
-    words = scratch.table(_dealt_out(asked, word_parts).groupBy("part").applyInPandas(_answer, ANSWERS), "words")
-    total, types = words.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
-
-    def ask_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        b = Block(next(left.itertuples()))
-        known = _answered(right, 0, b.word_parts(word_parts), b.n)
-        codes, _, counts, hashes = b.pairs()
-        classes = frequency_class(np.append(known, starts))[codes // (b.n + 1)]
-        return _requests(1, b.block, _dealt(hashes, pair_parts), hashes, counts, classes)
-
-    asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask_pairs, REQUESTS)
-    pairs = scratch.table(_dealt_out(asked, pair_parts).groupBy("part").applyInPandas(_answer, ANSWERS), "pairs")
-    once, mass = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in pairs.where("length(mass) > 0").select("once", "mass").toLocalIterator():  # one row a reducer
-        once += np.frombuffer(row.once, np.int64)
-        mass += np.frombuffer(row.mass, np.int64)
-    keep = np.clip((once + 0.5) / (mass + 1), 1e-4, 0.9999)
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        b = Block(next(left.itertuples()))
-        known = _answered(right, 0, b.word_parts(word_parts), b.n)
-        codes, _, _, hashes = b.pairs()
-        pair_counts = _answered(right, 1, _dealt(hashes, pair_parts), len(codes))
-        model = Automaton(codes, pair_counts, known, starts, total, types, keep)
-        first = np.cumsum(b.lengths) - b.lengths
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(np.where(b.null_ids, 0, b.ids), "Int64"),
-                "held_out": b.held,
-                "n_tokens": b.lengths,
-                "n_known": np.add.reduceat((known > 0)[b.tokens].astype(np.int64), first),
-                "train_tokens": total,
-                "base_score": np.add.reduceat(model.root[b.tokens], first),
-                "score": model.read(b.tokens, b.lengths),
-            }
-        ).assign(doc_id=lambda d: d["doc_id"].mask(b.null_ids))
-
-    answers = words.drop("n_types", "n_tokens", "once", "mass").unionByName(pairs.drop("n_types", "n_tokens", "once", "mass"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, SCORES)
+                known = unpack(row.word_counts, np.uint64).astype(np.int64)
+                model = Automaton(b.pairs(), unpack(row.pair_counts, np.uint64).astype(np.int64), known, starts, total, types, keep)
+                first = np.cumsum(b.lengths) - b.lengths
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pd.array(np.where(b.null_ids, 0, b.ids), "Int64"),
+                        "held_out": b.held,
+                        "n_tokens": b.lengths,
+                        "n_known": np.add.reduceat((known > 0)[b.tokens].astype(np.int64), first),
+                        "train_tokens": total,
+                        "base_score": np.add.reduceat(model.root[b.tokens], first),
+                        "score": model.read(b.tokens, b.lengths),
+                    }
+                ).assign(doc_id=lambda d: d["doc_id"].mask(b.null_ids))
+
+    return counted.mapInPandas(finish, SCORES)
 
 
 def _dealt_out(requests: DataFrame, parts: int) -> DataFrame:
     """Requests with their reducers spread over at least as many partitions as there are."""
-    return requests.repartition(parts, "part") if parts > 1 else requests
+    return requests.repartition(parts, "kind", "part")
