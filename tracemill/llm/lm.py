@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import Scratch
+from tracemill.llm.shingles import distinct
 
 BLOCK_TOKENS = 1_000_000
 REDUCER_ENTRIES = 2_000_000
@@ -102,7 +103,7 @@ def blocks_of(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
             "tokens": pack(flat),
             "words": _hash_words(list(known)).tobytes(),
             "n_words": len(known),
-            "n_pairs": len(np.unique(_pairs(flat, sizes, len(known)))),
+            "n_pairs": len(distinct(_pairs(flat, sizes, len(known)))),
             "train_docs": int((~held).sum()),
         }
 
@@ -163,7 +164,7 @@ class Block:
 
     def pairs(self) -> np.ndarray:
         """Distinct (context, word) codes."""
-        return np.unique(_pairs(self.tokens, self.lengths, self.n))
+        return distinct(_pairs(self.tokens, self.lengths, self.n))
 
     def counted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (context, word) codes, and how often training texts of the block have each."""

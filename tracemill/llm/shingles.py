@@ -47,6 +47,12 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(begins, stops), prepend=0)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; by sorting, which is many times faster here than hashing."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])]
+
+
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Each text's distinct shingles, sorted; a shorter text is one shingle, a wordless one none."""
     words, counts = word_hashes(texts)
@@ -57,7 +63,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     out, at = [], 0
     for n in counts.tolist():
         if n >= width:
-            out.append(np.unique(rolled[at : at + n - width + 1]))
+            out.append(distinct(rolled[at : at + n - width + 1]))
         elif n:
             value = np.uint64(n)
             with np.errstate(over="ignore"):
