@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Texts handed to one call of a batch function: at most this many rows and,
 #: unless a single text is larger, this many bytes.
 SLICE_ROWS = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,9 +42,17 @@ class Scratch:
         """
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()
+        self.free()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Ask the driver to collect its garbage, and with it the shuffle files of plans that have ended.
+
+        Just after a plan its events still hold it; what must be gone before a large
+        step is asked for once more before that step.
+        """
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
