@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,21 @@ def _c(x: Column | str | float) -> Column:
 
 
 def wrap_angle(angle: Column | str) -> Column:
-    """Into [-pi, pi), by floor modulus."""
-    return F.pmod(_c(angle) + math.pi, F.lit(2 * math.pi)) - math.pi
+    """Into [-pi, pi), by floor modulus: written out, since ``pmod`` rounds to the other end next to the seam."""
+    turned = _c(angle) + math.pi
+    return turned - 2 * math.pi * F.floor(turned / (2 * math.pi)) - math.pi
+
+
+def heading(dx: Column | str, dy: Column | str) -> Column:
+    """atan2(dy, dx) by the C library, as SQL engines have it; the JVM's differs in the last bit.
+
+    Where a track turns back on its line, that bit decides between a turn of pi and of -pi.
+    """
+
+    def apply(dx: pa.Array, dy: pa.Array) -> pa.Array:
+        return pa.array(map(math.atan2, dy.to_pylist(), dx.to_pylist()), pa.float64())
+
+    return F.arrow_udf(apply, "double")(dx, dy)
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.geo import wrap_angle
+from tracemill.functions.geo import heading, wrap_angle
 
 
 def ordered(key: str, seq: str = "seq") -> Window:
@@ -35,7 +35,7 @@ def arc_length(track: DataFrame, key: str) -> DataFrame:
 def heading_deltas(track: DataFrame, key: str) -> DataFrame:
     """key, seq, delta: the wrapped change of heading at each inner vertex."""
     w = ordered(key)
-    steps = with_steps(track, key).withColumn("heading", F.when(F.col("seq") > 0, F.atan2("dy", "dx")))
+    steps = with_steps(track, key).withColumn("heading", F.when(F.col("seq") > 0, heading("dx", "dy")))
     delta = wrap_angle(F.lead("heading").over(w) - F.col("heading"))
     return steps.withColumn("delta", delta).where("delta is not null").select(key, "seq", "delta")
 
