@@ -34,7 +34,7 @@ def events(*tracks):
     return rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-@pytest.mark.parametrize("name", ["x03_heading_deltas"])
+@pytest.mark.parametrize("name", ["x03_heading_deltas", "w03_windowed_turn"])
 def test_turning_back_on_the_line(spark, tmp_path, name):
     back = [([17.17, 12.86, 21.48], [58, 62, 54]), ([9.83, 24.78, -5.12], [87, 93, 81]), ([47.59, 31.59, 47.59], [94, 102, 94]), ([37.74, 37.65, 37.83], [19, 35, 3]), ([85.64, 85.82, 85.28], [65, 82, 31]), ([21.01, 13.03, 17.02, 98.55], [24, 32, 28, 61])]
     found = same(spark, tmp_path, name, events=events(*[list(zip(x, y)) for x, y in back]))
