@@ -39,3 +39,15 @@ def test_turning_back_on_the_line(spark, tmp_path, name):
     back = [([17.17, 12.86, 21.48], [58, 62, 54]), ([9.83, 24.78, -5.12], [87, 93, 81]), ([47.59, 31.59, 47.59], [94, 102, 94]), ([37.74, 37.65, 37.83], [19, 35, 3]), ([85.64, 85.82, 85.28], [65, 82, 31]), ([21.01, 13.03, 17.02, 98.55], [24, 32, 28, 61])]
     found = same(spark, tmp_path, name, events=events(*[list(zip(x, y)) for x, y in back]))
     assert len(found) == 7 and any(v > 3 for row in found for v in row if isinstance(v, float))
+
+
+def test_a_track_and_its_header_are_one_file(spark, tmp_path):
+    tracks = [[(u + 3 * i, (u * 7 + i) % 100) for i in range(9)] for u in range(40)]
+    small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    for name, size in small.items():  # as if the table were large: several tasks
+        spark.conf.set(name, size)
+    try:
+        assert len(same(spark, tmp_path, "s27_boreas", events=events(*tracks))) == 360
+    finally:
+        for name in small:
+            spark.conf.unset(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemill.operators import grouped as P
@@ -26,9 +27,10 @@ def _places(spark, sf_dir):
 def _written(rows, order: str, *head: str, kind: str = "text") -> str:
     """A folder with one file of lines for each user, after some header lines."""
     folder = f"{shared_folder(rows.sparkSession).rstrip('/')}/tracks-{uuid.uuid4().hex}"
-    top = rows.select("user_id").distinct().select("user_id", F.posexplode(F.array(*map(F.lit, head))).alias("o", "value")).select("user_id", (F.col("o") - len(head)).cast("double").alias("o"), "value") if head else None
-    lines = rows.select("user_id", F.col(order).cast("double").alias("o"), "value")
-    lines = lines if top is None else lines.unionByName(top)
+    # the header goes with a user's first line: as rows of a union it may be dealt to another task, and so to another file
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy(order)) == 1
+    value = F.when(first, F.concat(F.lit("".join(f"{line}\n" for line in head)), "value")).otherwise(F.col("value"))
+    lines = rows.select("user_id", F.col(order).alias("o"), value.alias("value"))
     lines.repartition("user_id").sortWithinPartitions("user_id", "o").drop("o").write.partitionBy("user_id").text(folder)
     return folder
 
