@@ -25,6 +25,18 @@ def same(spark, folder, name, **tables):
     return found
 
 
+def most_rows(frame):
+    """Rows that the largest node of a frame's plan puts out, after running it."""
+    frame.collect()
+
+    def walk(node):
+        metric, name = node.metrics().get("numOutputRows"), node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return max([metric.get().value() if metric.isDefined() else 0, *map(walk, inner)])
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
 def events(*tracks):
     """Tracks of (x, y), one row a second."""
     from datetime import datetime, timedelta
@@ -51,3 +63,44 @@ def test_a_track_and_its_header_are_one_file(spark, tmp_path):
     finally:
         for name in small:
             spark.conf.unset(name)
+
+
+def customers(n, places):
+    """Customers of two nations, whose keys give ``places`` places."""
+    return [(i // places * 9000 + i % places * 17, i % 2, i * 37 % 5000 / 4) for i in range(n)], "c_custkey long, c_nationkey int, c_acctbal double"
+
+
+def suppliers(n, places):
+    return [(i // places * 9000 + i % places * 29, i % 2, i * 53 % 7000 / 4) for i in range(n)], "s_suppkey long, s_nationkey int, s_acctbal double"
+
+
+@pytest.mark.parametrize("name", ["a09_densest_cluster", "j25_pairwise_spread", "a10_cluster_filter"])
+def test_points_of_one_place_do_not_meet_in_pairs(spark, tmp_path, name):
+    assert same(spark, tmp_path, name, customer=customers(1200, 15), supplier=suppliers(60, 6))
+    assert most_rows(catalog.queries()[name](spark, str(tmp_path))) <= 20 * 1260
+
+
+def test_spread_of_points_of_one_place(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0), (1, 3, 3.0, 4.0), (2, 1, 5.0, 5.0), (3, 1, 1.0, 1.0), (3, 2, 1.0, 1.0), (4, 1, 0.0, 0.0), (4, 2, 0.0, 2.0), (4, 3, 0.0, 6.0), (4, 4, 0.0, 6.0)], "k int, i int, x double, y double")
+    assert dict(A.pairwise_spread(rows, "k", "i").collect()) == {1: 5.0, 3: 0.0, 4: 4.0}
+
+
+def test_triangles_and_ground_of_poses_of_one_place(spark, tmp_path):
+    parts = [(i // 12 * 3000 + i % 12 * 41, i % 3 * 20) for i in range(600)], "p_partkey long, p_size int"
+    assert same(spark, tmp_path, "j20_triangles_near", customer=customers(600, 10), part=parts)
+    assert most_rows(catalog.queries()["j20_triangles_near"](spark, str(tmp_path))) <= 10 * 600
+    assert same(spark, tmp_path, "j21_local_ground", customer=customers(1200, 10), supplier=suppliers(60, 6))
+    assert most_rows(catalog.queries()["j21_local_ground"](spark, str(tmp_path))) <= 1200
+
+
+def test_neighbours_are_not_sent_to_the_driver(spark):
+    a = spark.range(50).selectExpr("id as i", "id * 1.0 as ax", "0.0 as ay")
+    plan = A.near_pairs(a, a.selectExpr("i as j", "ax as bx", "ay as by"), 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
+def test_support_meets_by_places(spark, tmp_path, monkeypatch):
+    met, near_pairs = [], A.near_pairs
+    monkeypatch.setattr(A, "near_pairs", lambda a, b, cell: met.append((a.count(), b.count())) or near_pairs(a, b, cell))
+    assert same(spark, tmp_path, "j06_support_join", customer=customers(240, 24), supplier=suppliers(90, 30))
+    assert met == [(24, 30)]

@@ -75,8 +75,11 @@ def j06_support_join(spark, sf_dir):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     w = table(spark, sf_dir, "customer").select(k.alias("w"), F.col("c_nationkey").alias("wn"), (k * 37 % 1000).alias("ax"), (k * 91 % 1000).alias("ay"))
     c = table(spark, sf_dir, "supplier").select(s.alias("c"), F.col("s_nationkey").alias("cn"), (s * 53 % 1000).alias("bx"), (s * 29 % 1000).alias("by"))
-    met = A.near_pairs(w, c, 160.0).withColumn("named", F.col("wn") == F.col("cn"))
-    return met.where((F.col("distance") <= 80) | F.col("named")).select("w", "c", "named")
+    # places meet first; then rows of near places, and of farther ones those with the same name, so that every pair made counts
+    met = A.near_places(w, c, 160.0).join(c, ["bx", "by"])
+    near = w.join(met.where("distance <= 80").hint("merge"), ["ax", "ay"]).select("w", "c", (F.col("wn") == F.col("cn")).alias("named"))
+    far = met.where("distance > 80").withColumnRenamed("cn", "wn").hint("merge")
+    return near.unionByName(w.join(far, ["ax", "ay", "wn"]).select("w", "c", F.lit(True).alias("named")))
 
 
 @query("""with g as (select lower(n_name) as gt from nation where n_nationkey % 3 = 0), p as (select c_custkey as id, lower(c_mktsegment) || ' ' || lower(n_name) || ' road' as name from customer join nation on c_nationkey = n_nationkey)
