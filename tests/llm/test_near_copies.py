@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-from tracemill.llm import queries
+from tracemill.llm import lines, queries
 
 
 def test_near_copies_never_share_a_bin(spark, tmp_path):
@@ -19,3 +19,13 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     near = {(i, 120) for i in range(8)} | {(None, 120)}
     assert all(len(near & set(own)) <= 1 for own in bins.values())
     assert len(bins) == 9
+
+
+def test_two_families_of_lines_that_share_a_third_do_not_meet_in_pairs(spark, monkeypatch):
+    verified, _verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: verified.append(pairs.count()) or _verified(pairs, *more))
+    tails = ["q" * 12 + "r" * 12, "s" * 12 + "t" * 12]
+    rows = [f"abcdefghijkl{t[:i]}{c}{t[i + 1 :]}" for t in tails for i in range(1, 23) for c in "UVWXYZ"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert lines.duplicate_lines(docs).groupBy("class_doc").count().orderBy("class_doc").collect() == [(0, 131), (132, 131)]
+    assert sum(verified) <= lines.FEW * len(rows)

@@ -34,7 +34,7 @@ from tracemill.llm.graph import components, small
 
 DISTANCE = 2
 MIN_LENGTH = 32  # characters from which lines may differ by edits
-#: Lines that stay apart under one key and are still joined in pairs.
+#: Lines of other components that a line meets on average under a key that is still joined in pairs.
 FEW = 24
 ROUNDS = 3
 #: Characters between two divergences up to which all deletions are made.
@@ -262,8 +262,7 @@ def _joined(rows: DataFrame, texts: DataFrame, links: DataFrame | None, distance
     links = fresh if links is None else links.union(fresh)
     # what is left: lines under one key that are not connected yet
     placed = scratch.table(_open(rows, links, scratch, f"roots{step}"), f"open{step}")
-    apart = placed.select("key", "root").distinct().groupBy("key").count()
-    crowds = scratch.table(apart.where(F.col("count") > (FEW if step < ROUNDS else 1 << 62)).select("key"), f"crowds{step}")
+    crowds = scratch.table(_crowds(placed).where(F.lit(step < ROUNDS)), f"crowds{step}")
     few = placed.join(small(crowds), "key", "left_anti")
     probe = few.select("key", F.col("h").alias("p"), F.col("root").alias("rp"), F.col("indexed").alias("both"))
     index = few.where("indexed").select("key", F.col("h").alias("i"), F.col("root").alias("ri"))
@@ -293,6 +292,15 @@ def _open(rows: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> Dat
     return placed.join(open_keys, "key", "left_semi")
 
 
+def _crowds(placed: DataFrame) -> DataFrame:
+    """The keys under which a line would meet more than FEW lines of other components on average.
+
+    A few components may have many lines each, so it is lines that count and not components.
+    """
+    sizes = placed.groupBy("key", "root").agg(F.countDistinct("h").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return sizes.where(F.col("n") * F.col("n") - F.col("own") > FEW * F.col("n")).select("key")
+
+
 def _crowd_keys(crowd: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     """(key, h, indexed) from where lines h differ from the pivot p that all of their keys then have in common."""
     spark = crowd.sparkSession
