@@ -81,6 +81,20 @@ def test_long_runs_are_matched_in_linear_work():
     assert read[800_000] < 5 * read[200_000]
 
 
+def test_looking_for_other_classes_costs_little():
+    from time import process_time
+
+    path, text = P.path("byte_bpe_multi_50k.tiktoken"), "für später, où déjà vu; " * 20_000
+    seconds = []
+    for others in ({}, bpe.stand_ins(P.PATTERN)):
+        own = bpe.ByteBPE(path, P.PATTERN, others)
+        own.encode(text[:100])
+        start = process_time()
+        own.encode(text)
+        seconds.append(process_time() - start)
+    assert seconds[1] < 3 * seconds[0]
+
+
 def test_bpe_edge_cases(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     rows = bpe.bpe_digest(messy(spark), path, P.PATTERN).collect()

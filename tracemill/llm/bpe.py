@@ -130,7 +130,7 @@ class ByteBPE:
         self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self._pieces: dict[str, list[int]] = {}
         self._others = stand_ins(pattern) if others is None else others
-        self._other = regex.compile("[" + "".join(map(chr, self._others)) + "]") if self._others else None
+        self._other = frozenset(map(chr, self._others))  # a class of thousands of characters is tried one by one by ``regex``
 
     def piece(self, piece: str) -> list[int]:
         ids = self._pieces.get(piece)
@@ -146,7 +146,7 @@ class ByteBPE:
 
     def encode(self, text: str) -> list[int]:
         known, own = self._pieces, self.piece
-        odd = self._other is not None and not text.isascii() and self._other.search(text)
+        odd = not text.isascii() and not self._other.isdisjoint(text)
         pieces = pretokens(text, self.pattern, seen=text.translate(self._others) if odd else None)
         return list(chain.from_iterable([known[p] if p in known else own(p) for p in pieces]))
 
