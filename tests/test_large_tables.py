@@ -53,6 +53,22 @@ def test_turning_back_on_the_line(spark, tmp_path, name):
     assert len(found) == 7 and any(v > 3 for row in found for v in row if isinstance(v, float))
 
 
+def test_turns_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    tracks = [[(0, 0), (0.1 * (u + 1), 3 + u), *[(i * (u + 0.37), i * i * 7 % (11 + u)) for i in range(4)]] for u in range(60)]
+    tracks = [[*t, (t[-1][0] + t[1][0], t[-1][1] + t[1][1])] for t in tracks]  # the last move repeats the first
+    signs = {repr(row[1]) for row in same(spark, tmp_path, "w03_windowed_turn", events=events(*tracks)) if row[1] == 0}
+    assert signs == {"0.0", "-0.0"}
+
+
+def test_halves_are_rounded_as_scaled_doubles(spark):
+    from tracemill.functions.geo import round_half_away
+
+    values = [0.285, 1.005, -1.005, 2.675, -2.5e-9, -0.001, 2.5, 0.125, 1e300, float("inf"), -1234.565]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(round_half_away("x", 2).alias("r")).collect()
+    wanted = duckdb.connect().execute(f"select round(x, 2) from (select unnest([{', '.join(f"'{v}'::double" for v in values)}]) as x)").fetchall()
+    assert [repr(r.r) for r in rows] == [repr(w[0]) for w in wanted]
+
+
 def test_a_track_and_its_header_are_one_file(spark, tmp_path):
     tracks = [[(u + 3 * i, (u * 7 + i) % 100) for i in range(9)] for u in range(40)]
     small = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}

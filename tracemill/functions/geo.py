@@ -26,6 +26,17 @@ def wrap_angle(angle: Column | str) -> Column:
     return turned - 2 * math.pi * F.floor(turned / (2 * math.pi)) - math.pi
 
 
+def round_half_away(x: Column | str, places: int) -> Column:
+    """``x`` scaled, rounded half away from zero and scaled back in doubles, as SQL engines round them.
+
+    Spark's own ``round`` goes by the decimal digits, which differ next to a half, and
+    loses the sign of a negative number that rounds to zero.
+    """
+    scaled = F.abs(_c(x) * 10.0**places)
+    whole = F.rint(scaled)
+    return F.signum(_c(x)) * F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 10.0**places
+
+
 def heading(dx: Column | str, dy: Column | str) -> Column:
     """atan2(dy, dx) by the C library, as SQL engines have it; the JVM's differs in the last bit.
 

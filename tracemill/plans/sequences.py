@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill.functions.geo import round_half_away
 from tracemill.operators import sequence as S
 from tracemill.plans.tables import STEPS, TRACKS, query, resampled, table, tracks, wrapped
 
@@ -27,7 +28,7 @@ def x02_resample_uniform(spark, sf_dir):
 
 @query(f"with {STEPS}, {HEADINGS} select user_id, seq, round(delta, 9) as delta from deltas")
 def x03_heading_deltas(spark, sf_dir):
-    return S.heading_deltas(tracks(spark, sf_dir), "user_id").select("user_id", "seq", F.round("delta", 9).alias("delta"))
+    return S.heading_deltas(tracks(spark, sf_dir), "user_id").select("user_id", "seq", round_half_away("delta", 9).alias("delta"))
 
 
 @query(f"""with {STEPS}, {resampled(32)}, moves as (
@@ -39,7 +40,7 @@ def x03_bearing_signature(spark, sf_dir):
 
 @query(f"with {STEPS}, {HEADINGS} select user_id, seq, round(sum(delta) over (partition by user_id order by seq rows between 8 preceding and 8 following), 8) as turn from deltas")
 def w03_windowed_turn(spark, sf_dir):
-    return S.windowed_turn(tracks(spark, sf_dir), "user_id").select("user_id", "seq", F.round("turn", 8).alias("turn"))
+    return S.windowed_turn(tracks(spark, sf_dir), "user_id").select("user_id", "seq", round_half_away("turn", 8).alias("turn"))
 
 
 @query(f"""with {TRACKS}, sizes as (select user_id, max(seq) + 1 as n from tracks group by user_id), starts as (
