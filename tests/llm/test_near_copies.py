@@ -29,3 +29,31 @@ def test_two_families_of_lines_that_share_a_third_do_not_meet_in_pairs(spark, mo
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert lines.duplicate_lines(docs).groupBy("class_doc").count().orderBy("class_doc").collect() == [(0, 131), (132, 131)]
     assert sum(verified) <= lines.FEW * len(rows)
+
+
+def test_lines_that_share_no_more_than_a_third_are_no_candidates(spark, monkeypatch):
+    from random import Random
+
+    verified, _verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: verified.append(pairs.count()) or _verified(pairs, *more))
+    draw = Random(5)
+    rows = ["the same beginning " + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=38)) for _ in range(24)]
+    docs = spark.createDataFrame(list(enumerate([*rows, rows[3][:30] + rows[3][31:] + "!"])), "doc_id long, text string")
+    assert [(r.doc_id, r.class_doc) for r in lines.duplicate_lines(docs).collect()] == [(24, 3)]
+    assert 1 <= sum(verified) <= 6
+
+
+def test_parities_allow_all_lines_within_the_distance():
+    from random import Random
+
+    draw, alphabet = Random(9), "ab é€\U0001F600"
+    pairs = []
+    for _ in range(3000):
+        a = b = "".join(draw.choices(alphabet, k=draw.randint(32, 70)))
+        for _ in range(lines.DISTANCE):
+            at, kind = draw.randrange(len(b)), draw.randrange(3)
+            b = b[:at] + draw.choice(alphabet) * (kind > 0) + b[at + (kind < 2) :]
+        pairs.append((a, b))
+    for own, bound in zip(zip(lines.parities([a for a, _ in pairs]), lines.parities([b for _, b in pairs])), (2, 4)):
+        apart = [((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(*own)]
+        assert 0 < max(apart) <= bound * lines.DISTANCE

@@ -6,8 +6,10 @@ since two edits make another word of them.  A line is split into DISTANCE + 1
 segments; within that distance one segment of the shorter line must occur
 unchanged in the longer one, at a position that the lengths and the segment's rank
 bound.  Segments are the index, the bounded substrings of equal or longer lines the
-probes; both are joined on a hash of (length, segment number, substring), and
-every candidate is verified with a banded bit-parallel automaton.
+probes; both are joined on a hash of (length, segment number, substring).  Candidates must agree
+in what lines within the distance have in common, nearly equal lengths and parities of
+characters and of pairs of characters, before they are rows at all, and are then verified
+with a banded bit-parallel automaton.
 
 Equal lines are collapsed before the join, so copies never meet in pairs, and
 variants of one line are first joined to the line that meets most others, the key's
@@ -26,7 +28,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import Scratch, map_texts, shared
@@ -150,6 +152,28 @@ def signatures(lines: list[str], ids: np.ndarray, distance: int = DISTANCE) -> t
     return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(indexed)
 
 
+def parities(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, none empty, which of 64 cells have an odd number of its characters, and of its pairs of neighbours.
+
+    An edit moves at most two characters and four pairs into or out of a line, so lines
+    within a distance differ in at most twice, and four times, as many cells.
+    """
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    begins = np.cumsum(lengths) - lengths
+    pairs = codes * _BASE
+    pairs[1:] += codes[:-1]
+    one, two = (np.uint64(1) << (x * _MIX >> np.uint64(58)) for x in (codes, pairs))
+    two[begins] = 0
+    return tuple(np.bitwise_xor.reduceat(x, begins).view(np.int64) if len(begins) else np.empty(0, np.int64) for x in (one, two))
+
+
+def may_be_within(a: str, b: str, distance: int) -> Column:
+    """Whether the lengths and parities in the structs of those names allow the distance; true for all lines within it."""
+    apart = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return (F.abs(F.col(f"{a}.size") - F.col(f"{b}.size")) <= distance) & (apart("one") <= 2 * distance) & (apart("two") <= 4 * distance)
+
+
 def common_prefix(a: str, b: str, at: int = 0) -> int:
     """Length of the longest common prefix, known to be at least ``at``."""
     n = min(len(a), len(b))
@@ -248,15 +272,30 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = scratch.table(dealt.mapInArrow(shared, "key long, h long, indexed boolean"), "keys")
     # the texts of the lines that share a key with another
     texts = long.select("h", "line").join(small(rows.select("h").distinct()), "h", "left_semi")
-    texts = scratch.table(texts.groupBy("h").agg(F.min("line").alias("line")), "texts")
+    texts = scratch.table(_marked(texts.groupBy("h").agg(F.min("line").alias("line"))), "texts")
     return _joined(rows, texts, None, distance, scratch, 0)
 
 
+def _marked(texts: DataFrame) -> DataFrame:
+    """(h, line) with the line's size and parities."""
+
+    def make():
+        def apply(batch: pa.RecordBatch) -> dict:
+            lines = batch.column(1).to_pylist()
+            one, two = parities(lines)
+            return {"h": batch.column(0), "line": batch.column(1), "size": list(map(len, lines)), "one": one, "two": two}
+
+        return apply
+
+    return map_texts(texts, ["h", "line"], "line", "h long, line string, size int, one long, two long", make)
+
+
 def _joined(rows: DataFrame, texts: DataFrame, links: DataFrame | None, distance: int, scratch: Scratch, step: int) -> DataFrame:
     """``links`` and those among lines that share a key: of (key, h, indexed), one of a pair is indexed."""
+    rows = scratch.table(rows.join(texts.select("h", F.struct("size", "one", "two").alias("m")), "h").distinct(), f"marked{step}")
     pivot = scratch.table(_pivots(rows), f"pivots{step}")
     # linearly many pairs join the variants of a line
-    star = rows.join(pivot, "key").where("h <> p").select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
+    star = rows.join(pivot, "key").where("h <> p").where(may_be_within("m", "mp", distance)).select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
     star = scratch.table(star.distinct(), f"star{step}")
     fresh = _verified(star, texts, distance, scratch, f"star-links{step}")
     links = fresh if links is None else links.union(fresh)
@@ -264,9 +303,9 @@ def _joined(rows: DataFrame, texts: DataFrame, links: DataFrame | None, distance
     placed = scratch.table(_open(rows, links, scratch, f"roots{step}"), f"open{step}")
     crowds = scratch.table(_crowds(placed).where(F.lit(step < ROUNDS)), f"crowds{step}")
     few = placed.join(small(crowds), "key", "left_anti")
-    probe = few.select("key", F.col("h").alias("p"), F.col("root").alias("rp"), F.col("indexed").alias("both"))
-    index = few.where("indexed").select("key", F.col("h").alias("i"), F.col("root").alias("ri"))
-    met = probe.join(index, "key").where("rp <> ri and (not both or p < i)").select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+    probe = few.select("key", F.col("h").alias("p"), F.col("root").alias("rp"), F.col("indexed").alias("both"), F.col("m").alias("mp"))
+    index = few.where("indexed").select("key", F.col("h").alias("i"), F.col("root").alias("ri"), F.col("m").alias("mi"))
+    met = probe.join(index, "key").where("rp <> ri and (not both or p < i)").where(may_be_within("mp", "mi", distance)).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
     pairs = scratch.table(met.join(star, ["a", "b"], "left_anti"), f"pairs{step}")
     if not pairs.isEmpty():
         links = links.union(_verified(pairs, texts, distance, scratch, f"links{step}"))
@@ -278,10 +317,11 @@ def _joined(rows: DataFrame, texts: DataFrame, links: DataFrame | None, distance
 
 
 def _pivots(rows: DataFrame) -> DataFrame:
-    """(key, p): each key's line that meets most others over all of its keys."""
-    met = rows.select("key", "h").distinct()
+    """(key, p, mp): each key's line that meets most others over all of its keys, and its size and parities."""
+    met = rows.select("key", "h", "m").distinct()
     meets = met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("h").agg(F.sum("size").alias("meets"))
-    return met.join(meets, "h").groupBy("key").agg(F.max(F.struct("meets", "h"))["h"].alias("p"))
+    most = met.join(meets, "h").groupBy("key").agg(F.max(F.struct("meets", "h", "m")).alias("p"))
+    return most.select("key", F.col("p.h").alias("p"), F.col("p.m").alias("mp"))
 
 
 def _open(rows: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
