@@ -57,3 +57,18 @@ def test_parities_allow_all_lines_within_the_distance():
     for own, bound in zip(zip(lines.parities([a for a, _ in pairs]), lines.parities([b for _, b in pairs])), (2, 4)):
         apart = [((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(*own)]
         assert 0 < max(apart) <= bound * lines.DISTANCE
+
+
+def test_the_line_stage_of_the_pipeline_tries_few_pairs(spark, monkeypatch):
+    from random import Random
+
+    import corpus_pipeline
+
+    verified, _verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: verified.append(pairs.count()) or _verified(pairs, *more))
+    draw = Random(6)
+    rows = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=20)) + " the same ending of it" for _ in range(20)]
+    docs = spark.createDataFrame([(i, f"{i}\n{line}") for i, line in enumerate([*rows, rows[3][:7] + rows[3][8:]])], "doc_id long, text string")
+    kept = dict(corpus_pipeline.drop_repeated_lines(spark, docs, "").select("doc_id", "text").collect())
+    assert kept == {i: f"{i}\n{line}" for i, line in enumerate(rows)} | {20: "20"}
+    assert 1 <= sum(verified) <= 6
