@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: unless a single text is larger, this many bytes.
 SLICE_ROWS = 512
 SLICE_BYTES = 2 << 20
+#: Rows of one key that are held back at most until its last one is known.
+HELD = 1 << 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -138,31 +140,48 @@ def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by their first column, those whose first column has several values of the second.
+    """From (key, h, indexed) sorted by key, those whose key has several h, once each: indexed if any is; size: the key's rows.
 
-    Rows are streamed: of the last first column in a batch, which may go on in the
-    next, only rows with one value of the second are held back; a key known to have
-    several passes at once.
+    Rows are streamed: of the last key in a batch, which may go on in the next, at
+    most HELD distinct rows are held back.  A longer one passes in parts; their
+    sizes are those of the parts, and a row may stand in several.
     """
-    held: pa.RecordBatch | None = None
-    going = None  # the last key, if several values of it have been seen
+    held: pa.Table | None = None
+    going = None  # the last key, if a part of it has passed
+
+    def parted(rows: pa.Table) -> pa.RecordBatch:
+        key, value = (rows.column(c).to_numpy() for c in (0, 1))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        met = np.minimum.reduceat(value, starts) != np.maximum.reduceat(value, starts)
+        met[0] |= going is not None and key[0] == going
+        kept = once(rows.filter(pa.array(np.repeat(met, np.diff(np.r_[starts, len(key)])))))
+        _, at, size = np.unique(kept.column(0).to_numpy(), return_inverse=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in kept.columns), pa.array(size[at], pa.int64())], names=["key", "h", "indexed", "size"])
+
+    def once(rows: pa.Table) -> pa.Table:
+        return rows.group_by(["key", "h"], use_threads=False).aggregate([("indexed", "max")]).rename_columns(["key", "h", "indexed"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
+        rows = pa.Table.from_batches([batch])
         if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            held = None
-        key, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        met = np.minimum.reduceat(value, starts) != np.maximum.reduceat(value, starts)
-        met[0] |= going is not None and key[0] == going
-        keep = np.repeat(met, np.diff(np.r_[starts, len(key)]))
-        going = key[-1] if met[-1] else None
-        if going is None:  # one value so far: equal rows are held once
-            last = batch.slice(int(starts[-1]))
-            held = pa.Table.from_batches([last]).group_by(last.schema.names).aggregate([]).combine_chunks().to_batches()[0]
-        if keep.any():
-            yield batch.filter(pa.array(keep))
+            rows = pa.concat_tables([held, rows])
+        key = rows.column(0).to_numpy()
+        last = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+        if last:
+            out = parted(rows.slice(0, last))
+            if out.num_rows:
+                yield out
+            going = None
+        held = once(rows.slice(last))
+        if held.num_rows > HELD:
+            yield parted(held)
+            held, going = None, key[-1]
+    if held is not None:
+        out = parted(held)
+        if out.num_rows:
+            yield out
 
 
 def _without_flag(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -37,15 +37,15 @@ def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the same components: in runs of a partition, each node with its least one."""
+def _contracted(edges: DataFrame, least_too: bool = False) -> DataFrame:
+    """Edges (u, v) with the same components: in runs of a partition, each node with its least one, a least one with itself if asked for."""
 
     def run(batches):
         held, size = [], 0
 
         def stars():
             nodes, least = least_reached(*(np.concatenate(x) for x in zip(*held)))
-            own = nodes != least
+            own = (nodes != least) | least_too
             return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(least[own])], names=["u", "v"])
 
         for batch in batches:
@@ -76,8 +76,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     step, before = 0, None
     while True:
         if edges.limit(CONTRACTED + 1).count() <= CONTRACTED:
-            edges = scratch.table(_contracted(edges.coalesce(1)), "stars")
-            break
+            return scratch.table(_contracted(edges.coalesce(1), least_too=True).select(F.col("u").alias("h"), F.col("v").alias("root")), "stars")
         step += 1
         ways = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

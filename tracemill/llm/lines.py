@@ -46,6 +46,8 @@ MET = 1 << 20
 #: A line with anything but white space.
 INK = r"[^ \t\x0B\f\r]"
 
+KEYS = "key long, h long, indexed boolean, size long"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -269,11 +271,12 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rows = map_texts(long, ["h", "line"], "line", "key long, h long, indexed boolean", make, rows=1 << 14)
     # most keys belong to one line alone and end in one streamed pass
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    rows = scratch.table(dealt.mapInArrow(shared, "key long, h long, indexed boolean"), "keys")
+    rows = scratch.table(dealt.mapInArrow(shared, KEYS), "keys")
     # the texts of the lines that share a key with another
-    texts = long.select("h", "line").join(small(rows.select("h").distinct()), "h", "left_semi")
+    meets = _meets(rows, scratch, 0)
+    texts = long.select("h", "line").join(small(meets.select("h")), "h", "left_semi")
     texts = scratch.table(_marked(texts.groupBy("h").agg(F.min("line").alias("line"))), "texts")
-    return _joined(rows, texts, None, distance, scratch, 0)
+    return _joined(rows, meets, texts, None, distance, scratch, 0)
 
 
 def _marked(texts: DataFrame) -> DataFrame:
@@ -290,66 +293,73 @@ def _marked(texts: DataFrame) -> DataFrame:
     return map_texts(texts, ["h", "line"], "line", "h long, line string, size int, one long, two long", make)
 
 
-def _joined(rows: DataFrame, texts: DataFrame, links: DataFrame | None, distance: int, scratch: Scratch, step: int) -> DataFrame:
-    """``links`` and those among lines that share a key: of (key, h, indexed), one of a pair is indexed."""
-    rows = scratch.table(rows.join(texts.select("h", F.struct("size", "one", "two").alias("m")), "h").distinct(), f"marked{step}")
-    pivot = scratch.table(_pivots(rows), f"pivots{step}")
+def _meets(rows: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+    """(h, meets): how many lines a line meets over all of its keys."""
+    return scratch.table(rows.groupBy("h").agg(F.sum("size").alias("meets")), f"meets{step}")
+
+
+def _joined(rows: DataFrame, meets: DataFrame, texts: DataFrame, links: DataFrame | None, distance: int, scratch: Scratch, step: int) -> DataFrame:
+    """``links`` and those among lines that share a key: of (key, h, indexed), one of a pair is indexed.
+
+    What is known of a line, a key or a component is joined to the rows behind a
+    count, so that only pairs and sums are shuffled while these tables are small.
+    """
+    own = texts.select("h", F.struct("size", "one", "two").alias("m")).join(small(meets), "h")
+    rows = scratch.table(rows.drop("size").join(small(own), "h"), f"marked{step}")
+    most = rows.groupBy("key").agg(F.max(F.struct("meets", "h", "m")).alias("p"))
+    # each key's line that meets most others, its pivot
+    pivot = scratch.table(most.select("key", F.col("p.h").alias("p"), F.col("p.m").alias("mp")), f"pivots{step}")
     # linearly many pairs join the variants of a line
-    star = rows.join(pivot, "key").where("h <> p").where(may_be_within("m", "mp", distance)).select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
+    star = rows.join(small(pivot), "key").where("h <> p").where(may_be_within("m", "mp", distance)).select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))
     star = scratch.table(star.distinct(), f"star{step}")
     fresh = _verified(star, texts, distance, scratch, f"star-links{step}")
     links = fresh if links is None else links.union(fresh)
     # what is left: lines under one key that are not connected yet
-    placed = scratch.table(_open(rows, links, scratch, f"roots{step}"), f"open{step}")
-    crowds = scratch.table(_crowds(placed).where(F.lit(step < ROUNDS)), f"crowds{step}")
-    few = placed.join(small(crowds), "key", "left_anti")
+    placed = _open(rows, links, scratch, step)
+    few = placed.where("not crowded")
     probe = few.select("key", F.col("h").alias("p"), F.col("root").alias("rp"), F.col("indexed").alias("both"), F.col("m").alias("mp"))
     index = few.where("indexed").select("key", F.col("h").alias("i"), F.col("root").alias("ri"), F.col("m").alias("mi"))
     met = probe.join(index, "key").where("rp <> ri and (not both or p < i)").where(may_be_within("mp", "mi", distance)).select(F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
     pairs = scratch.table(met.join(star, ["a", "b"], "left_anti"), f"pairs{step}")
     if not pairs.isEmpty():
         links = links.union(_verified(pairs, texts, distance, scratch, f"links{step}"))
+    crowds = placed.where("crowded")
     if not crowds.isEmpty():
-        crowd = scratch.table(placed.join(small(crowds), "key", "left_semi").join(pivot, "key").select("h", "p").distinct(), f"crowd{step}")
-        keys = scratch.table(_crowd_keys(crowd, texts, distance), f"crowd-keys{step}")
-        links = _joined(keys, texts, links, distance, scratch, step + 1)
+        crowd = scratch.table(crowds.join(small(pivot), "key").select("h", "p").distinct(), f"crowd{step}")
+        keys = scratch.table(_crowd_keys(crowd, texts, distance, scratch, step), f"crowd-keys{step}")
+        links = _joined(keys, _meets(keys, scratch, step + 1), texts, links, distance, scratch, step + 1)
     return links
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """(key, p, mp): each key's line that meets most others over all of its keys, and its size and parities."""
-    met = rows.select("key", "h", "m").distinct()
-    meets = met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("h").agg(F.sum("size").alias("meets"))
-    most = met.join(meets, "h").groupBy("key").agg(F.max(F.struct("meets", "h", "m")).alias("p"))
-    return most.select("key", F.col("p.h").alias("p"), F.col("p.m").alias("mp"))
-
-
-def _open(rows: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The rows of keys whose lines lie in several components, with their ``root``."""
-    roots = scratch.table(components(rows.sparkSession, links), name)
-    placed = rows.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return placed.join(open_keys, "key", "left_semi")
-
-
-def _crowds(placed: DataFrame) -> DataFrame:
-    """The keys under which a line would meet more than FEW lines of other components on average.
+def _open(rows: DataFrame, links: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+    """The rows of keys whose lines lie in several components, with their ``root``; crowded: under that key they are not joined in pairs.
 
+    Under a crowded key a line would meet more than FEW lines of other components on average.
     A few components may have many lines each, so it is lines that count and not components.
     """
-    sizes = placed.groupBy("key", "root").agg(F.countDistinct("h").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return sizes.where(F.col("n") * F.col("n") - F.col("own") > FEW * F.col("n")).select("key")
+    roots = scratch.table(components(rows.sparkSession, links), f"roots{step}")
+    placed = rows.join(small(roots), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = sizes.agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("roots > 1")
+    crowded = F.lit(step < ROUNDS) & (F.col("n") * F.col("n") - F.col("own") > FEW * F.col("n"))
+    keys = scratch.table(sizes.select("key", crowded.alias("crowded")), f"open-keys{step}")
+    return scratch.table(placed.join(small(keys), "key"), f"open{step}")
 
 
-def _crowd_keys(crowd: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """(key, h, indexed) from where lines h differ from the pivot p that all of their keys then have in common."""
+def _crowd_keys(crowd: DataFrame, texts: DataFrame, distance: int, scratch: Scratch, step: int) -> DataFrame:
+    """(key, h, indexed, size) from where lines h differ from the pivot p that all of their keys then have in common."""
     spark = crowd.sparkSession
-    first = crowd.groupBy("h").agg(F.min("p").alias("a"))
-    joined = components(spark, crowd.join(first, "h").select("a", F.col("p").alias("b")))  # pivots of one line
-    named = crowd.join(joined.select(F.col("h").alias("p"), "root"), "p", "left").withColumn("root", F.coalesce("root", "p"))
+    first = scratch.table(crowd.groupBy("h").agg(F.min("p").alias("a")), f"crowd-first{step}")
+    joined = components(spark, crowd.join(small(first), "h").select("a", F.col("p").alias("b")))  # pivots of one line
+    joined = scratch.table(joined.select(F.col("h").alias("p"), "root"), f"crowd-roots{step}")
+    named = crowd.join(small(joined), "p", "left").withColumn("root", F.coalesce("root", "p"))
     most = named.groupBy("root", "p").count().groupBy("root").agg(F.max_by("p", F.struct("count", "p")).alias("p"))
-    own = named.select("h", "root").distinct().join(most, "root").where("h <> p").select("h", "p")
-    both = own.join(texts.withColumnRenamed("line", "x"), "h").join(texts.select(F.col("h").alias("p"), F.col("line").alias("y")), "p")
+    most = scratch.table(most, f"crowd-pivots{step}")
+    # the pivots of a line are of one component
+    own = first.join(small(joined.withColumnRenamed("p", "a")), "a", "left").select("h", F.coalesce("root", "a").alias("root"))
+    own = scratch.table(own.join(small(most), "root").where("h <> p").select("h", "p"), f"crowd-own{step}")
+    both = texts.select("h", F.col("line").alias("x")).join(small(own), "h")
+    both = both.join(texts.select(F.col("h").alias("p"), F.col("line").alias("y")).join(small(most.select("p")), "p", "left_semi"), "p")
 
     def make():
         from xxhash import xxh3_64_intdigest
@@ -365,7 +375,7 @@ def _crowd_keys(crowd: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
         return apply
 
     rows = map_texts(both, ["h", "p", "x", "y"], "x", "key long, h long, indexed boolean", make)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, h long, indexed boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared, KEYS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, distance: int, scratch: Scratch, name: str) -> DataFrame:
