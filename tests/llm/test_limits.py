@@ -1,10 +1,12 @@
 """What the text operators cost beside their results: tasks, memory of workers, memory of the driver."""
 
+import tracemalloc
 from random import Random
 
+import numpy as np
 import pyarrow as pa
 
-from tracemill.llm import common, lines
+from tracemill.llm import common, lines, shingles
 
 
 def test_lines_that_differ_from_one_line_take_few_shuffles(spark):
@@ -45,3 +47,17 @@ def test_shared_keys_come_once_with_their_size(monkeypatch):
         assert len(out) == len(wanted) and set(out) == wanted
     monkeypatch.setattr(common, "HELD", 2)  # a key may pass in parts: nothing is lost, nothing alone passes
     assert {r[:2] for r in found(rows, 3)} == {r[:2] for r in wanted}
+
+
+def test_shingles_of_many_texts_take_little_memory():
+    draw = Random(3)
+    words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(5000)]
+    texts = [" ".join(draw.choices(words, k=400)) for _ in range(800)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    found = shingles.shingle_sets(texts, 5)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 12 * size
+    alone = [shingles.shingle_sets([t], 5)[0] for t in texts[::40]]
+    assert all(np.array_equal(a, b) for a, b in zip(found[::40], alone))

@@ -14,6 +14,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Cells of a sketch, and of a parity; multiples of 64.
 CELLS = 128
+#: Characters of the texts that are cut into shingles together, unless a single text is longer.
+RUN = 1 << 17
 PARITY = 256
 
 
@@ -54,7 +56,21 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """Each text's distinct shingles, sorted; a shorter text is one shingle, a wordless one none."""
+    """Each text's distinct shingles, sorted; a shorter text is one shingle, a wordless one none.
+
+    Texts of RUN characters are worked on at a time, for whose every byte there are some ten numbers.
+    """
+    out, start, total = [], 0, 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if i > start and total + size > RUN:
+            out += _sets(texts[start:i], width)
+            start, total = i, 0
+        total += size
+    return out + _sets(texts[start:], width)
+
+
+def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     words, counts = word_hashes(texts)
     rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for i in range(width):
