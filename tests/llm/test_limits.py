@@ -1,12 +1,13 @@
 """What the text operators cost beside their results: tasks, memory of workers, memory of the driver."""
 
+import os
 import tracemalloc
 from random import Random
 
 import numpy as np
 import pyarrow as pa
 
-from tracemill.llm import common, lines, shingles
+from tracemill.llm import common, lines, shingles, toxicity
 
 
 def test_lines_that_differ_from_one_line_take_few_shuffles(spark):
@@ -61,3 +62,20 @@ def test_shingles_of_many_texts_take_little_memory():
     assert most < 12 * size
     alone = [shingles.shingle_sets([t], 5)[0] for t in texts[::40]]
     assert all(np.array_equal(a, b) for a, b in zip(found[::40], alone))
+
+
+def test_the_driver_does_not_train_the_network(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    none = toxicity.fit(docs.where("1 = 0"), labels)
+    start = toxicity.Network.start()
+    assert all(np.array_equal(none.p[k], start.p[k]) for k in start.p) and not np.array_equal(whole.p["out"], start.p["out"])
+
+    class Elsewhere:
+        def __init__(self, texts, labels):
+            self.p = {"pid": os.getpid(), "texts": sorted(zip(texts, labels))}
+
+    monkeypatch.setattr(toxicity, "train", Elsewhere)
+    found = toxicity.fit(docs, labels).p
+    assert found["pid"] != os.getpid() and found["texts"] == [(f"text {i}", i % 2) for i in range(6)]

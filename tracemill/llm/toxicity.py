@@ -16,6 +16,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -231,7 +232,8 @@ def _windows(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Fit by Adam over batches of whole documents; the word part of an input is dropped half the time."""
     net, rng = Network.start(seed), np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
+    known: dict[str, str] = {}
+    words = [[known.setdefault(w, w) for w in words_of(t)] for t in texts]  # equal words are one object
     pick = [i for i, w in enumerate(words) if w]
     label = np.array(labels)
     if not pick or len({labels[i] for i in pick}) < 2:
@@ -269,7 +271,10 @@ def score(net: Network, texts: list[str | None]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Network:
-    """Train on labelled documents; rows without text, id or label are left out."""
+    """Train on labelled documents, in one task; rows without text, id or label are left out.
+
+    The driver sees the network alone.
+    """
     own = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
     marks = labels.select(labels[doc_id].alias("id"), labels[toxic].cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -278,9 +283,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # a bounded set of ids: the lowest hashes of each label
     share = F.when(F.col("toxic") == 1, 1.2 * bound[1] / counts.get(1, 1)).otherwise(1.2 * bound[0] / counts.get(0, 1))
     few = marks.where(draw < share)
-    rows = sorted((r.draw, r.id, r.text, r.toxic) for r in own.where("length(text) > 0").join(F.broadcast(few), "id").select("id", "text", "toxic", draw.alias("draw")).collect())
-    chosen = [r for k in (0, 1) for r in [x for x in rows if x[3] == k][: bound[k]]]
-    return train([r[2] for r in chosen], [r[3] for r in chosen])
+    sample = own.where("length(text) > 0").join(F.broadcast(few), "id").select(draw.alias("draw"), "id", "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        chosen = [r for k in (0, 1) for r in [x for x in rows if x[3] == k][: bound[k]]]
+        yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps(train([r[2] for r in chosen], [r[3] for r in chosen]).p)], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(run, "net binary").collect()
+    return Network(pickle.loads(bytes(found[0].net))) if found else train([], [])
 
 
 def score_toxicity(docs: DataFrame, net: Network, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
