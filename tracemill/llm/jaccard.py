@@ -33,6 +33,7 @@ decides how much work is done; any order gives the same result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import gcd, log
 from uuid import uuid4
 
@@ -42,14 +43,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Scratch, _arrow_schema, company, map_texts, slices
+from tracemill.llm.common import Scratch, _arrow_schema, map_texts, slices
 from tracemill.llm.graph import components, small
-from tracemill.llm.shingles import CELLS, PARITY, parity, shingle_sets, sketch
+from tracemill.llm.shingles import CELLS, PARITY, counted_sets, parities, shingle_sets, sketches
 
 WIDTH, SIMILARITY = 5, 80  # words of a shingle; percent
 FREQUENT = 65_536  # shingles in the list of frequent ones
 FREQUENT_CHUNK = 2_000_000  # shingles counted together
 FREQUENT_LEAST = 3  # of a chunk's sets that must have a shingle
+LOT = 1 << 20  # prefix shingles that a task sends together
+PART = 1 << 18  # prefix shingles of a part, about
+NEIGHBOURS = 8  # points of a shingle up to which, less one, each is compared with each for company
+TOGETHER = 256  # points verified in one go against one other, about
 PIVOTS = 8
 LEAF = 64
 LEVELS = 8
@@ -65,10 +70,11 @@ def _ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Join:
-    """One run over a table of documents with columns doc_id and text."""
+    """One run over a table of documents with columns doc_id and text; further ones are kept."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width = docs, width
+        self.kept = [c for c in docs.columns if c not in ("doc_id", "text")]
+        self.docs, self.width = docs.withColumn("key", F.xxhash64("text")), width
         self.num, self.den = percent // gcd(percent, 100), 100 // gcd(percent, 100)
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "jaccard")
@@ -87,108 +93,132 @@ class Join:
 
     # -------------------------------------------------------------- points
 
-    def points(self) -> DataFrame:
-        """doc_id, n, id (null without words), sketch and parities of every row."""
-        width = self.width
+    def points(self) -> tuple[DataFrame, np.ndarray]:
+        """doc_id, key, n, words, id (null without words), sketch, parities and kept columns of every row; frequent shingles by rising frequency.
 
-        def make():
-            def apply(batch: pa.RecordBatch) -> dict:
-                sets = shingle_sets(batch.column(1).to_pylist(), width)
-                n = np.array([len(s) for s in sets], np.int64)
-                odd = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), len(PARITIES))
-                own = {"doc_id": batch.column(0), "n": n, "id": pa.array(_ids(sets), mask=n == 0), "sketch": [sketch(s) for s in sets]}
-                return own | {name: odd[:, i] for i, name in enumerate(PARITIES)}
-
-            return apply
-
-        return map_texts(self.docs, ["doc_id", "text"], "text", f"doc_id long, n long, id long, sketch binary, {PARITY_COLUMNS}", make)
-
-    def frequent(self) -> np.ndarray:
-        """Frequent shingles by rising frequency: of all sets, at most FREQUENT."""
-        width = self.width
+        Both come of one pass over the texts: shingles that several of a chunk's sets
+        have are counted in rows of their own.  Of all sets at most FREQUENT are returned.
+        """
+        width, kept = self.width, self.kept
+        own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.docs.schema if f.name in ("doc_id", "key", *kept))
+        schema = f"{own}, n long, words long, id long, sketch binary, {PARITY_COLUMNS}, often binary"
+        target = _arrow_schema(self.spark, schema)
 
         def run(batches):
-            sets, size, seen = [], 0, set()
+            held, size, seen = [], 0, set()
 
             def counted():
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= FREQUENT_LEAST
-                return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["g", "c"])
+                values = np.sort(np.concatenate(held))
+                last = values[FREQUENT_LEAST - 1 :]
+                often = np.flatnonzero(last == values[: len(last)])  # runs of equal ones begin there
+                kept = np.zeros(len(values), bool)
+                for d in range(FREQUENT_LEAST):
+                    kept[often + d] = True
+                values, counts = np.unique(values[kept], return_counts=True)
+                packed = np.concatenate([values, counts.astype(np.uint64)]).tobytes()
+                return pa.RecordBatch.from_arrays([pa.array([packed if f.name == "often" else None], f.type) for f in target], schema=target)
 
             for batch in batches:
                 for part in slices(batch, "text"):
-                    own = shingle_sets(part.column(0).to_pylist(), width)
-                    for key, s in zip(_ids(own).tolist(), own):
+                    sets, words = counted_sets(part.column(part.schema.get_field_index("text")).to_pylist(), width)
+                    n, ids = np.array([len(s) for s in sets], np.int64), _ids(sets)
+                    odd = parities(sets)
+                    out = {c: part.column(part.schema.get_field_index(c)) for c in ("doc_id", "key", *kept)}
+                    out |= {"n": n, "words": words, "id": pa.array(ids, mask=n == 0), "sketch": sketches(sets), "often": [None] * len(sets)}
+                    out |= {name: odd[:, i] for i, name in enumerate(PARITIES)}
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+                    for key, s in zip(ids.tolist(), sets):
                         if key not in seen:
                             seen.add(key)
-                            sets.append(s)
+                            held.append(s)
                             size += len(s)
                     if size >= FREQUENT_CHUNK:
                         yield counted()
-                        sets, size = [], 0
-            if sets:
+                        held, size = [], 0
+            if held:
                 yield counted()
 
-        rows = self.docs.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+        def unpacked(batches):
+            for batch in batches:
+                for packed in batch.column(0).to_pylist():
+                    values, counts = np.frombuffer(packed, np.int64).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["g", "c"])
+
+        found = self.scratch.table(self.docs.mapInArrow(run, schema), "points")
+        rows = found.where("often is not null").select("often").mapInArrow(unpacked, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
         top = rows.orderBy(F.desc("c"), "g").limit(FREQUENT).collect()
-        return np.array([r.g for r in reversed(top)], np.int64).view(np.uint64)
+        return found.where("often is null").drop("often"), np.array([r.g for r in reversed(top)], np.int64).view(np.uint64)
 
     # -------------------------------------------------------------- blocks
 
-    def blocks(self) -> DataFrame:
-        """(g, id, n, pos) of the points that share a prefix shingle with another point."""
-        frequent = self.frequent()
+    def blocks(self, frequent: np.ndarray, entries: int) -> DataFrame:
+        """(g, id, n, pos, size) of the points that share a prefix shingle with another point that sizes and positions allow.
+
+        size is the number of the shingle's points, null for frequent ones, of which there are FREQUENT at most.
+        ``entries`` is the number of prefix shingles of all rows.  A task sends them in
+        one row a part of the shingles and lot, as arrays; a part is worked on alone.
+        """
         sorted_frequent, rank = np.sort(frequent), np.argsort(frequent)
-        shared = self.spark.sparkContext.broadcast((sorted_frequent, rank))  # FREQUENT entries at most
+        marks = np.zeros(1 << 20, bool)  # of the frequent ones, by their last bits
+        marks[(frequent & np.uint64(len(marks) - 1)).astype(np.int64)] = True
+        shared = self.spark.sparkContext.broadcast((sorted_frequent, rank, marks))  # FREQUENT entries at most
         width, num, den = self.width, self.num, self.den
-        schema = _arrow_schema(self.spark, "g long, id long, n int, pos int, often boolean")
+        parts = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // PART))
 
         def run(batches):
-            known, place = shared.value
+            known, place, marks = shared.value
+            last = np.uint64(len(marks) - 1)
             seen: set[int] = set()
+            held, size = [], 0
             for batch in batches:
                 for part in slices(batch, "text"):
                     sets = shingle_sets(part.column(0).to_pylist(), width)
-                    keys = _ids(sets).tolist()
-                    out = []
-                    for key, s in zip(keys, sets):
+                    for key, s in zip(_ids(sets).tolist(), sets):
                         if not len(s) or key in seen:
                             continue
                         seen.add(key)
                         prefix = len(s) - -(-num * len(s) // den) + 1
-                        if len(known):
-                            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                            hit = known[at] == s
-                            rare = s[~hit]
-                            if len(rare) >= prefix:
-                                g, often = rare[:prefix], np.zeros(prefix, bool)
-                            else:
-                                last = s[hit][np.argsort(place[at[hit]], kind="stable")][: prefix - len(rare)]
-                                g = np.concatenate([rare, last])
-                                often = np.arange(prefix) >= len(rare)
-                        else:
-                            g, often = s[:prefix], np.zeros(prefix, bool)
-                        out.append((g.view(np.int64), np.full(prefix, key, np.int64), np.full(prefix, len(s), np.int32), np.arange(prefix, dtype=np.int32), often))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=schema)
-
-        rows = self.docs.select("text").mapInArrow(run, "g long, id long, n int, pos int, often boolean")
-        # frequent shingles surely have company and are not dealt by key
-        dealt = rows.repartition(F.when(F.col("often"), F.xxhash64("g", "id")).otherwise(F.xxhash64("g"))).sortWithinPartitions("often", "g", "id", "n", "pos")
-        return self.scratch.table(dealt.mapInArrow(company, "g long, id long, n int, pos int"), "blocks")
+                        rare, g = prefix, s[:prefix]
+                        may = np.flatnonzero(marks[(s & last).astype(np.int64)])
+                        if len(may):
+                            at = np.minimum(np.searchsorted(known, s[may]), len(known) - 1)
+                            same = known[at] == s[may]
+                            hit, at = may[same], at[same]
+                            g = np.delete(s, hit)[:prefix]
+                            rare = len(g)
+                            g = np.concatenate([g, s[hit[np.argsort(place[at], kind="stable")][: prefix - rare]]])
+                        held.append((g, key, len(s), rare))
+                        size += prefix
+                    if size >= LOT:
+                        yield _sent(held, parts)
+                        held, size = [], 0
+            if held:
+                yield _sent(held, parts)
+
+        def met(batches):
+            for rows in _of_one_part(batches):
+                found = _met(rows, num, den)
+                if found.num_rows:
+                    yield found
+
+        sent = self.docs.select("text").mapInArrow(run, "part int, often boolean, low binary, high binary, top binary, id binary, n binary, pos binary")
+        dealt = sent.repartition("part").sortWithinPartitions("part")
+        return self.scratch.table(dealt.mapInArrow(met, "g long, id long, n int, pos int, size long"), "blocks")
 
     def chosen(self, points: DataFrame, blocks: DataFrame) -> DataFrame:
-        """id, doc_id of one of its documents, sketch and parities of every point in a block."""
-        one = points.where("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "sketch", *PARITIES)).alias("one"))
-        return self.scratch.table(one.join(blocks.select("id").distinct(), "id", "left_semi").select("id", "one.*"), "chosen")
+        """id, doc_id and key of one of its documents, sketch and parities of every point in a block."""
+        met = points.where("id is not null").join(blocks.select("id").distinct(), "id", "left_semi")
+        one = met.groupBy("id").agg(F.min(F.struct("doc_id", "key", "sketch", *PARITIES)).alias("one"))
+        return self.scratch.table(one.select("id", "one.*"), "chosen")
 
     # --------------------------------------------------------- verification
 
-    def verified(self, pairs: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
+    def verified(self, pairs: DataFrame, points: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
         """(a, b) of the pairs that reach the similarity: sketch bound first, then the sets.
 
         Sets are made again from the texts of the points that pass the bound; a
-        text is smaller than its set.
+        text is smaller than its set.  The texts of all b of one a meet that of a;
+        where these are many, they do in several parts.
         """
         num, den, width = self.num, self.den, self.width
         side = lambda df, x, c, to: df.select(F.col("id").alias(x), F.col(c).alias(to))
@@ -202,36 +232,38 @@ class Join:
 
         rows = pairs.join(side(chosen, "a", "sketch", "x"), "a").join(side(chosen, "b", "sketch", "y"), "b")
         near = self.scratch.table(map_texts(rows, ["a", "b", "x", "y"], "x", "a long, b long", bound), f"{name}-near")
-        needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        needed = self.scratch.table(chosen.select("id", "doc_id").join(needed, "id", "left_semi"), f"{name}-needed")
-        found = self.docs.join(small(needed.select("doc_id").distinct()), "doc_id", "left_semi")
-
-        def named():
-            def apply(batch: pa.RecordBatch) -> dict:
-                return {"id": _ids(shingle_sets(batch.column(0).to_pylist(), width)), "text": batch.column(0)}
-
-            return apply
-
-        # a doc_id may stand on several rows: the text is the one with the point's id
-        texts = map_texts(found, ["text"], "text", "id long, text string", named).join(small(needed.select("id")), "id", "left_semi").dropDuplicates(["id"])
-        texts = self.scratch.table(texts, f"{name}-texts")
-
-        def exact():
-            def apply(batch: pa.RecordBatch) -> dict:
-                keep = []
-                ends = [batch.column(c).to_pylist() for c in (0, 1)]
-                text = dict(zip(ends[0] + ends[1], batch.column(2).to_pylist() + batch.column(3).to_pylist()))
-                sets = dict(zip(text, shingle_sets(list(text.values()), width)))  # a pivot is cut into shingles once
-                for p, q in zip(*([sets[i] for i in own] for own in ends)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(both * den >= num * (len(p) + len(q) - both))
-                mask = pa.array(keep, pa.bool_())
-                return {"a": batch.column(0).filter(mask), "b": batch.column(1).filter(mask)}
-
-            return apply
+        sizes = near.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+        others = near.join(sizes, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+        hubs = others.select(F.col("hub").alias("id"), "hub", "part").distinct()
+        uses = others.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("hub", "part")).alias("uses"))
+        needed = self.scratch.table(chosen.select("id", "doc_id", "key").join(uses, "id"), f"{name}-needed")
+        same = lambda left: F.col("wanted.key").eqNullSafe(left["key"]) & F.col("wanted.doc_id").eqNullSafe(left["doc_id"])
+        wanted = small(needed).alias("wanted")
+        texts = self.docs.join(wanted, same(self.docs)).select("wanted.id", "wanted.uses", "text")
+        once = small(needed.select("doc_id", "key")).alias("wanted")
+        if points.join(once, same(points)).count() > needed.count():  # rows that repeat a doc_id and its text
+            texts = texts.dropDuplicates(["id"])
+        met = texts.select("id", F.explode("uses").alias("use"), "text").select("use.hub", "use.part", "id", "text")
+        met = met.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))  # the hub first
+
+        def exact(batches):
+            known = base = None
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    a, b = [], []
+                    for hub, i, s in zip(*(part.column(c).to_pylist() for c in (0, 2)), shingle_sets(part.column(3).to_pylist(), width)):
+                        if i == hub:
+                            known, base = hub, s
+                            continue
+                        if hub != known:
+                            raise ValueError(f"no text of the point {hub}")
+                        both = len(np.intersect1d(base, s, assume_unique=True))
+                        if both * den >= num * (len(base) + len(s) - both):
+                            a.append(hub)
+                            b.append(i)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        rows = near.join(side(texts, "a", "text", "x"), "a").join(side(texts, "b", "text", "y"), "b")
-        return self.scratch.table(map_texts(rows, ["a", "b", "x", "y"], "x", "a long, b long", exact), name)
+        return self.scratch.table(met.mapInArrow(exact, "a long, b long"), name)
 
     # ------------------------------------------------------------- regions
 
@@ -257,21 +289,27 @@ class Join:
 
                 def apply(batch: pa.RecordBatch) -> dict:
                     owner, number, distance = [], [], []
-                    for i, (region, x, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 5, 6)))):
+                    rows_of: dict[int, list[int]] = {}
+                    for i, region in enumerate(batch.column(0).to_pylist()):
+                        rows_of.setdefault(region, []).append(i)
+                    for region, rows in rows_of.items():
                         if region not in chosen_of:
                             if len(chosen_of) > 4096:
                                 chosen_of.clear()
-                            chosen_of[region] = _apart([p["sketch"] for p in own], window)
-                        d = _distances(x, chosen_of[region])
-                        far = d.min() > radius
-                        for k in np.flatnonzero(d <= (radius + reach if far else d.min() + window)):
-                            owner.append(i)
-                            number.append(int(k))
-                            distance.append(float(d[k]))
-                        if far:
-                            owner.append(i)
-                            number.append(-1)
-                            distance.append(None)
+                            chosen_of[region] = _apart([p["sketch"] for p in batch.column(6)[rows[0]].as_py()], window)
+                        own = batch.column(5).take(pa.array(rows)).to_pylist()
+                        own = [x for x in own for _ in chosen_of[region]]
+                        table = 1 - _bounds(pa.array(own, pa.binary()), pa.array(chosen_of[region] * len(rows), pa.binary())).reshape(len(rows), -1)
+                        for i, d in zip(rows, table):
+                            far = d.min() > radius
+                            for k in np.flatnonzero(d <= (radius + reach if far else d.min() + window)):
+                                owner.append(i)
+                                number.append(int(k))
+                                distance.append(float(d[k]))
+                            if far:
+                                owner.append(i)
+                                number.append(-1)
+                                distance.append(None)
                     part = batch.take(pa.array(owner, pa.int64()))
                     return {"region": part.column(0), "id": part.column(1), "n": part.column(2), "pos": part.column(3), "root": part.column(4), "d": distance, "cell": number}
 
@@ -313,27 +351,125 @@ class Join:
     # ----------------------------------------------------------------- run
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, id, root of every row; id and root are null without words."""
-        points = self.scratch.table(self.points(), "points")
-        blocks = self.blocks()
+        """doc_id, n_shingles, words, id, root and kept columns of every row; id and root are null without words."""
+        points, frequent = self.points()
+        prefixes = points.where("n > 0").agg(F.sum(F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1)).first()[0]
+        blocks = self.blocks(frequent, int(prefixes or 0))
         chosen = self.chosen(points, blocks)
         # how many others a point meets, over all its blocks
-        meets = blocks.join(blocks.groupBy("g").agg(F.count("*").alias("size")), "g").groupBy("id").agg(F.sum("size").alias("meets"))
+        often = F.broadcast(blocks.where("size is null").groupBy("g").agg(F.count("*").alias("points")))
+        meets = blocks.join(often, "g", "left").groupBy("id").agg(F.sum(F.coalesce("size", "points")).alias("meets"))
+        blocks = blocks.drop("size")
         ranked = self.scratch.table(blocks.join(meets, "id"), "ranked")
         pivot = ranked.groupBy("g").agg(F.max(F.struct("meets", "id", "n")).alias("p"))
         star = ranked.join(pivot, "g").where("id <> p.id").where(self.similar(F.least("n", F.col("p.n")), F.greatest("n", F.col("p.n"))))
-        ends = F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b")
-        star = self.scratch.table(star.select(*ends).distinct(), "star")
-        links = self.verified(star, chosen, "star-links")
+        # of two points always the same one is the pivot
+        star = self.scratch.table(star.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct(), "star")
+        links = self.verified(star, points, chosen, "star-links")
         roots = self.scratch.table(components(self.spark, links), "roots")
         placed = blocks.join(roots.withColumnRenamed("h", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_blocks = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
         rows = placed.join(open_blocks, "g", "left_semi").select(F.col("g").alias("region"), "id", "n", "pos", "root")
         rows = self.scratch.table(rows, "regions")
-        pairs = self.leaf_pairs(self.regions(rows, chosen), chosen).join(star, ["a", "b"], "left_anti")
-        more = self.verified(self.scratch.table(pairs, "pairs"), chosen, "links")
+        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = self.leaf_pairs(self.regions(rows, chosen), chosen).join(tried, ["a", "b"], "left_anti")
+        more = self.verified(self.scratch.table(pairs, "pairs"), points, chosen, "links")
         roots = self.scratch.table(components(self.spark, links.union(more)), "all-roots")
-        return points.join(roots.withColumnRenamed("h", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), "id", F.coalesce("root", "id").alias("root"))
+        return points.join(roots.withColumnRenamed("h", "id"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), "words", "id", F.coalesce("root", "id").alias("root"), *self.kept)
+
+
+def _sent(held: list[tuple[np.ndarray, int, int, int]], parts: int) -> pa.RecordBatch:
+    """Rows of arrays, one a part, of points (prefix, id, size, number of prefix shingles that are not frequent).
+
+    A shingle's part is its remainder, or where it is frequent, so that its points
+    are dealt out, that of the id.  Of a shingle 40 bits and its remainder are kept
+    here: two that agree in these only make candidates.
+    """
+    lengths = np.array([len(x[0]) for x in held])
+    g = np.concatenate([x[0] for x in held])
+    ids, n, rare = (np.repeat(np.array([x[i] for x in held], np.int64), lengths) for i in (1, 2, 3))
+    pos = np.arange(len(g)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    often = pos >= rare
+    rest = (g % np.uint64(parts)).astype(np.int64)
+    g = g >> np.uint64(24)
+    group = np.where(often, parts + (ids.view(np.uint64) % np.uint64(parts)).astype(np.int64), rest)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    often = group[starts] >= parts
+    rest = rest[order].astype(np.uint32)
+    cut = np.r_[starts, len(group)]
+    # the parts of frequent shingles stand last, and only they name the remainders
+    first = cut[:-1][often].min(initial=len(group))
+
+    def packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        values = np.ascontiguousarray(values)
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+    small_sizes = n.max() < 1 << 16
+    g, n, pos = g[order], n[order], pos[order]
+    kind = np.uint16 if small_sizes else np.uint32
+    columns = [pa.array((group[starts] % parts).astype(np.int32)), pa.array(often)]
+    columns += [packed(x, cut) for x in ((g & np.uint64(0xFFFFFFFF)).astype(np.uint32), (g >> np.uint64(32)).astype(np.uint8))]
+    columns += [packed(rest[first:], np.maximum(cut - first, 0))]
+    columns += [packed(x, cut) for x in (ids[order], n.astype(kind), pos.astype(kind))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "often", "low", "high", "top", "id", "n", "pos"])
+
+
+def _of_one_part(batches) -> Iterator[pa.Table]:
+    """Rows of arrays in order of their part, those of one part at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        cut = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]).tolist() + [len(parts)]
+        for start, stop in zip(cut, cut[1:]):
+            if held and held[-1].column(0)[0].as_py() != int(parts[start]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _met(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
+    """(g, id, n, pos, size) of one part's points: of frequent shingles all, of others those that a point with the same shingle may be similar to."""
+    out = []
+    for often in (False, True):
+        own = rows.filter(pc.equal(rows.column(1), often))
+        if not own.num_rows:
+            continue
+        low, high, top, ids = (np.frombuffer(b"".join(own.column(c).to_pylist()), kind) for c, kind in (("low", np.uint32), ("high", np.uint8), ("top", np.uint32), ("id", np.int64)))
+        lists = [own.column(c).to_pylist() for c in ("high", "n", "pos")]
+        n, pos = (np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * len(h) else np.uint32) for h, x in zip(lists[0], x)]).astype(np.int64) for x in lists[1:])
+        part = top.astype(np.int64) if often else np.int64(own.column(0)[0].as_py())
+        g = part << 40 | high.astype(np.int64) << 32 | low
+        if not often:  # most shingles have one point and end here
+            ordered = np.sort(g)
+            several = ordered[1:][ordered[1:] == ordered[:-1]]
+            at = np.minimum(np.searchsorted(several, g), max(0, len(several) - 1))
+            kept = several[at] == g if len(several) else np.zeros(len(g), bool)
+            g, ids, n, pos = g[kept], ids[kept], n[kept], pos[kept]
+        order = np.lexsort((pos, ids, g))
+        g, ids, n, pos = g[order], ids[order], n[order], pos[order]
+        fresh = np.r_[True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1])][: len(g)]
+        g, ids, n, pos = g[fresh], ids[fresh], n[fresh], pos[fresh]
+        if not often and len(g):
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            size = np.repeat(np.diff(np.r_[starts, len(g)]), np.diff(np.r_[starts, len(g)]))
+            kept = size > NEIGHBOURS + 1
+            for d in range(1, min(NEIGHBOURS, len(g) - 1) + 1):
+                x, y = slice(None, -d), slice(d, None)
+                may = (g[x] == g[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+                may &= np.minimum(n[x] - pos[x], n[y] - pos[y]) * (den + num) >= (n[x] + n[y]) * num
+                kept[x] |= may
+                kept[y] |= may
+            g, ids, n, pos = g[kept], ids[kept], n[kept], pos[kept]
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+        size = np.repeat(np.diff(np.r_[starts, len(g)]), np.diff(np.r_[starts, len(g)]))
+        out.append((g, ids, n.astype(np.int32), pos.astype(np.int32), size, np.full(len(g), often)))
+    *columns, often = (np.concatenate(c) for c in zip(*out))
+    size = pa.array(columns.pop(), pa.int64(), mask=often)
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), size], names=["g", "id", "n", "pos", "size"])
 
 
 def _bounds(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -362,8 +498,17 @@ def _apart(sketches: list[bytes], gap: float) -> list[bytes]:
     return kept
 
 
-def prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+def prepared(docs: DataFrame, doc_id: str, text: str, *kept: Column) -> DataFrame:
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *kept)
+
+
+def near_clusters(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, words (their number) and cluster of every row: rows that links connect have the same cluster.
+
+    Rows without words have none.  Ids may repeat or be null; an empty table gives no rows.
+    """
+    found = Join(prepared(docs, doc_id, text, docs[source].cast("string").alias("source")), width, percent).run()
+    return found.select("doc_id", "source", "words", F.col("root").alias("cluster"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

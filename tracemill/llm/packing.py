@@ -88,8 +88,11 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows[[c.split()[0] for c in f"{BINS}, source string, cluster long".split(", ")]]
 
 
-def pieces_of(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
+def pieces_of(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, words: str | None = None) -> DataFrame:
     """One row a piece of at most ``capacity`` words; documents without words have none."""
+    if words and cluster:
+        own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), docs[cluster].cast("long").alias("cluster"), docs[words].cast("long").alias("words"))
+        return _cut(own.where("words > 0"), capacity)
     given = docs[cluster].cast("long") if cluster else F.lit(None).cast("long")
     picked = [docs[doc_id].cast("long").alias("doc_id"), docs[source].cast("string").alias("source"), given.alias("cluster"), docs[text].alias("text")]
 
@@ -106,23 +109,28 @@ def pieces_of(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str
         return apply
 
     own = map_texts(docs, picked, "text", "doc_id long, source string, cluster long, words long", make).where("words > 0")
+    return _cut(own, capacity)
+
+
+def _cut(own: DataFrame, capacity: int) -> DataFrame:
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("words") - 1) / capacity).cast("int")))
     cut = own.select("*", piece.alias("piece")).withColumn("word_offset", F.col("piece").cast("long") * capacity)
     return cut.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("word_offset")).alias("n_words"), "word_offset", "source", "cluster")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, doc_id: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, words: str | None = None) -> DataFrame:
     """Bins of all documents: one row a piece with its shard, bin and offset.
 
     ``cluster`` names a column of duplicate clusters; without it, texts that are
-    equal but for white space form one.  A null id, source or cluster is packed
+    equal but for white space form one.  ``words``, which goes with ``cluster``,
+    names a column of numbers of words; texts are not read then.  A null id, source or cluster is packed
     like any other; null sources and clusters conflict with nothing, null and
     wordless texts have no piece.  Repeated rows are pieces of one cluster.  Ties
     go to the lower doc_id, then to the lower bin.  An empty table gives no rows;
     columns beside those named are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    left = scratch.table(pieces_of(docs, capacity, doc_id, text, source, cluster), "pieces")
+    left = scratch.table(pieces_of(docs, capacity, doc_id, text, source, cluster, words), "pieces")
     packed, first, total = [], 0, left.count()
     while total:
         shards = -(-total // shard)

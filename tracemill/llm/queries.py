@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracemill.llm import bpe, fst, hamming, jaccard, langid, lines, lm, media, packing, toxicity
 from tracemill.llm.common import held_out
@@ -34,10 +33,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies (five words, similarity 0.8) are one duplicate cluster."""
-    docs = documents(spark, sf_dir).withColumn("text_hash", F.xxhash64("text"))
-    found = jaccard.jaccard_components(docs, doc_id="text_hash")  # ids may repeat or be null
-    clusters = found.select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("cluster")).distinct()
-    return packing.pack(docs.join(clusters, "text_hash"), cluster="cluster")
+    return packing.pack(jaccard.near_clusters(documents(spark, sf_dir)), cluster="cluster", words="words")
 
 
 def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
