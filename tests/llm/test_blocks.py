@@ -57,3 +57,13 @@ def test_packing_near_copies_reads_no_text_again(spark, tmp_path, monkeypatch):
     found = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.n_words) for r in found) == [(i, i) for i in range(1, 5)]
     assert len(read) == 1 and "text" not in read[0]
+
+
+def test_of_blocks_with_the_same_points_one_makes_pairs(spark, monkeypatch):
+    met, leaf_pairs = [], jaccard.Join.leaf_pairs
+    monkeypatch.setattr(jaccard.Join, "leaf_pairs", lambda self, rows, chosen: met.append(rows.count()) or leaf_pairs(self, rows, chosen))
+    shared = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*shared, *(f"{i}x{k}" for k in range(50 + 50 * (i == 3)))])) for i in range(4)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=55).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i < 3 else 3 for i in range(4)}
+    assert sum(met) <= 40

@@ -368,7 +368,10 @@ class Join:
         links = self.verified(star, points, chosen, "star-links")
         roots = self.scratch.table(components(self.spark, links), "roots")
         placed = blocks.join(roots.withColumnRenamed("h", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_blocks = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+        # of blocks with the same points the first in the order of shingles has all pairs whose first shared shingle is among theirs
+        points_of = F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.min_by("pos", "id").alias("first")
+        open_blocks = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *points_of).where("lo < hi")
+        open_blocks = open_blocks.groupBy("x", "y").agg(F.min_by("g", "first").alias("g")).select("g")
         rows = placed.join(open_blocks, "g", "left_semi").select(F.col("g").alias("region"), "id", "n", "pos", "root")
         rows = self.scratch.table(rows, "regions")
         tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
